@@ -6,6 +6,8 @@ import importlib
 
 #: Query name -> module that holds query() and, where SQL can express it, SQL.
 MODULES = {
+    "op1_prefix_targets": "chat",
+    "op5_tokenizer_fertility": "fertility",
     "op9_hypergeometric_shards": "sharding",
 }
 
