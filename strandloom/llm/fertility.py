@@ -64,12 +64,11 @@ class Cutter:
         self.pieces: dict[bytes, bytes] = {}
 
     def learn(self, words: list[bytes]) -> None:
-        new = set(words) - self.number.keys()
+        new = [w for w in set(words) if w not in self.number]
         if len(new) + len(self.number) > MEMORY:
             self.number.clear()
             self.pieces.clear()
-            new = set(words)
-        new = list(new)
+            new = list(set(words))
         for word, ids in zip(new, self.model.encode([w.decode() for w in new], num_threads=1), strict=True):
             self.number[word] = len(self.number)
             self.pieces[word] = np.array(ids, np.int32).tobytes()
