@@ -6,6 +6,7 @@ import importlib
 
 #: Query name -> module that holds query() and, where SQL can express it, SQL.
 MODULES = {
+    "op4_host_suffix_text": "html_text",
     "op6_bootstrapped_pii": "pii",
     "op8_suffix_levels": "suffix_index",
     "op7_jaccard_join": "jaccard_join",
