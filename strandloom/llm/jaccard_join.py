@@ -35,7 +35,7 @@ SQL = None
 SHINGLE = 5
 PERCENT = 80
 #: Slots of the table of counts, and bits of the filter of sets that have candidates.
-SLOTS, CHUNKS, BITS = 1 << 20, 64, 1 << 23
+SLOTS, CHUNKS, BITS = 1 << 22, 64, 1 << 23
 MEMORY = 1 << 19
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -81,8 +81,8 @@ def set_key(shingles: np.ndarray) -> int:
     return int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(shingles.tobytes()))))
 
 
-def fixed_table(parts: DataFrame, kind: np.dtype, join: np.ufunc) -> np.ndarray:
-    """One table from the tasks' tables: parts has (chunk, data), CHUNKS chunks each. The driver gets one table, of fixed size."""
+def fixed_table(parts: DataFrame, kind: np.dtype, join: np.ufunc, given: np.dtype | None = None) -> np.ndarray:
+    """One table from the tasks' tables: parts has (chunk, data), CHUNKS chunks each, of numbers of kind `given`. The driver gets one table, of fixed size."""
 
     def run(data: pa.Table) -> pa.Table:
         rows = [np.frombuffer(x.as_py(), kind) for x in data.column("data")]
@@ -92,7 +92,7 @@ def fixed_table(parts: DataFrame, kind: np.dtype, join: np.ufunc) -> np.ndarray:
         held: dict[int, np.ndarray] = {}
         for batch in batches:
             for c, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                y = np.frombuffer(x.as_py(), kind)
+                y = np.frombuffer(x.as_py(), given or kind).astype(kind)
                 held[c] = join(held[c], y) if c in held else y
         if held:
             yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([x.astype(kind).tobytes() for x in held.values()], pa.binary())], names=["chunk", "data"])
@@ -106,7 +106,7 @@ def sets_and_counts(docs: DataFrame, k: int, doc: str, text: str) -> DataFrame:
     """(doc, set, n) of every document; behind each task's rows those of its table of counts, as (chunk, data)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, counts = Shingler(k), np.zeros(SLOTS, np.uint32)
+        shingler, counts = Shingler(k), np.zeros(SLOTS, np.uint32)  # travel as one byte each, 255 for more
         names = [doc, "set", "n", "chunk", "data"]
         kind = None
         for batch in batches:
@@ -120,7 +120,7 @@ def sets_and_counts(docs: DataFrame, k: int, doc: str, text: str) -> DataFrame:
             n = batch.num_rows
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
         if kind is not None:
-            parts = np.split(counts, CHUNKS)
+            parts = np.split(np.minimum(counts, 255).astype(np.uint8), CHUNKS)
             yield pa.RecordBatch.from_arrays([pa.nulls(CHUNKS, kind), pa.nulls(CHUNKS, pa.int64()), pa.nulls(CHUNKS, pa.int64()), pa.array(range(CHUNKS), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], names=names)
 
     return docs.select(doc, text).mapInArrow(run, f"`{doc}` {dict(docs.dtypes)[doc]}, set long, n long, chunk int, data binary")
@@ -262,7 +262,7 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, d
     """
     docs = docs.select(doc, text)
     both = written(sets_and_counts(docs, k, doc, text), "sets")
-    counts = fixed_table(both.filter("chunk IS NOT NULL"), np.dtype(np.uint32), np.add)
+    counts = fixed_table(both.filter("chunk IS NOT NULL"), np.dtype(np.uint32), np.add, np.dtype(np.uint8))
     known = both.filter("chunk IS NULL").select(doc, "set", "n")
     order = Window.partitionBy("region").orderBy(F.col("at") / F.col("n"), "set")
     members = region_members(docs, counts if len(counts) else np.zeros(SLOTS, np.uint32), k, percent, text)
