@@ -21,7 +21,7 @@ with a chance of about n^2 / 2^65.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -140,9 +140,7 @@ def region_members(docs: DataFrame, counts: np.ndarray, k: int, percent: int, te
                 if not n or (key := set_key(s)) in seen:
                     continue
                 seen.add(key)
-                window = n - -(-percent * n // 100) + 1
-                rarity = counts[(s & np.uint64(SLOTS - 1)).astype(np.int64)]
-                first = s[np.lexsort((s, rarity))[:window]]
+                first = window_of(s, counts, percent)
                 regions.append(first)
                 sets.append(np.full(len(first), key, np.int64))
                 at.append(np.arange(len(first), dtype=np.int32))
@@ -153,8 +151,18 @@ def region_members(docs: DataFrame, counts: np.ndarray, k: int, percent: int, te
     return docs.select(text).mapInArrow(run, "region long, set long, at int, n int")
 
 
-def shingle_sets(docs: DataFrame, wanted: DataFrame, k: int, text: str) -> DataFrame:
-    """(set, shingles): the sets of `wanted`, once each. A filter of BITS bits keeps most others from travelling."""
+def window_of(s: np.ndarray, counts: np.ndarray, percent: int) -> np.ndarray:
+    """The shingles whose regions the set enters: its rarest, in order."""
+    rarity = counts[(s & np.uint64(SLOTS - 1)).astype(np.int64)]
+    return s[np.lexsort((s, rarity))[: len(s) - -(-percent * len(s) // 100) + 1]]
+
+
+def shingle_sets(docs: DataFrame, wanted: DataFrame, counts: np.ndarray, k: int, percent: int, text: str) -> DataFrame:
+    """(set, n, sketch, shingles): the sets of `wanted`, once each. A filter of BITS bits keeps most others from travelling.
+
+    sketch has 16 bits of each shingle of the set's window, sorted.
+    """
+    rarity = docs.sparkSession.sparkContext.broadcast(counts)
 
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = np.zeros(BITS, bool)
@@ -168,37 +176,61 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, k: int, text: str) -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, seen, has = Shingler(k), set(), np.unpackbits(shared.value)
         for batch in batches:
-            keys, data = [], []
+            keys, data, sizes, sketches = [], [], [], []
             for said in batch.column(0):
                 s = shingler.of(said.as_py())
                 key = set_key(s)
-                if key not in seen and len(has) and has[np.uint64(key & (2**64 - 1)) % np.uint64(BITS)]:
+                if len(s) and key not in seen and len(has) and has[np.uint64(key & (2**64 - 1)) % np.uint64(BITS)]:
                     seen.add(key)
                     keys.append(key)
                     data.append(s.tobytes())
+                    sizes.append(len(s))
+                    sketches.append(np.sort((window_of(s, rarity.value, percent) >> np.uint64(48)).astype(np.uint16)).tobytes())
             if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(data, pa.binary())], names=["set", "shingles"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary()), pa.array(data, pa.binary())], names=["set", "n", "sketch", "shingles"])
 
-    found = docs.select(text).mapInArrow(run, "set long, shingles binary").dropDuplicates(["set"])
+    found = docs.select(text).mapInArrow(run, "set long, n long, sketch binary, shingles binary").dropDuplicates(["set"])
     return found.join(wanted, "set", "left_semi")
 
 
-def similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose exact similarity reaches the threshold."""
+def in_common(x: np.ndarray, y: np.ndarray) -> int:
+    """How many numbers two sorted lists share; where numbers repeat, no fewer than that."""
+    both = np.sort(np.concatenate((x, y)), kind="stable")
+    return int((both[1:] == both[:-1]).sum())
+
+
+def compared(pairs: DataFrame, sets: DataFrame, column: str, kind: type, test: Callable[[int, int, int, int, int], bool]) -> DataFrame:
+    """The pairs (a, b) that pass test(shared, n of a, n of b, length of a, length of b) of the lists in `column`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                p, q = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                both = np.sort(np.concatenate((p, q)), kind="stable")
-                common = int((both[1:] == both[:-1]).sum())
-                keep.append(100 * common >= percent * (len(p) + len(q) - common))
+            for x, y, n, m in zip(batch.column(2), batch.column(3), batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True):
+                p, q = np.frombuffer(x.as_py(), kind), np.frombuffer(y.as_py(), kind)
+                keep.append(test(in_common(p, q), n, m, len(p), len(q)))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    left = sets.select(F.col("set").alias("a"), F.col("shingles").alias("p"))
-    right = sets.select(F.col("set").alias("b"), F.col("shingles").alias("q"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "p", "q").mapInArrow(run, "a long, b long")
+    left = sets.select(F.col("set").alias("a"), F.col(column).alias("p"), F.col("n").alias("n"))
+    right = sets.select(F.col("set").alias("b"), F.col(column).alias("q"), F.col("n").alias("m"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "p", "q", "n", "m").mapInArrow(run, "a long, b long")
+
+
+def similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose exact similarity reaches the threshold.
+
+    Two sets that are similar share `least` shingles. Of the first n - least + l of each, in one
+    order, they share l at least; so windows that share fewer can't be similar, and only the other
+    pairs are compared whole.
+    """
+
+    def may(shared: int, n: int, m: int, w: int, v: int) -> bool:
+        least = -(-percent * (n + m) // (100 + percent))
+        return shared >= min(w - (n - least), v - (m - least))
+
+    def are(shared: int, n: int, m: int, w: int, v: int) -> bool:
+        return 100 * shared >= percent * (n + m - shared)
+
+    return compared(compared(pairs, sets, "sketch", np.uint16, may), sets, "shingles", np.uint64, are)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -265,12 +297,13 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, d
     counts = fixed_table(both.filter("chunk IS NOT NULL"), np.dtype(np.uint32), np.add, np.dtype(np.uint8))
     known = both.filter("chunk IS NULL").select(doc, "set", "n")
     order = Window.partitionBy("region").orderBy(F.col("at") / F.col("n"), "set")
-    members = region_members(docs, counts if len(counts) else np.zeros(SLOTS, np.uint32), k, percent, text)
+    counts = counts if len(counts) else np.zeros(SLOTS, np.uint32)
+    members = region_members(docs, counts, k, percent, text)
     members = members.withColumn("rank", F.row_number().over(order)).withColumn("next", F.lead("set").over(order))
     shared = written(members.filter("rank > 1 OR next IS NOT NULL").drop("rank", "next"), "shared-regions").dropDuplicates(["region", "set"])
     shared = shared.withColumn("rank", F.row_number().over(order)).withColumn("next", F.lead("set").over(order))
     shared = written(shared.filter("rank > 1 OR next IS NOT NULL").drop("next").withColumn("label", F.col("set")), "members")
-    sets = written(shingle_sets(docs, shared.select("set").distinct(), k, text), "shingles")
+    sets = written(shingle_sets(docs, shared.select("set").distinct(), counts, k, percent, text), "shingles")
     labels = joined_components(shared, sets, percent)
     named = known.join(labels, "set", "left").withColumn("label", F.coalesce("label", "set"))
     named = written(named, "labelled")
