@@ -23,7 +23,7 @@ def genome(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), F.col("doc_id")).alias("chrom_id"), F.col("doc_id").alias("chrom_index"), seq.alias("seq"))
 
 
-INTERVALS = """intervals AS (SELECT user_id AS chrom, epoch(ts)::BIGINT AS s, epoch(ts)::BIGINT + 3600 AS e, event_id AS id FROM events)"""
+INTERVALS = """intervals AS (SELECT user_id AS chrom, floor(epoch(ts))::BIGINT AS s, floor(epoch(ts))::BIGINT + 3600 AS e, event_id AS id FROM events)"""
 
 
 def intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
