@@ -117,40 +117,53 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end: int
 def differencing(lengths: np.ndarray, windows: int) -> list[list[int]]:
     """Indexes of `lengths` in at most `windows` parts, by multiway differencing.
 
-    A partial partition holds the sums of its windows less the smallest, in falling order, and only
-    those above zero; the others hold what the smallest stands for, or nothing. Of two merged ones
-    the largest window of one meets the smallest of the other.
+    A partial partition holds the sums of its windows less the smallest, in falling order, and a node
+    for what lies in each, -1 for nothing; windows behind the last that has something are left out.
+    Of two merged ones the largest window of one meets the smallest of the other. A node is an item
+    or the union of two.
     """
+    n = len(lengths)
     if windows <= 1:
-        return [list(range(len(lengths)))]
-    heap: list[tuple[int, int, np.ndarray, list]] = [(-int(x), k, np.array([x], np.int64), [[k]]) for k, x in enumerate(lengths)]
+        return [list(range(n))]
+    first, second, nodes = np.zeros(n, np.int64), np.zeros(n, np.int64), n
+    heap = [(-int(x), k, np.array([x], np.int64), np.array([k])) for k, x in enumerate(lengths)]
     heapq.heapify(heap)
     while len(heap) > 1:
         _, _, a, ga = heapq.heappop(heap)
         _, key, b, gb = heapq.heappop(heap)
-        ga = ga + [None] * (windows - len(ga))
-        gb = gb + [None] * (windows - len(gb))
-        sums = np.zeros(windows, np.int64)
-        sums[: len(a)] += a
-        sums[windows - len(b) :] += b[::-1]
-        joined = [x if y is None else y if x is None else (x, y) for x, y in zip(ga, reversed(gb), strict=True)]
+        spare = windows - len(a) - len(b)
+        if spare >= 0:
+            sums, groups = np.concatenate((a, b)), np.concatenate((ga, gb))
+        else:
+            sums, groups = np.zeros(windows, np.int64), np.full(windows, -1)
+            sums[: len(a)], groups[: len(a)] = a, ga
+            at = slice(windows - len(b), None)
+            sums[at] += b[::-1]
+            other, mine = gb[::-1], groups[at]
+            both = np.flatnonzero((other >= 0) & (mine >= 0))
+            new = np.arange(nodes, nodes + len(both))
+            first[new - n], second[new - n] = mine[both], other[both]
+            nodes += len(both)
+            mine = np.where(mine < 0, other, mine)
+            mine[both] = new
+            groups[at] = mine
         order = np.argsort(-sums, kind="stable")
-        sums = sums[order] - sums[order[-1]]
-        groups = [joined[k] for k in order]
-        while groups and groups[-1] is None:
-            groups.pop()
-        heapq.heappush(heap, (-int(sums[0]), key, sums[: len(groups)], groups))
-    return [_flat(g) for g in heap[0][3] if g is not None]
+        sums, groups = sums[order], groups[order]
+        if spare <= 0:
+            sums = sums - sums[-1]
+        filled = len(groups) - int((groups[::-1] >= 0).argmax())
+        heapq.heappush(heap, (-int(sums[0]), key, sums[:filled], groups[:filled]))
+    return [_items(int(g), n, first, second) for g in heap[0][3] if g >= 0]
 
 
-def _flat(group: list | tuple) -> list[int]:
-    out, todo = [], [group]
+def _items(node: int, n: int, first: np.ndarray, second: np.ndarray) -> list[int]:
+    out, todo = [], [node]
     while todo:
         x = todo.pop()
-        if isinstance(x, tuple):
-            todo += x
+        if x < n:
+            out.append(x)
         else:
-            out += x
+            todo += (int(first[x - n]), int(second[x - n]))
     return out
 
 
