@@ -31,7 +31,7 @@ SQL = None
 CAPACITY = 4096
 END = 2
 #: Pieces of a group, on average.
-GROUP = 1500
+GROUP = 1000
 MEMORY = 1 << 19
 PIECES = "start long, length long, ids_crc32 long, doc_tokens long"
 
