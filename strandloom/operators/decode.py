@@ -108,7 +108,7 @@ def decode_region(seq: str, odds: list[list[float]], min_cds: int = 60, min_intr
     return out[::-1]
 
 
-def decode_regions(regions: DataFrame, min_cds: int = 60, min_intron: int = 20, least_mean: float = 0.5) -> DataFrame:
+def decode_regions(regions: DataFrame, min_cds: int = 60, min_intron: int = 20, least_mean: float = 0.5, intercept: float = 0.0) -> DataFrame:
     """Genes of `regions` (chrom_id, strand, region, start, stop, seq, p): bases and state probabilities of each region in forward coordinates.
 
     A region on the other strand is turned before and its exons are mapped back; exons stay in
@@ -124,7 +124,7 @@ def decode_regions(regions: DataFrame, min_cds: int = 60, min_intron: int = 20,
                 if r["strand"] == "-":
                     seq, p = seq.translate(turn)[::-1], p[::-1]
                 odds = [[math.log(max(v, EPSILON)) - math.log(max(x[0], EPSILON)) for v in x] for x in p]
-                for k, (score, exons) in enumerate(decode_region(seq, odds, min_cds, min_intron)):
+                for k, (score, exons) in enumerate(decode_region(seq, odds, min_cds, min_intron, intercept)):
                     if r["strand"] == "-":
                         exons = [(len(seq) - e, len(seq) - s) for s, e in exons]
                     exons = [{"s": r["start"] + s, "e": r["start"] + e} for s, e in exons]

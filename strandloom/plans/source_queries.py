@@ -104,7 +104,7 @@ def gene_paths(spark, sf_dir):
     positions = tq.track(spark, sf_dir).join(base, "pos").select(F.lit("e").alias("chrom_id"), strand.alias("strand"), "pos", "base", "p")
     ends = base.agg((F.max("pos") + 1).alias("n")).select("n", F.explode(F.expr("sequence(0L, n - 1, 250L)")).alias("start"))
     regions = ends.select(F.lit("e").alias("chrom_id"), F.explode(F.array(F.lit("+"), F.lit("-"))).alias("strand"), F.expr("start div 250").alias("region"), "start", F.expr("least(start + 250, n)").alias("stop"))
-    found = decode.decode_regions(decode.region_views(positions, regions), min_cds=9, min_intron=4, least_mean=-100.0)
+    found = decode.decode_regions(decode.region_views(positions, regions), min_cds=9, min_intron=4, least_mean=-100.0, intercept=200.0)
     return found.select("chrom_id", "strand", "region", "gene", F.round("score", 6).alias("score"), F.size("exons").alias("n_exons"), F.expr("aggregate(exons, 0L, (a, x) -> a + x.e - x.s)").alias("cds"))
 
 
