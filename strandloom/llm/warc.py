@@ -128,11 +128,11 @@ class WarcReader(ds.DataSourceReader):
         """Takes equality, membership, prefix and length predicates on what the headers hold; Spark keeps the rest."""
         for x in filters:
             column = x.attribute[0] if getattr(x, "attribute", None) and len(x.attribute) == 1 else None
-            kind = {ds.EqualTo: "=", ds.In: "in", ds.StringStartsWith: "starts", ds.GreaterThan: ">", ds.GreaterThanOrEqual: ">=", ds.LessThan: "<", ds.LessThanOrEqual: "<="}.get(type(x))
+            kind = {ds.EqualTo: "=", ds.In: "in", ds.StringStartsWith: "starts", ds.GreaterThan: ">", ds.GreaterThanOrEqual: ">=", ds.LessThan: "<", ds.LessThanOrEqual: "<=", ds.IsNotNull: "set"}.get(type(x))
             if kind is None or column not in ("record_type", "record_id", "target_uri", "refers_to", "payload_digest", "payload_length"):
                 yield x
             else:
-                self.tests.append((column, kind, tuple(x.value) if kind == "in" else x.value))
+                self.tests.append((column, kind, tuple(x.value) if kind == "in" else getattr(x, "value", None)))
 
     def partitions(self) -> list[FilePart]:
         """The committed files, or every archive below the path where no manifest is."""
@@ -154,7 +154,7 @@ class WarcReader(ds.DataSourceReader):
     def accepts(self, row: dict) -> bool:
         for column, kind, value in self.tests:
             x = row[column]
-            if x is None or not {"=": lambda: x == value, "in": lambda: x in value, "starts": lambda: x.startswith(value), ">": lambda: x > value, ">=": lambda: x >= value, "<": lambda: x < value, "<=": lambda: x <= value}[kind]():
+            if x is None or not {"=": lambda: x == value, "in": lambda: x in value, "starts": lambda: x.startswith(value), ">": lambda: x > value, ">=": lambda: x >= value, "<": lambda: x < value, "<=": lambda: x <= value, "set": lambda: True}[kind]():
                 return False
         return True
 
