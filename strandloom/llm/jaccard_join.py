@@ -21,6 +21,7 @@ with a chance of about n^2 / 2^65.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -29,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strandloom.plans.session import table, written
+from strandloom.plans.session import shared_dir, table, written
 
 SQL = None
 SHINGLE = 5
@@ -233,6 +234,15 @@ def similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return compared(compared(pairs, sets, "sketch", np.uint16, may), sets, "shingles", np.uint64, are)
 
 
+def bucketed(rows: DataFrame, key: str) -> tuple[DataFrame, Callable[[], object]]:
+    """`rows` as a table in the shared folder in buckets of `key`, so that joins on it don't move it again; and what forgets the table's name."""
+    spark = rows.sparkSession
+    name = f"strandloom_{uuid.uuid4().hex}"
+    buckets = max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    rows.write.bucketBy(buckets, key).sortBy(key).option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
+    return spark.table(name), lambda: spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) for every node of `edges` (a, b): label is the smallest node that can be reached."""
     both = written(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
@@ -247,6 +257,32 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def possible(members: DataFrame, percent: int) -> DataFrame:
+    """The rows of `members` (region, set, at, n) that could still stand for a similar pair; no row of such a pair's first common region is lost.
+
+    A partner's size is bounded by the place that the region has among the set's shingles, and the two
+    windows must share a number of regions that follows from both sizes (see `similar`). A region's
+    partner is known exactly where it has two members, and by the least and largest size otherwise.
+    """
+    whole = Window.partitionBy("region")
+    over = 100 + percent
+    n, at, c = F.col("n").cast("long"), F.col("at"), F.col("c")
+    lo, hi = F.ceil(percent * n / 100), F.least(F.floor(100 * n / percent), F.floor(over * (n - at) / percent - n))
+    rows = members.withColumn("__n", F.count("*").over(whole)).withColumn("__lo", F.greatest(lo, F.min("n").over(whole))).withColumn("__hi", F.least(hi, F.max("n").over(whole)))
+    other = (F.sum("n").over(whole) - n).cast("long")
+    two = F.col("__n") == 2
+    rows = rows.withColumn("__lo", F.when(two, F.greatest(lo, other)).otherwise(F.col("__lo"))).withColumn("__hi", F.when(two, F.least(hi, other)).otherwise(F.col("__hi")))
+    rows = rows.filter("__n > 1")
+    counts = rows.groupBy("set").agg(F.count("*").alias("c"))
+    rows = rows.filter("__lo <= __hi").join(counts, "set")
+    window = lambda k: k - F.ceil(percent * k / 100) + 1
+    least = lambda m: F.ceil(percent * (n + m) / over)
+    shared = lambda m: F.least(window(n) - (n - least(m)), window(m) - (m - least(m)))
+    # between the ends the bound is no lower, but for what rounding up takes
+    needed = F.least(shared(F.col("__lo")), shared(F.col("__hi"))) - 2
+    return rows.filter(c >= needed).select("region", "set", "at", "n")
+
+
 def joined_components(members: DataFrame, sets: DataFrame, percent: int, growth: int = 4) -> DataFrame:
     """(set, label) of every set with a link, after all regions are joined. members: (region, set, at, n, rank), written."""
     spark = members.sparkSession
@@ -301,10 +337,12 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, d
     members = region_members(docs, counts, k, percent, text)
     members = members.withColumn("rank", F.row_number().over(order)).withColumn("next", F.lead("set").over(order))
     shared = written(members.filter("rank > 1 OR next IS NOT NULL").drop("rank", "next"), "shared-regions").dropDuplicates(["region", "set"])
+    shared = possible(shared, percent)
     shared = shared.withColumn("rank", F.row_number().over(order)).withColumn("next", F.lead("set").over(order))
     shared = written(shared.filter("rank > 1 OR next IS NOT NULL").drop("next").withColumn("label", F.col("set")), "members")
-    sets = written(shingle_sets(docs, shared.select("set").distinct(), counts, k, percent, text), "shingles")
+    sets, dropped = bucketed(shingle_sets(docs, shared.select("set").distinct(), counts, k, percent, text), "set")
     labels = joined_components(shared, sets, percent)
+    dropped()
     named = known.join(labels, "set", "left").withColumn("label", F.coalesce("label", "set"))
     named = written(named, "labelled")
     least = named.filter("n > 0").groupBy("label").agg(F.min(doc).alias("component_id"))
