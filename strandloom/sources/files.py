@@ -53,8 +53,8 @@ def features(lines: DataFrame) -> DataFrame:
     """
     c = F.split("value", "\t")
     cut = lines.filter((F.trim("value") != "") & ~F.col("value").startswith("#")).withColumn("c", c).filter(F.size("c") == 9)
-    cut = cut.withColumn("a", F.expr("try_cast(c[3] as bigint)")).withColumn("b", F.expr("try_cast(c[4] as bigint)")).filter("a IS NOT NULL AND b IS NOT NULL AND a >= 1 AND b >= a")
-    return cut.select("line_no", F.expr("c[0]").alias("seqid"), F.lower(F.expr("c[2]")).alias("type"), (F.col("a") - 1).alias("s"), F.col("b").alias("e"), F.expr("c[6]").alias("strand"), F.expr("CASE WHEN c[7] IN ('0', '1', '2') THEN cast(c[7] as int) END").alias("phase"), F.expr(bases.attributes("c[8]")).alias("attributes"))
+    cut = cut.withColumn("a", F.expr("try_cast(get(c, 3) as bigint)")).withColumn("b", F.expr("try_cast(get(c, 4) as bigint)")).filter("a IS NOT NULL AND b IS NOT NULL AND a >= 1 AND b >= a")
+    return cut.select("line_no", F.expr("get(c, 0)").alias("seqid"), F.lower(F.expr("get(c, 2)")).alias("type"), (F.col("a") - 1).alias("s"), F.col("b").alias("e"), F.expr("get(c, 6)").alias("strand"), F.expr("CASE WHEN get(c, 7) IN ('0', '1', '2') THEN cast(get(c, 7) as int) END").alias("phase"), F.expr(bases.attributes("get(c, 8)")).alias("attributes"))
 
 
 def identified(found: DataFrame) -> DataFrame:
