@@ -37,6 +37,8 @@ REACH = LENGTH - KEY
 BATCHES = 4
 BITS = 1 << 25
 SEGMENT = 1 << 19
+#: Texts of fewer bytes are hashed together, about so many bytes at a time.
+GROUPED = 1 << 17
 #: Classes of one key that a task compares in memory; keys with more are compared by Spark string by string.
 MOST_CLASSES = 20_000
 _MARGIN = 2 * LENGTH
@@ -95,20 +97,71 @@ def kept_suffixes(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     return tuple(x[once] for x in joined)
 
 
+def suffixes_of(texts: list[bytes]) -> tuple[np.ndarray, ...]:
+    """(text, at, key, extension, left, right) of all texts' kept suffixes; text counts from 0. Short texts are hashed together."""
+    out, group, size = [], [], 0
+    for number, data in enumerate(texts):
+        if len(data) < LENGTH:
+            continue
+        if len(data) > GROUPED:
+            found = kept_suffixes(data)
+            out.append((np.full(len(found[0]), number), *found))
+            continue
+        group.append(number)
+        size += len(data)
+        if size > GROUPED:
+            out.append(_together(texts, group))
+            group, size = [], 0
+    if group:
+        out.append(_together(texts, group))
+    if not out:
+        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.uint64, np.uint64, np.int64, np.int64))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def _together(texts: list[bytes], group: list[int]) -> tuple[np.ndarray, ...]:
+    """The same as kept_suffixes for each text, in one pass over all of their bytes; strings across a border are left out."""
+    ends = np.cumsum([len(texts[k]) for k in group])
+    part = np.frombuffer(b"".join(texts[k] for k in group), np.uint8)
+    up, down = _powers(len(part))
+    sums = np.zeros(len(part) + 1, np.uint64)
+    np.cumsum(_BYTES[part] * up, out=sums[1:])
+    n = len(part) - KEY + 1
+    keys = mixed((sums[KEY:] - sums[:n]) * down[:n])
+    placed = (keys & ~np.uint64((1 << 21) - 1)) | np.arange(n, dtype=np.uint64)
+    least = (window_minimum(placed, REACH + 1) & np.uint64((1 << 21) - 1)).astype(np.int64)
+    inside = np.zeros(len(least), bool)
+    begin = 0
+    for end in ends.tolist():
+        inside[begin : end - LENGTH + 1] = True
+        begin = end
+    at = least[inside]  # never falls from one string to the next
+    at = at[np.concatenate(([True], at[1:] != at[:-1]))]
+    which = np.searchsorted(ends, at, side="right")
+    starts = np.concatenate(([0], ends[:-1]))[which]
+    lo, hi = np.maximum(at - REACH, starts), np.minimum(at + LENGTH, ends[which])
+    whole = mixed((sums[hi] - sums[lo]) * down[lo] + ((hi - lo).astype(np.uint64) << np.uint64(40)) + ((at - lo).astype(np.uint64) << np.uint64(52)))
+    return np.array(group)[which], at - starts, keys[at], whole, at - lo, hi - at
+
+
+def _bytes(column: pa.Array) -> list[bytes]:
+    return [x.encode() for x in column.to_pylist()]
+
+
 def batch_keys(docs: DataFrame, text: str, batches: int) -> DataFrame:
-    """(batch, key, n): keys of the suffixes of each batch of documents, counted in each task's batches first."""
+    """(batch, key): keys of the suffixes of each batch of documents. What a task finds several times it gives twice."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
-            keys: dict[int, list] = {}
-            for number, said in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                keys.setdefault(number, []).append(kept_suffixes((said.as_py() or "").encode())[1])
-            for number, found in keys.items():
-                key, n = np.unique(np.concatenate(found), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(number, pa.int32()), len(key)), pa.array(key.view(np.int64)), pa.array(n)], names=["batch", "key", "n"])
+            found = suffixes_of(_bytes(batch.column(1)))
+            numbers = batch.column(0).to_numpy()[found[0]]
+            for number in np.unique(numbers):
+                key, n = np.unique(found[2][numbers == number], return_counts=True)
+                key = np.repeat(key, np.minimum(n, 2))
+                yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(int(number), pa.int32()), len(key)), pa.array(key.view(np.int64))], names=["batch", "key"])
 
     numbered = docs.select(F.pmod(F.xxhash64(text), F.lit(batches)).cast("int").alias("batch"), text)
-    return numbered.mapInArrow(run, "batch int, key long, n long")
+    return numbered.mapInArrow(run, "batch int, key long")
 
 
 class SuffixLevels:
@@ -119,20 +172,20 @@ class SuffixLevels:
         self.levels: list[tuple[int, DataFrame]] = []
 
     def add(self, batch: DataFrame) -> DataFrame:
-        """Takes (key, n) of a batch in; returns the keys that it has twice or shares with a level."""
-        rank, coming, shared, fresh = 0, batch, [], None
-        others = [level for r, level in self.levels]
+        """Takes the keys of a batch in; returns those that it has twice or shares with a level."""
+        rank, coming, shared = 0, batch, []
+        others = [level for _, level in self.levels]
         if not self.levels or self.levels[-1][0] != 0:
-            coming = fresh = self._sorted(batch)
+            coming = self._sorted(batch)
             shared.append(coming.filter("n > 1"))
+        fresh = coming
         while self.levels and self.levels[-1][0] == rank:
             _, level = self.levels.pop()
             others.remove(level)
-            coming = self._sorted(level.select("key", F.lit(1).cast("long").alias("n")).union(coming if rank == 0 else coming.select("key", F.lit(1).cast("long").alias("n"))))
+            coming = self._sorted(level.select("key").union(coming.select("key")))
             shared.append(coming.filter("n > 1"))
             rank += 1
-        for level in others:
-            shared.append((fresh if fresh is not None else batch).join(level.select("key"), "key", "left_semi"))
+        shared += [fresh.join(level.select("key"), "key", "left_semi") for level in others]
         self.levels.append((rank, coming))
         out = shared[0].select("key")
         for x in shared[1:]:
@@ -141,7 +194,8 @@ class SuffixLevels:
 
     @staticmethod
     def _sorted(rows: DataFrame) -> DataFrame:
-        return written(rows.groupBy("key").agg(F.sum("n").alias("n")).sortWithinPartitions("key"), "suffix-level")
+        """(key, n) in order; only the keys move."""
+        return written(rows.select("key").repartition("key").groupBy("key").agg(F.count("*").alias("n")).sortWithinPartitions("key"), "suffix-level")
 
 
 def slots_of(keys: DataFrame) -> np.ndarray:
@@ -174,13 +228,11 @@ def shared_suffixes(docs: DataFrame, bits: np.ndarray, text: str) -> DataFrame:
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
-            out = []
-            for name, said in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                at, key, whole, left, right = kept_suffixes((said.as_py() or "").encode())
-                if len(at) and (keep := _in(shared.value, _slot(key))).any():
-                    out.append((np.full(int(keep.sum()), name, np.int64), at[keep], key[keep].view(np.int64), whole[keep].view(np.int64), left[keep].astype(np.int32), right[keep].astype(np.int32)))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["text_key", "at", "key", "extension", "left", "right"])
+            found = suffixes_of(_bytes(batch.column(1)))
+            keep = _in(shared.value, _slot(found[2]))
+            number, at, key, whole, left, right = (x[keep] for x in found)
+            columns = [batch.column(0).to_numpy()[number], at, key.view(np.int64), whole.view(np.int64), left.astype(np.int32), right.astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["text_key", "at", "key", "extension", "left", "right"])
 
     return docs.select(F.xxhash64(text).alias("text_key"), text).mapInArrow(run, "text_key long, at long, key long, extension long, left int, right int")
 
@@ -192,17 +244,14 @@ def extensions(docs: DataFrame, classes: DataFrame, text: str) -> DataFrame:
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in rows:
-            out = []
-            for said in batch.column(0):
-                data = (said.as_py() or "").encode()
-                at, key, whole, left, right = kept_suffixes(data)
-                if not len(at):
-                    continue
-                for k in np.flatnonzero(_in(shared.value, _slot(key, whole))):
-                    if (name := int(whole[k]) ^ int(key[k])) not in seen:
-                        seen.add(name)
-                        p = int(at[k])
-                        out.append((int(np.int64(key[k])), int(np.int64(whole[k])), data[p - int(left[k]) : p], data[p + KEY : p + int(right[k])]))
+            out, texts = [], _bytes(batch.column(0))
+            number, at, key, whole, left, right = suffixes_of(texts)
+            names = whole ^ key
+            for k in np.flatnonzero(_in(shared.value, _slot(key, whole))):
+                if (name := int(names[k])) not in seen:
+                    seen.add(name)
+                    data, p = texts[number[k]], int(at[k])
+                    out.append((int(np.int64(key[k])), int(np.int64(whole[k])), data[p - int(left[k]) : p], data[p + KEY : p + int(right[k])]))
             if len(seen) > 2_000_000:
                 seen.clear()
             if out:
@@ -292,10 +341,10 @@ def repeated_spans(docs: DataFrame, text: str = "text", batches: int = BATCHES)
     """(text_key, spans): of every text with repeats the covered spans of bytes, unmerged; text_key is xxhash64 of the text."""
     docs = docs.select(F.coalesce(text, F.lit("")).alias("text"))
     keys = batch_keys(docs, "text", batches)
-    keys = written(keys.repartition("batch") if batches > 64 else keys, "suffix-keys")
+    keys = written(keys, "suffix-keys")
     index, shared = SuffixLevels(docs.sparkSession), []
     for number in range(batches):
-        shared.append(index.add(keys.filter(F.col("batch") == number).select("key", "n")))
+        shared.append(index.add(keys.filter(F.col("batch") == number).select("key")))
     every = shared[0]
     for x in shared[1:]:
         every = every.union(x)

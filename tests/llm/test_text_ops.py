@@ -129,3 +129,11 @@ def test_suffixes_of_long_texts_do_not_depend_on_segments(monkeypatch):
     whole = [x.tolist() for x in suffix_index.kept_suffixes(data)]
     monkeypatch.setattr(suffix_index, "SEGMENT", 1000)
     assert [x.tolist() for x in suffix_index.kept_suffixes(data)] == whole
+
+
+def test_suffixes_of_texts_together(texts):
+    data = [(t or "").encode() for _, t in texts] * 3
+    got = suffix_index.suffixes_of(data)
+    order = got[0].argsort(kind="stable")
+    want = [(k, *row) for k, d in enumerate(data) for row in zip(*(x.tolist() for x in suffix_index.kept_suffixes(d)), strict=True)]
+    assert list(zip(*(x[order].tolist() for x in got), strict=True)) == want
