@@ -5,8 +5,10 @@ are the seeds. What stands around a seed, the last word before it with its punct
 behind it, is a lexical pattern. Other strings that look like identifiers (long runs of letters and
 digits, or of digits) are instances too, of unknown worth. Patterns and instances form a graph that
 is scored in rounds: a pattern by the mean score of the distinct instances that it extracts, an
-unknown instance by the patterns that extract it, together (noisy or). Patterns that many seeds
-support and that score high discover the unknown instances around which they stand.
+unknown instance by the patterns that extract it, together (noisy or). What has a seed's form but fails its check (a
+card number without the right check digit) is a counter-example, which counts against its patterns.
+Patterns that many seeds support and that score high discover the unknown instances around which
+they stand.
 
 Texts are read once. The graph has an edge for each distinct pair of instance and pattern.
 """
@@ -64,6 +66,10 @@ HOLDS = {
 }
 
 
+#: Which other matches are counter-examples: those of the right length that fail the check itself.
+FAILS = {"ip": "true", "card": f"length({_DIGITS}) BETWEEN 12 AND 19"}
+
+
 def scanned(docs: DataFrame, doc: str, text: str) -> DataFrame:
     """(doc, text_key, base, around): base spans, and every instance with its patterns, of each row."""
     out = docs.select(doc, F.coalesce(text, F.lit("")).alias("__text")).withColumn("text_key", F.xxhash64("__text"))
@@ -72,26 +78,29 @@ def scanned(docs: DataFrame, doc: str, text: str) -> DataFrame:
     for kind in KINDS:
         needed = (F.lit(True) if kind == "email" else digits) & (F.instr("__text", NEEDS[kind]) > 0 if NEEDS[kind] else F.lit(True))
         out = out.withColumn(f"__{kind}", F.when(needed, spans_of(kind, PATTERNS[kind])).otherwise(none))
+        if kind in FAILS:
+            out = out.withColumn(f"__no_{kind}", F.expr(f"transform(filter(__{kind}, s -> {FAILS[kind]} AND NOT ({HOLDS[kind]})), s -> struct('no' AS kind, s.start AS start, s.stop AS stop, s.value AS value))"))
         out = out.withColumn(f"__{kind}", F.expr(f"filter(__{kind}, s -> {HOLDS[kind]})"))
+    out = out.withColumn("__no", F.expr(f"filter(concat({', '.join(f'__no_{k}' for k in FAILS)}), s -> NOT exists(__phone, b -> b.start < s.stop AND s.start < b.stop))"))
     out = out.withColumn("base", F.concat(*[f"__{k}" for k in KINDS]))
     out = out.withColumn("__other", F.when(digits, spans_of("id", CANDIDATE)).otherwise(none))
-    out = out.withColumn("__other", F.expr(f"filter(__other, s -> NOT (s.value rlike r'{DATE}') AND NOT exists(base, b -> b.start < s.stop AND s.start < b.stop))"))
+    out = out.withColumn("__other", F.expr(f"filter(__other, s -> NOT (s.value rlike r'{DATE}') AND NOT exists(concat(base, __no), b -> b.start < s.stop AND s.start < b.stop))"))
     before = f"regexp_extract(lower(substr(__text, greatest(s.start - 39, 1), least(40, s.start))), {_quoted(BEFORE)}, 0)"
     after = r"regexp_extract(lower(substr(__text, s.stop + 1, 40)), r'^[^\p{L}0-9]{0,8}(?:\p{L}+|$)', 0)"
-    around = F.expr(f"transform(concat(base, __other), s -> struct(s.kind AS kind, s.start AS start, s.stop AS stop, s.value AS value, concat('< ', {before}) AS left, concat('> ', {after}) AS right))")
+    around = F.expr(f"transform(concat(base, __no, __other), s -> struct(s.kind AS kind, s.start AS start, s.stop AS stop, s.value AS value, concat('< ', {before}) AS left, concat('> ', {after}) AS right))")
     return out.withColumn("around", around).select(doc, "text_key", "base", "around")
 
 
 def pattern_scores(instances: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
-    """Scores of (value) and of (pattern, seeds) after some rounds. instances: (value, seed, pattern), any number of times."""
+    """Scores of (value) and of (pattern, seeds) after some rounds. instances: (value, seed, pattern), any number of times; seed is 1, 0 for unknown or -1 for a counter-example."""
     edges = written(instances.groupBy("value", "pattern").agg(F.max("seed").alias("seed")), "pattern-edges")
-    values = edges.groupBy("value").agg(F.max("seed").cast("double").alias("score"), F.max("seed").alias("seed"))
+    values = edges.groupBy("value").agg((F.max("seed") == 1).cast("double").alias("score"), F.max("seed").alias("seed"))
     patterns = None
     for _ in range(rounds):
         scored = edges.drop("seed").join(values, "value")
-        patterns = written(scored.groupBy("pattern").agg((F.sum("score") / (F.count("*") + 1)).alias("worth"), F.sum(F.col("seed").cast("long")).alias("seeds")), "patterns")
+        patterns = written(scored.groupBy("pattern").agg((F.sum("score") / (F.count("*") + 1)).alias("worth"), F.sum((F.col("seed") == 1).cast("long")).alias("seeds")), "patterns")
         lifted = edges.join(patterns, "pattern").groupBy("value").agg(F.max("seed").alias("seed"), (1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("worth"), F.lit(1e-9)))))).alias("score"))
-        values = written(lifted.select("value", F.when(F.col("seed") == 1, 1.0).otherwise(F.col("score")).alias("score"), "seed"), "instances")
+        values = written(lifted.select("value", F.when(F.col("seed") == 1, 1.0).when(F.col("seed") == -1, 0.0).otherwise(F.col("score")).alias("score"), "seed"), "instances")
     return values, patterns
 
 
@@ -102,7 +111,7 @@ def personal_data(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> D
     rows. An empty table gives no rows; other columns are ignored.
     """
     found = written(scanned(docs, doc, text), "pii-scan")
-    rows = found.select(doc, "text_key", F.explode("around").alias("a")).select(doc, "text_key", "a.*").withColumn("seed", (F.col("kind") != "id").cast("int"))
+    rows = found.select(doc, "text_key", F.explode("around").alias("a")).select(doc, "text_key", "a.*").withColumn("seed", F.when(F.col("kind") == "id", 0).when(F.col("kind") == "no", -1).otherwise(1))
     pairs = rows.select("value", "seed", F.explode(F.array("left", "right")).alias("pattern"))
     values, patterns = pattern_scores(pairs)
     strong = patterns.filter((F.col("seeds") >= LEAST_SEEDS) & (F.col("worth") >= LEAST_PATTERN)).select("pattern")

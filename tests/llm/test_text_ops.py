@@ -90,9 +90,9 @@ def test_personal_data_base(spark, docs, texts, empty):
 
 def test_personal_data_discovers(spark):
     known = [(i, f"please mail user{i}x@mail.example for help") for i in range(12)]
-    rows = [*known, (50, "please mail ab12cd34ef for help"), (51, "built in 20190203 or so"), (52, "see 2019-02-03 here")]
+    rows = [*known, (50, "please mail ab12cd34ef for help"), (51, "built in 20190203 or so"), (52, "see 2019-02-03 here"), (53, "please mail 4111111111111112 for help")]
     got = {r.doc_id: [(s.kind, s.value) for s in r.spans] for r in pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got[50] == [("id", "ab12cd34ef")] and got[51] == [] and got[52] == []
+    assert got[50] == [("id", "ab12cd34ef")] and got[51] == got[52] == got[53] == []
     clean = {r.doc_id: r.text for r in pii.redacted(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert clean[0] == "please mail <email> for help" and clean[50] == "please mail <id> for help" and clean[51] == "built in 20190203 or so"
 
