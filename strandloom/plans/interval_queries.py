@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from strandloom.operators import intervals as iv
 from strandloom.plans import views
 from strandloom.plans.catalog import query
+from strandloom.plans.session import table, written
 
 V = f"WITH {views.INTERVALS}"
 
@@ -25,8 +26,6 @@ bins AS (SELECT g.chrom, g.bin, coalesce(h.seed, false) AS seed, h.bin IS NOT NU
 
 
 def bins(spark, sf_dir):
-    from strandloom.plans.session import table
-
     events = table(spark, sf_dir, "events")
     kind = events.agg(F.min("event_type").alias("k"))
     at = F.unix_seconds(F.col("ts").cast("timestamp"))
@@ -73,7 +72,7 @@ ext2 AS (SELECT r.chrom, greatest(coalesce(l, r.s - 10000), r.s - 10000, 0) AS s
 
 @query("ivl_extended_regions", f"{_EXTENDED} SELECT chrom, s::BIGINT AS s, e::BIGINT AS e FROM ext2")
 def extended_regions(spark, sf_dir):
-    b = bins(spark, sf_dir)
+    b = written(bins(spark, sf_dir), "bins")
     return iv.extended(iv.regions(b, ["chrom"]), b, ["chrom"])
 
 
@@ -113,8 +112,6 @@ SELECT user_id, min(event_id) FILTER (waited >= 5) AS stopped_at, max(waited) AS
 def early_stopping(spark, sf_dir):
     from pyspark.sql import Window
 
-    from strandloom.plans.session import table
-
     order = Window.partitionBy("user_id").orderBy("event_id")
     best = F.max("value").over(order.rowsBetween(Window.unboundedPreceding, -1))
     e = table(spark, sf_dir, "events").select("user_id", "event_id", F.when(best.isNull() | (F.col("value") > best), 1).otherwise(0).alias("better"))

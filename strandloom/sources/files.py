@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandloom.functions import bases
+from strandloom.plans.session import written
 
 WINDOW_DDL = "global_window_index bigint, chrom_id string, chrom_length bigint, chrom_index bigint, chrom_window_index bigint, center_start bigint, center_end bigint, chunk_id bigint, chunk_local_index bigint, sequence string"
 FASTA, GFF = (".fa", ".fna", ".fasta"), (".gff", ".gff3", ".gtf")
@@ -73,6 +74,7 @@ def hierarchy(found: DataFrame) -> dict[str, DataFrame]:
     Of several lines with one gene id the last counts; children without a parent are dropped.
     """
     keep = ["seqid", "strand", "s", "e", "attributes"]
+    found = written(found, "features")  # attributes are parsed once
     last = lambda df, key: df.groupBy(key).agg(F.max_by(F.struct(*keep), "line_no").alias("x"), F.min("line_no").alias("parse_index")).select(key, "x.*", "parse_index")
     genes = last(found.filter("type = 'gene'").withColumnRenamed("id", "gid"), "gid")
     tx = found.filter(F.col("type").isin(*TRANSCRIPTS)).withColumn("gid", F.expr("coalesce(try_element_at(parents, 1), concat('gene_for_', id))")).withColumnRenamed("id", "tid")
