@@ -144,6 +144,13 @@ def _together(texts: list[bytes], group: list[int]) -> tuple[np.ndarray, ...]:
     return np.array(group)[which], at - starts, keys[at], whole, at - lo, hi - at
 
 
+def _parts(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces, so that a task holds few texts and their hashes at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def _bytes(column: pa.Array) -> list[bytes]:
     return [x.encode() for x in column.to_pylist()]
 
@@ -152,7 +159,7 @@ def batch_keys(docs: DataFrame, text: str, batches: int) -> DataFrame:
     """(batch, key): keys of the suffixes of each batch of documents. What a task finds several times it gives twice."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows:
+        for batch in _parts(rows):
             found = suffixes_of(_bytes(batch.column(1)))
             numbers = batch.column(0).to_numpy()[found[0]]
             for number in np.unique(numbers):
@@ -227,7 +234,7 @@ def shared_suffixes(docs: DataFrame, bits: np.ndarray, text: str) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(bits)
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows:
+        for batch in _parts(rows):
             found = suffixes_of(_bytes(batch.column(1)))
             keep = _in(shared.value, _slot(found[2]))
             number, at, key, whole, left, right = (x[keep] for x in found)
@@ -243,7 +250,7 @@ def extensions(docs: DataFrame, classes: DataFrame, text: str) -> DataFrame:
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for batch in rows:
+        for batch in _parts(rows):
             out, texts = [], _bytes(batch.column(0))
             number, at, key, whole, left, right = suffixes_of(texts)
             names = whole ^ key
