@@ -48,13 +48,15 @@ _SHIFTS: list[np.ndarray] = []
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The powers of the base and of its inverse, mod 2^64."""
-    if not _SHIFTS:
-        size = SEGMENT + 4 * LENGTH
+    """The powers of the base and of its inverse, mod 2^64: n of the first, n or more of the second."""
+    if not _SHIFTS or len(_SHIFTS[0]) < n:
+        size = max(SEGMENT + 2 * _MARGIN + LENGTH, n)  # a segment with its last string and both margins
+        made = []
         for base in (_BASE, pow(_BASE, -1, 1 << 64)):
             steps = np.full(size, base, np.uint64)
             steps[0] = 1
-            _SHIFTS.append(np.cumprod(steps, dtype=np.uint64))
+            made.append(np.cumprod(steps, dtype=np.uint64))
+        _SHIFTS[:] = made
     return _SHIFTS[0][:n], _SHIFTS[1]
 
 

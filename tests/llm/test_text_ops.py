@@ -131,6 +131,30 @@ def test_suffixes_of_long_texts_do_not_depend_on_segments(monkeypatch):
     assert [x.tolist() for x in suffix_index.kept_suffixes(data)] == whole
 
 
+def test_suffixes_of_texts_of_several_real_segments(monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(suffix_index, "_SHIFTS", [])
+    for n in (2 * suffix_index.SEGMENT + 400, 2 * suffix_index.SEGMENT + 401, 2 * suffix_index.SEGMENT + 1500, 3 * suffix_index.SEGMENT + 700):
+        data = np.random.default_rng(n).integers(97, 101, n, np.uint8).tobytes()
+        got = [x.tolist() for x in suffix_index.kept_suffixes(data)]
+        with monkeypatch.context() as patch:
+            patch.setattr(suffix_index, "SEGMENT", 1 << 21)
+            assert [x.tolist() for x in suffix_index.kept_suffixes(data)] == got
+        suffix_index._SHIFTS.clear()
+
+
+def test_repeats_of_a_very_long_text(spark):
+    import random
+
+    rng = random.Random(5)
+    long = "".join(rng.choices("abcdefgh ", k=2 * suffix_index.SEGMENT + 5000))
+    at = suffix_index.SEGMENT - 150  # over the border of two segments
+    docs = spark.createDataFrame([(1, long), (2, "x" * 20 + long[at : at + 300])], "doc_id long, text string")
+    got = sorted(tuple(r) for r in suffix_index.remove_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans").collect())
+    assert got == [(1, len(long), 300, 1), (2, 320, 300, 1)]
+
+
 def test_suffixes_of_texts_together(texts):
     data = [(t or "").encode() for _, t in texts] * 3
     got = suffix_index.suffixes_of(data)
