@@ -98,6 +98,28 @@ def test_host_boilerplate(spark):
     assert got == {0: own[0], 1: own[1], 2: own[2], 3: f"{menu} {own[3]}", 4: menu, 5: own[2]}
 
 
+def test_marked_wrappers():
+    body = "<article><h1>Title</h1><p>Some text</p></article>"
+    for page in (
+        f"<body class='has-sidebar'>{body}", f"<body class=menu>{body}", f"<div id=page class='no-sidebar'>{body}</div>", f"<div class='nav-open'>{body}</div>", f"<div class='cookie-banner-closed'>{body}</div>",
+        f"<div class='widget'><div class='content comments-open'>{body}</div></div>", f"<form id=all>{body}</form>", f"<div style='overflow:hidden' class='text-hidden'>{body}</div>",
+        f"{body}<div class=comments><article>me too</article></div>", f"{body}<aside><article>next</article></aside>",
+        "<article class='post comments-open'><h1>Title</h1><div class='content comments-open'>Some text</div><div class='cookie-notice'>ok</div><ul class='comment-list'>me too</ul><div class='x ad'>buy</div></article>",
+        "<main class='content sidebar'><h1>Title</h1><p>Some text</main>", "<div role=main class=widget><h1>Title</h1><p>Some text</div>",
+    ):
+        assert html_text.has_main(page) and html_text.blocks_of(page)[0] == ["Title", "Some text"], page
+    assert html_text.blocks_of("<body class='has-sidebar'><div class='nav-open'>a</div><div class='nav'>b</div><div class='site-header'>c</div>")[1] == ["a"]
+    assert html_text.blocks_of("<aside><article>next</article></aside>x") == ([], ["x"])
+
+
+def test_raw_elements_without_an_end():
+    for name in ("svg", "iframe", "object", "math"):
+        for tag in (f"<{name} a='b' />", f"<{name}/>", f"<{name} hidden/>", f"<{name} src=http://x/>y</{name}>", f"<{name}>y</{name}>"):
+            assert html_text.blocks_of(f"<article><p>a</p>{tag}<p>b</p></article>")[0] == ["a", "b"], tag
+    assert html_text.blocks_of("<article><p>a</p><svg><path d=x><p>b</p><svg><p>c</p></article>")[0] == ["a", "b", "c"]
+    assert html_text.blocks_of("<article><p>a</p><script>b")[0] == ["a"]
+
+
 def components(texts):
     def shingles(t):
         w = (t or "").encode().lower().split()
