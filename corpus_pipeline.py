@@ -23,10 +23,15 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near-duplicates, that of the smallest id."""
-    found = jaccard_join.near_duplicates(docs)
-    kept = found.filter(F.col("doc_id") == F.col("component_id")).select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    """One row of each component of near-duplicates, that of the smallest id; rows without an id come after all others.
+
+    Rows are told apart by id and text: an id with several texts, or rows without an id, are as many
+    documents, each kept or not by its own component. Of rows with equal id and text one is kept. A
+    text without words is near to nothing.
+    """
+    keyed = docs.withColumn("__row", F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key")))
+    kept = jaccard_join.near_duplicates(keyed, doc="__row").select(F.col("component_id").alias("__row")).distinct()
+    return keyed.join(kept, "__row", "left_semi").dropDuplicates(["__row"]).select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

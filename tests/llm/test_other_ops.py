@@ -249,3 +249,15 @@ def test_pipeline(spark, tmp_path, docs, texts):
     assert seen["decontamination"] == {(d, t) for d, t in alone if d != 306} == seen["personal_data"]
     out = corpus_pipeline.run(spark, root)
     assert {r.doc_id for r in out.collect()} == {d for d, _ in seen["personal_data"]}
+
+
+def test_near_duplicates_of_null_and_repeated_ids(spark, tmp_path):
+    import corpus_pipeline
+
+    text = {c: " ".join(f"{c}{k}" for k in range(60)) for c in "abcdefg"}
+    rows = [(None, "a"), (None, "b"), (None, "b"), (None, "c"), (5, "c"), (7, "d"), (7, "e"), (2, "f"), (7, "f"), (7, "g"), (7, "g")]
+    frame = spark.createDataFrame([(d, text[c] + (" end" if d == 5 else ""), "en", "src", 0) for d, c in rows] + [(None, None, "en", "src", 0), (9, " ", "en", "src", 0)], "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.near_duplicates(spark, frame, str(tmp_path))
+    assert out.columns == frame.columns
+    got = collections.Counter((r.doc_id, (r.text or " ")[0]) for r in out.collect())
+    assert got == collections.Counter([(None, "a"), (None, "b"), (5, "c"), (7, "d"), (7, "e"), (2, "f"), (7, "g"), (None, " "), (9, " ")])
