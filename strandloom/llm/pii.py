@@ -1,14 +1,16 @@
 """Personal data by bootstrapped contextual extraction, in DataFrame and SQL functions only.
 
-Fixed patterns find e-mail addresses, network addresses, card numbers and telephone numbers. These
-are the seeds. What stands around a seed, the last word before it with its punctuation and the word
-behind it, is a lexical pattern. Other strings that look like identifiers (long runs of letters and
-digits, or of digits) are instances too, of unknown worth. Patterns and instances form a graph that
+Fixed patterns find e-mail addresses, network addresses, card numbers and telephone numbers, and
+strings that are keys by their form alone (long hexadecimal runs, long runs that change between
+letters and digits again and again). These are the seeds. What stands around a seed, the last word before it with its punctuation and the word
+behind it, is a lexical pattern; without a word it is none. Other strings that look like identifiers
+(long runs of letters and digits, or of digits, or several groups of them with blanks between) are
+instances too, of unknown worth. Patterns and instances form a graph that
 is scored in rounds: a pattern by the mean score of the distinct instances that it extracts, an
 unknown instance by the patterns that extract it, together (noisy or). What has a seed's form but fails its check (a
 card number without the right check digit) is a counter-example, which counts against its patterns.
 Patterns that many seeds support and that score high discover the unknown instances around which
-they stand.
+they stand, and what is discovered is a seed of the next round, until a round changes nothing.
 
 Texts are read once. The graph has an edge for each distinct pair of instance and pattern.
 """
@@ -33,10 +35,17 @@ PATTERNS = {
 #: What a text must have for a pattern to be looked for.
 NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 #: Strings that may be identifiers: eight or more letters, digits, dashes and underlines, with a digit.
-CANDIDATE = r"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]{0,63}[0-9])[A-Za-z0-9_-]{8,64}(?![A-Za-z0-9_-])"
+CANDIDATE = r"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]*+[0-9])[A-Za-z0-9_-]{8,}+"
+#: The same in groups of two or more with a digit each, one blank between; all of eight letters and digits or more.
+_GROUP = r"(?=[A-Za-z0-9]{2})[A-Za-z]*+[0-9][A-Za-z0-9]*+"
+SPACED = rf"(?<![A-Za-z0-9_-]){_GROUP}(?:\x20{_GROUP})++(?![A-Za-z0-9_-])"
+#: Those that need no context: hexadecimal with letters, or four changes from letters to digits.
+KEY = r"^(?=[0-9]*+[A-Fa-f])[0-9A-Fa-f]{32,}+$|^(?=.{20})[0-9_-]*+(?:[A-Za-z_-]++[0-9][0-9_-]*+){4}"
 DATE = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"
 BEFORE = r"(?:\p{L}+[^\p{L}0-9]{0,8}|^)$"
-ROUNDS, LEAST_SEEDS, LEAST_PATTERN, LEAST_INSTANCE = 3, 3, 0.5, 0.75
+LEAST_SEEDS, LEAST_PATTERN, LEAST_INSTANCE = 3, 0.5, 0.75
+#: A score that rises by less has not changed.
+STILL = 0.01
 SPAN = "array<struct<kind:string,start:int,stop:int,value:string>>"
 
 
@@ -71,7 +80,7 @@ FAILS = {"ip": "true", "card": f"length({_DIGITS}) BETWEEN 12 AND 19"}
 
 
 def scanned(docs: DataFrame, doc: str, text: str) -> DataFrame:
-    """(doc, text_key, base, around): base spans, and every instance with its patterns, of each row."""
+    """(doc, text_key, base, keys, around): base spans, keys, and every instance with its patterns, of each row."""
     out = docs.select(doc, F.coalesce(text, F.lit("")).alias("__text")).withColumn("text_key", F.xxhash64("__text"))
     digits = F.col("__text").rlike("[0-9]")
     none = F.expr(f"cast(array() as {SPAN})")
@@ -83,29 +92,45 @@ def scanned(docs: DataFrame, doc: str, text: str) -> DataFrame:
         out = out.withColumn(f"__{kind}", F.expr(f"filter(__{kind}, s -> {HOLDS[kind]})"))
     out = out.withColumn("__no", F.expr(f"filter(concat({', '.join(f'__no_{k}' for k in FAILS)}), s -> NOT exists(__phone, b -> b.start < s.stop AND s.start < b.stop))"))
     out = out.withColumn("base", F.concat(*[f"__{k}" for k in KINDS]))
-    out = out.withColumn("__other", F.when(digits, spans_of("id", CANDIDATE)).otherwise(none))
-    out = out.withColumn("__other", F.expr(f"filter(__other, s -> NOT (s.value rlike r'{DATE}') AND NOT exists(concat(base, __no), b -> b.start < s.stop AND s.start < b.stop))"))
+    out = out.withColumn("__run", F.when(digits, spans_of("id", CANDIDATE)).otherwise(none))
+    out = out.withColumn("keys", F.expr(f"transform(filter(__run, s -> s.value rlike {_quoted(KEY)} AND NOT exists(base, b -> b.start <= s.start AND s.stop <= b.stop)), s -> struct('key' AS kind, s.start AS start, s.stop AS stop, s.value AS value))"))
+    out = out.withColumn("__no", F.expr("filter(__no, s -> NOT exists(keys, b -> b.start < s.stop AND s.start < b.stop))"))
+    spaced = F.when(digits, spans_of("id", SPACED)).otherwise(none)
+    out = out.withColumn("__spaced", spaced).withColumn("__other", F.expr("concat(__run, filter(__spaced, s -> length(replace(s.value, ' ', '')) >= 8))"))
+    out = out.withColumn("__other", F.expr(f"filter(__other, s -> NOT (s.value rlike r'{DATE}') AND NOT exists(concat(base, keys, __no), b -> b.start < s.stop AND s.start < b.stop))"))
     before = f"regexp_extract(lower(substr(__text, greatest(s.start - 39, 1), least(40, s.start))), {_quoted(BEFORE)}, 0)"
     after = r"regexp_extract(lower(substr(__text, s.stop + 1, 40)), r'^[^\p{L}0-9]{0,8}(?:\p{L}+|$)', 0)"
-    around = F.expr(f"transform(concat(base, __no, __other), s -> struct(s.kind AS kind, s.start AS start, s.stop AS stop, s.value AS value, concat('< ', {before}) AS left, concat('> ', {after}) AS right))")
-    return out.withColumn("around", around).select(doc, "text_key", "base", "around")
+    around = F.expr(f"transform(concat(base, keys, __no, __other), s -> struct(s.kind AS kind, s.start AS start, s.stop AS stop, s.value AS value, concat('< ', {before}) AS left, concat('> ', {after}) AS right))")
+    return out.withColumn("around", around).select(doc, "text_key", "base", "keys", "around")
 
 
-def pattern_scores(instances: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
-    """Scores of (value) and of (pattern, seeds) after some rounds. instances: (value, seed, pattern), any number of times; seed is 1, 0 for unknown or -1 for a counter-example."""
-    edges = written(instances.groupBy("value", "pattern").agg(F.max("seed").alias("seed")), "pattern-edges")
-    values = edges.groupBy("value").agg((F.max("seed") == 1).cast("double").alias("score"), F.max("seed").alias("seed"))
-    patterns = None
-    for _ in range(rounds):
-        scored = edges.drop("seed").join(values, "value")
-        patterns = written(scored.groupBy("pattern").agg((F.sum("score") / (F.count("*") + 1)).alias("worth"), F.sum((F.col("seed") == 1).cast("long")).alias("seeds")), "patterns")
-        lifted = edges.join(patterns, "pattern").groupBy("value").agg(F.max("seed").alias("seed"), (1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("worth"), F.lit(1e-9)))))).alias("score"))
-        values = written(lifted.select("value", F.when(F.col("seed") == 1, 1.0).when(F.col("seed") == -1, 0.0).otherwise(F.col("score")).alias("score"), "seed"), "instances")
-    return values, patterns
+def pattern_scores(instances: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(value, seed, score, found) and (pattern, worth, seeds, strong) when a round changes nothing.
+
+    instances: (value, seed, pattern), any number of times; seed is 1, 0 for unknown or -1 for a
+    counter-example. Patterns without a word are left out. found: discovered, and a seed from then on.
+    Scores never fall and what is found stays found, so the rounds come to an end.
+    """
+    worded = instances.filter(F.col("pattern").rlike(r"\p{L}"))
+    edges = written(worded.groupBy("value", "pattern").agg(F.max("seed").alias("seed")), "pattern-edges")
+    values = edges.groupBy("value").agg(F.max("seed").alias("seed"), (F.max("seed") == 1).cast("double").alias("score")).withColumn("found", F.lit(False))
+    values, edges = written(values, "instances"), edges.drop("seed")
+    while True:
+        worth = (F.sum("score") / (F.count("*") + 1)).alias("worth")
+        patterns = edges.join(values, "value").groupBy("pattern").agg(worth, F.sum(((F.col("seed") == 1) | F.col("found")).cast("long")).alias("seeds"))
+        patterns = written(patterns.withColumn("strong", (F.col("seeds") >= LEAST_SEEDS) & (F.col("worth") >= LEAST_PATTERN)), "patterns")
+        together = (1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("worth"), F.lit(1e-9)))))).alias("together")
+        lifted = edges.join(patterns, "pattern").groupBy("value").agg(together, F.max("strong").alias("strong"))
+        found = F.col("found") | ((F.col("seed") == 0) & F.col("strong") & (F.col("together") >= LEAST_INSTANCE))
+        after = values.join(lifted, "value").withColumn("now", found).withColumn("new", F.when((F.col("seed") == 1) | F.col("now"), 1.0).when(F.col("seed") == -1, 0.0).otherwise(F.col("together")))
+        after = written(after.select("value", "seed", F.col("new").alias("score"), F.col("now").alias("found"), ((F.col("new") - F.col("score") >= STILL) | (F.col("now") != F.col("found"))).alias("changed")), "instances")
+        values = after.drop("changed")
+        if after.filter("changed").isEmpty():
+            return values, patterns
 
 
 def personal_data(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc, text_key, base, spans) of every row: base spans, and with the discovered ones (kind "id") all spans, each (kind, start, stop, value) by start.
+    """(doc, text_key, base, spans) of every row: base spans, and with keys and the discovered ones (kind "id") all spans, each (kind, start, stop, value) by start.
 
     Null and empty texts have no spans. Rows that repeat both id and text have the same spans and stay
     rows. An empty table gives no rows; other columns are ignored.
@@ -114,15 +139,14 @@ def personal_data(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> D
     rows = found.select(doc, "text_key", F.explode("around").alias("a")).select(doc, "text_key", "a.*").withColumn("seed", F.when(F.col("kind") == "id", 0).when(F.col("kind") == "no", -1).otherwise(1))
     pairs = rows.select("value", "seed", F.explode(F.array("left", "right")).alias("pattern"))
     values, patterns = pattern_scores(pairs)
-    strong = patterns.filter((F.col("seeds") >= LEAST_SEEDS) & (F.col("worth") >= LEAST_PATTERN)).select("pattern")
-    likely = values.filter((F.col("seed") == 0) & (F.col("score") >= LEAST_INSTANCE)).select("value")
+    strong, likely = patterns.filter("strong").select("pattern"), values.filter("found").select("value")
     unseen = rows.filter("seed = 0").join(likely, "value", "left_semi")
     unseen = unseen.withColumn("pattern", F.explode(F.array("left", "right"))).join(strong, "pattern", "left_semi")
     new = unseen.select("text_key", F.struct("kind", "start", "stop", "value").alias("s")).groupBy("text_key").agg(F.collect_set("s").alias("new"))
     rank = " ".join(f"WHEN '{k}' THEN {i}" for i, k in enumerate(KINDS))
-    order = f"(x, y) -> CASE WHEN x.start <> y.start THEN x.start - y.start ELSE (CASE x.kind {rank} ELSE 9 END) - (CASE y.kind {rank} ELSE 9 END) END"
-    joined = found.select(doc, "text_key", "base").join(new, "text_key", "left")
-    every = f"concat(base, coalesce(new, cast(array() as {SPAN})))"
+    order = f"(x, y) -> CASE WHEN x.start <> y.start THEN x.start - y.start ELSE 100 * ((CASE x.kind {rank} ELSE 9 END) - (CASE y.kind {rank} ELSE 9 END)) + cast(sign(y.stop - x.stop) as int) END"
+    joined = found.select(doc, "text_key", "base", "keys").join(new, "text_key", "left")
+    every = f"concat(base, keys, coalesce(new, cast(array() as {SPAN})))"
     return joined.select(doc, "text_key", F.expr(f"array_sort(base, {order})").alias("base"), F.expr(f"array_sort({every}, {order})").alias("spans"))
 
 

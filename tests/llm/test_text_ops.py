@@ -3,8 +3,10 @@
 import collections
 import hashlib
 import re
+import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from strandloom.llm import decontaminate, fertility, pii, suffix_index
 
@@ -97,6 +99,29 @@ def test_personal_data_discovers(spark):
     assert clean[0] == "please mail <email> for help" and clean[50] == "please mail <id> for help" and clean[51] == "built in 20190203 or so"
 
 
+def test_personal_data_discovers_in_several_rounds(spark):
+    rows = [(i, f"please mail user{i}x@mail.example for help") for i in range(24)]
+    rows += [(100 + i, f"please mail zz{i:02}yy{i:02}ww code now") for i in range(8)]  # found by what stands before them ...
+    rows += [(200, "xx einlass qq11rr22ss code now"), (201, "xx einlass 33445566 weg")]  # ... and then by what stands behind
+    key = "0123456789abcdef0123456789abcdef01234567"
+    rows += [(300, f'token = "{key}" x'), (301, "see Ab1cD2eF3gH4iJ5kL6mN7 there"), (302, f"mail {key}@mail.example now"), (303, "1234567890123456 " + key.replace("a", "1"))]
+    rows += [(400, f"please mail {'x' * 90}7 for help"), (401, "please mail AB12 CD34 EF56 for help"), (402, "Version-of-2019-for-Windows-Server-10 here")]
+    rows += [(500 + i, f"user{i}y@mail.example 5") for i in range(12)] + [(550, "98765432 5")]
+    got = {r.doc_id: [(s.kind, s.value) for s in r.spans] for r in pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[100 + i] for i in range(8)] == [[("id", f"zz{i:02}yy{i:02}ww")] for i in range(8)]
+    assert got[200] == [("id", "qq11rr22ss")] and got[201] == []
+    assert got[300] == [("key", key)] and got[301] == [("key", "Ab1cD2eF3gH4iJ5kL6mN7")] and got[302] == [("email", f"{key}@mail.example")]
+    assert ("key", key.replace("a", "1")) in got[303]
+    assert got[400] == [("id", "x" * 90 + "7")] and got[401] == [("id", "AB12 CD34 EF56")] and got[402] == got[550] == []
+
+
+@pytest.mark.parametrize("long", ["a" * 200_000, "a" * 200_000 + "1", "a1 " * 100_000, "a1" * 100_000, "-" * 200_000, "aa " * 100_000, "1a " * 100_000])
+def test_identifiers_of_long_texts_take_linear_time(spark, long):
+    begun = time.monotonic()
+    spark.createDataFrame([(1, long)], "doc_id long, text string").select(pii.spans_of("id", pii.CANDIDATE, "text"), pii.spans_of("id", pii.SPACED, "text"), F.col("text").rlike(pii.KEY)).collect()
+    assert time.monotonic() - begun < 30
+
+
 def without_repeats(texts):
     data = [(d, (t or "").encode()) for d, t in texts]
     n = suffix_index.LENGTH
