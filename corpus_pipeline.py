@@ -17,9 +17,12 @@ ORACLE_SQL = None
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules and the tokenizer's bands keep."""
-    judged = fertility.fertility(docs, fertility.vocabulary_path())
-    return judged.filter("kept").select(*docs.columns)
+    """Documents that the base rules and the tokenizers' bands keep: each row by itself, with all its columns.
+
+    Null and empty texts go; rows with null ids or languages are judged like others; repeated rows are
+    kept or go together.
+    """
+    return fertility.judged(docs).filter("__kept").select(*[f"`{c}`" for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,152 +1,225 @@
-"""Quality rules from how a public tokenizer cuts a text.
+"""Quality rules from how public tokenizers cut a text.
 
-A vocabulary made for natural text cuts it into few, varied pieces; noise, shouting and endless
-repetition give short pieces, bytes, or the same pieces again and again. Three measures are held
-against a band for the document's language, or the default band where the language has none:
-characters per token, the share of byte-fallback tokens, and the entropy of the tokens in bits.
-Plain counts of words, symbols and repeats come first.
+A vocabulary made for natural text cuts it into few, varied pieces; noise, shouting, glued symbols
+and endless repetition give short pieces, bytes, or the same pieces again and again. Each vocabulary
+measures characters per token, the share of tokens that are bytes of a cut character, and the
+entropy of the tokens as a share of what so many tokens could have.
 
-Every white-space separated word is cut by itself, so each worker cuts a word once and remembers it.
+The rejection bands aren't set by hand: for each language, and for each script where a language is
+not given or too rare, the quartiles of every measure over all documents that pass the base rules
+give Tukey fences, and a document outside one of them is rejected. Quartiles stand a quarter of noise.
+
+Two passes: the measures are made once without a shuffle and written, then quartiles are aggregated
+(partial ones first, so a common language is no hot key) and joined back by language and script.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator
+import base64
+from bisect import bisect_right
+from collections import Counter
+from collections.abc import Callable, Iterator
+from functools import cache
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from strandloom.plans.session import table
+from strandloom.plans.session import table, written
 
 SQL = None
-
-
-class Band(NamedTuple):
-    """What a document may have: characters per token from, to; byte tokens at most; bits of entropy at least."""
-
-    least_chars: float
-    most_chars: float
-    byte_share: float
-    entropy: float
-
-
-#: Rejection bands by language; None holds for every other one. Alphabets without spaces or outside
-#: the vocabulary get more tokens and bytes, which the default allows for.
-BANDS: dict[str | None, Band] = {
-    "en": Band(1.6, 8.0, 0.05, 5.0),
-    "de": Band(1.6, 8.0, 0.05, 5.0),
-    "fr": Band(1.4, 8.0, 0.05, 5.0),
-    "es": Band(1.5, 8.0, 0.05, 5.0),
-    None: Band(0.3, 8.0, 0.6, 4.5),
-}
 SPACE, SYMBOLS = " \t\n\v\f\r", "#*$%&|<>"
 LEAST_WORDS, MOST_REPEATED = 50, 50
-MEMORY = 1 << 19
-FIELDS = {
-    "n_words": pa.int64(), "word_chars": pa.int64(), "n_symbols": pa.int64(), "n_dup_lines": pa.int64(), "n_repeat_words": pa.int64(),
-    "base_failed": pa.bool_(), "kept": pa.bool_(), "chars_per_token": pa.float64(), "byte_share": pa.float64(), "token_entropy": pa.float64(),
-}
-DDL = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, chars_per_token double, byte_share double, token_entropy double"
-
-
-class Cutter:
-    """Token ids of words, each cut once; forgets all when MEMORY words are held."""
-
-    def __init__(self, path: str) -> None:
+#: Words that a tokenizer gets at a time. A cut between words changes no token.
+CHUNK = 1 << 15
+#: Documents that a language or script must have for bands of its own.
+LEAST_GROUP = 50
+#: Quartile distances from the quartiles to the fences, below and above, and the least distance as a share of the median.
+BELOW, ABOVE, LEAST_WIDTH = 3.0, 6.0, 0.05
+#: Limits of every document, in whatever language: measure -> from, to.
+LIMITS = {"chars": (0.25, 16.0), "bytes": (0.0, 0.6), "entropy": (0.2, 1.0)}
+#: A share of bytes up to this is never too much.
+BYTES_FREE = 0.05
+BASE = {"n_words": pa.int64(), "word_chars": pa.int64(), "n_symbols": pa.int64(), "n_dup_lines": pa.int64(), "n_repeat_words": pa.int64(), "base_failed": pa.bool_(), "script": pa.string()}
+BASE_DDL = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, script string"
+#: The first code point of each range, and the script of its letters (others have none).
+SCRIPTS = [
+    (0x00, None), (0x41, "Latin"), (0x5B, None), (0x61, "Latin"), (0x7B, None), (0xAA, "Latin"), (0x250, None), (0x370, "Greek"), (0x400, "Cyrillic"), (0x530, "Armenian"), (0x590, "Hebrew"), (0x600, "Arabic"), (0x780, None),
+    (0x900, "Devanagari"), (0x980, "Bengali"), (0xA00, "Indic"), (0xE00, "Thai"), (0xE80, None), (0x10A0, "Georgian"), (0x1100, "Hangul"), (0x1200, "Ethiopic"), (0x13A0, None), (0x1780, "Khmer"), (0x1800, None), (0x1E00, "Latin"),
+    (0x1F00, "Greek"), (0x2000, None), (0x3040, "Kana"), (0x3100, None), (0x3400, "Han"), (0xA000, None), (0xAC00, "Hangul"), (0xD7B0, None), (0xF900, "Han"), (0xFB00, None), (0x20000, "Han"), (0x323B0, None),
+]
+_STARTS = [x for x, _ in SCRIPTS]
+
+
+class Vocabulary(NamedTuple):
+    """A public vocabulary: its short name, the path of a .model or .tiktoken file, and the splitting pattern of the latter."""
+
+    name: str
+    path: str
+    pattern: str | None = None
+
+
+def vocabularies() -> list[Vocabulary]:
+    """One of pieces with byte fallback, and one of bytes for many languages."""
+    import public_tokenizers as public
+
+    return [Vocabulary("piece", str(public.path("piece_bpe_32k.model"))), Vocabulary("byte", str(public.path("byte_bpe_multi_50k.tiktoken")), public.PATTERN)]
+
+
+def measures_of(names: list[str]) -> list[str]:
+    return [f"{name}_{m}" for name in names for m in ("chars", "bytes", "entropy")]
+
+
+@cache
+def loaded(vocabulary: Vocabulary) -> tuple[Callable[[str], list[int]], np.ndarray]:
+    """What cuts a text into ids, and for each id whether it stands for bytes and no whole characters. A worker keeps it for its next task."""
+    if vocabulary.path.endswith(".model"):
         from sentencepiece import SentencePieceProcessor
 
-        self.model = SentencePieceProcessor(model_file=path)
-        self.bytes_from, self.bytes_to = self.model.piece_to_id("<0x00>"), self.model.piece_to_id("<0xFF>")
-        self.number: dict[bytes, int] = {}
-        self.pieces: dict[bytes, bytes] = {}
+        model = SentencePieceProcessor(model_file=vocabulary.path)
+        return (lambda text: model.encode(text, num_threads=1)), np.array([model.is_byte(k) for k in range(model.get_piece_size())])
+    import tiktoken
 
-    def learn(self, words: list[bytes]) -> None:
-        new = [w for w in set(words) if w not in self.number]
-        if len(new) + len(self.number) > MEMORY:
-            self.number.clear()
-            self.pieces.clear()
-            new = list(set(words))
-        for word, ids in zip(new, self.model.encode([w.decode() for w in new], num_threads=1), strict=True):
-            self.number[word] = len(self.number)
-            self.pieces[word] = np.array(ids, np.int32).tobytes()
+    with open(vocabulary.path, "rb") as lines:
+        ranks = {base64.b64decode(piece): int(rank) for piece, rank in map(bytes.split, lines)}
+    partial = np.zeros(max(ranks.values()) + 1, bool)
+    for piece, rank in ranks.items():
+        try:
+            piece.decode()
+        except UnicodeDecodeError:
+            partial[rank] = True
+    return tiktoken.Encoding(vocabulary.name, pat_str=vocabulary.pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary, partial
 
 
-def repeated_words(numbers: np.ndarray) -> int:
+def repeated_words(words: list[bytes]) -> int:
     """Words inside 3-word windows that are found twice or more."""
-    if len(numbers) < 4:
+    number: dict[bytes, int] = {}
+    ids = np.fromiter((number.setdefault(w, len(number)) for w in words), np.int64, len(words))
+    if len(ids) < 4 or len(number) == len(ids):
         return 0
-    keys = (numbers[:-2] << 42) | (numbers[1:-1] << 21) | numbers[2:]
-    order = np.argsort(keys, kind="stable")
-    same = keys[order][1:] == keys[order][:-1]
-    if not same.any():
-        return 0
-    twice = np.zeros(len(keys), bool)
-    twice[order[1:][same]] = True
-    twice[order[:-1][same]] = True
-    words = np.zeros(len(numbers), bool)
+    pairs = np.unique(ids[:-1] * len(number) + ids[1:], return_inverse=True)[1].astype(np.int64)
+    _, at, times = np.unique(pairs[:-1] * len(number) + ids[2:], return_inverse=True, return_counts=True)
+    twice = times[at] > 1
+    inside = np.zeros(len(ids), bool)
     for k in range(3):
-        words[k : len(numbers) - 2 + k] |= twice
-    return int(words.sum())
-
-
-def measured(text: str | None, lang: str | None, cutter: Cutter, bands: dict) -> tuple:
-    """The row of one document, in the order of FIELDS."""
+        inside[k : len(ids) - 2 + k] |= twice
+    return int(inside.sum())
+
+
+def script_of(text: str) -> str | None:
+    """The script of most letters; of two with as many the first in the alphabet."""
+    if text.isascii():
+        return "Latin" if any(map(str.isalpha, text)) else None
+    found: Counter[str] = Counter()
+    for letter, n in Counter(text).items():
+        if (script := SCRIPTS[bisect_right(_STARTS, ord(letter)) - 1][1]) and letter.isalpha():
+            found[script] += n
+    return min(found, key=lambda s: (-found[s], s)) if found else None
+
+
+def token_measures(words: list[bytes], word_chars: int, encode: Callable[[str], list[int]], partial: np.ndarray) -> tuple[float, float, float]:
+    """(characters per token, share of byte tokens, entropy as a share of the most that so many tokens can have)."""
+    ids, counts = [], []
+    for begin in range(0, len(words), CHUNK):
+        said = (b" " if begin else b"") + b" ".join(words[begin : begin + CHUNK])
+        found = np.unique(np.array(encode(said.decode()), np.int64), return_counts=True)
+        ids.append(found[0])
+        counts.append(found[1])
+    if len(ids) > 1:
+        every, at = np.unique(np.concatenate(ids), return_inverse=True)
+        each = np.bincount(at, weights=np.concatenate(counts))
+    else:
+        every, each = ids[0], counts[0]
+    n = max(int(each.sum()), 1)
+    share = each / n
+    entropy = float(-(share * np.log2(share)).sum()) / max(float(np.log2(n)), 1.0)
+    return word_chars / n, float(share[partial[every]].sum()), entropy
+
+
+def measured(text: str | None, cutters: list[tuple[Callable[[str], list[int]], np.ndarray]]) -> tuple:
+    """The base counts of one text in the order of BASE, then the measures of each vocabulary; a text without words has none."""
     text = text or ""
     words = text.encode().split()
     n = len(words)
-    word_chars = len(text) - sum(map(text.count, SPACE))
     n_symbols = sum(map(text.count, SYMBOLS))
-    lines = [x for x in text.split("\n") if x.strip(SPACE)]
     if not n:
-        return 0, 0, n_symbols, 0, 0, True, False, None, None, None
-    cutter.learn(words)
-    n_repeat = repeated_words(np.fromiter(map(cutter.number.__getitem__, words), np.int64, n))
-    ids = np.frombuffer(b"".join(map(cutter.pieces.__getitem__, words)), np.int32)
-    counts = np.bincount(ids) if len(ids) > 20_000 else np.unique(ids, return_counts=True)[1]
-    share = counts[counts > 0] / max(len(ids), 1)
-    entropy = float(-(share * np.log2(share)).sum())
-    chars, byte_share = word_chars / max(len(ids), 1), float(((ids >= cutter.bytes_from) & (ids <= cutter.bytes_to)).mean())
+        return 0, 0, n_symbols, 0, 0, True, None, *[None] * (3 * len(cutters))
+    word_chars = len(text) - sum(map(text.count, SPACE))
+    lines = [x for x in text.split("\n") if x.strip(SPACE)]
+    n_repeat = repeated_words(words)
     failed = n < LEAST_WORDS or 100 * n_repeat > MOST_REPEATED * n
-    band = bands.get(lang) or bands[None]
-    good = band.least_chars <= chars <= band.most_chars and byte_share <= band.byte_share and entropy >= min(band.entropy, 0.7 * math.log2(max(len(ids), 2)))
-    return n, word_chars, n_symbols, len(lines) - len(set(lines)), n_repeat, failed, good and not failed, chars, byte_share, entropy
-
+    measures = [x for encode, partial in cutters for x in token_measures(words, word_chars, encode, partial)]
+    return n, word_chars, n_symbols, len(lines) - len(set(lines)), n_repeat, failed, script_of(text), *measures
 
-def fertility(docs: DataFrame, vocabulary: str, bands: dict | None = None, text: str = "text", lang: str = "lang", carried: list[str] | None = None) -> DataFrame:
-    """`docs` with the columns of FIELDS behind their own; kept says that base rules and band are met.
 
-    One pass without a shuffle. A null or empty text has no words, fails and is not kept. A null
-    language has the default band. Columns of docs that have the names of FIELDS are replaced.
-    carried: the columns of docs that are returned, all by default.
-    """
-    bands = bands or BANDS
-    docs = docs.drop(*[c for c in docs.columns if c.lower() in FIELDS])
+def measures(docs: DataFrame, using: list[Vocabulary], text: str = "text", carried: list[str] | None = None) -> DataFrame:
+    """The columns `carried` of docs (all by default) and a struct __m with the base counts and measures of every row."""
     carried = docs.columns if carried is None else carried
+    names = measures_of([v.name for v in using])
+    inner = pa.struct([*BASE.items(), *((m, pa.float64()) for m in names)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cutter = Cutter(vocabulary)
+        cutters = [loaded(v) for v in using]
         for batch in batches:
-            at = {c: k for k, c in enumerate(batch.schema.names)}
-            langs = batch.column(at[lang]) if lang in at else [None] * batch.num_rows
-            rows = [measured(x.as_py(), y.as_py() if y is not None else None, cutter, bands) for x, y in zip(batch.column(at[text]), langs, strict=True)]
-            new = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), FIELDS.values(), strict=True)] if rows else [pa.array([], t) for t in FIELDS.values()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(at[c]) for c in carried), *new], names=[*carried, *FIELDS])
-
-    schema = ", ".join(f"`{c}` {t}" for c, t in docs.select(*[f"`{c}`" for c in carried]).dtypes)
-    return docs.mapInArrow(run, f"{schema}, {DDL}")
-
-
-def vocabulary_path() -> str:
-    """The public vocabulary with byte fallback."""
-    import public_tokenizers
-
-    return str(public_tokenizers.path("piece_bpe_32k.model"))
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                rows = [dict(zip(inner.names, measured(x.as_py(), cutters), strict=True)) for x in part.column(len(carried))]
+                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(len(carried))), pa.array(rows, inner)], names=[*carried, "__m"])
+
+    chosen = docs.select(*[F.col(f"`{c}`") for c in carried], F.col(f"`{text}`").alias("__text"))
+    schema = ", ".join(f"`{c}` {t}" for c, t in chosen.drop("__text").dtypes)
+    fields = BASE_DDL.replace(" ", ":").replace(",:", ", ") + "".join(f", {m}:double" for m in names)
+    return chosen.mapInArrow(run, f"{schema}, `__m` struct<{fields}>" if schema else f"`__m` struct<{fields}>")
+
+
+def bands(found: DataFrame, group: Column, names: list[str], least: int = LEAST_GROUP) -> DataFrame:
+    """(grp, low, high) for each group of at least `least` rows of `found` that pass the base rules: the fences of every measure, as structs."""
+    quartiles = [F.percentile_approx(F.col(f"__m.{m}"), [0.25, 0.5, 0.75], 10_000).alias(m) for m in names]
+    sound = found.filter(~F.col("__m.base_failed")).select(group.alias("grp"), "__m").filter("grp IS NOT NULL")
+    q = sound.groupBy("grp").agg(F.count("*").alias("n"), *quartiles).filter(F.col("n") >= least)
+    width = {m: F.greatest(F.col(m)[2] - F.col(m)[0], F.lit(LEAST_WIDTH / BELOW) * F.col(m)[1]) for m in names}
+    low = [(F.col(m)[0] - BELOW * width[m]).alias(m) for m in names]
+    high = [F.greatest(F.col(m)[2] + ABOVE * width[m], F.lit(BYTES_FREE if m.endswith("_bytes") else 0.0)).alias(m) for m in names]
+    return q.select("grp", F.struct(*low).alias("low"), F.struct(*high).alias("high"))
+
+
+def judged(docs: DataFrame, using: list[Vocabulary] | None = None, text: str = "text", lang: str = "lang", carried: list[str] | None = None, least: int = LEAST_GROUP) -> DataFrame:
+    """The columns `carried` of docs (all by default), __m, and __kept: whether base rules, limits and the bands of language or script are met.
+
+    A null or empty text has no words, fails and is not kept. A null language, one without `least`
+    sound documents, or docs without a column `lang`: the script's bands; where that is too rare also,
+    LIMITS alone. Repeated rows stay rows and count as rows in the quartiles; columns that docs has
+    besides are carried whatever their names (but __m, __kept, __text and __lang); an empty table gives no rows. A very long text is cut CHUNK words at a time.
+    """
+    using = using or vocabularies()
+    names = measures_of([v.name for v in using])
+    carried = docs.columns if carried is None else carried
+    keyed = docs.withColumn("__lang", F.col(f"`{lang}`").cast("string") if lang in docs.columns else F.lit(None).cast("string"))
+    found = written(measures(keyed, using, text, [*carried, "__lang"]), "fertility-measures")
+    by_lang = written(bands(found, F.col("__lang"), names, least), "language-bands")
+    by_script = written(bands(found, F.col("__m.script"), names, least), "script-bands")
+    # the written bands have a row for each language; Spark sees their size and picks the join
+    joined = found.join(by_lang.select(F.col("grp").alias("__lang"), F.col("low").alias("__low"), F.col("high").alias("__high")), "__lang", "left")
+    joined = joined.join(by_script.select(F.col("grp").alias("__script"), F.col("low").alias("__low2"), F.col("high").alias("__high2")), F.col("__m.script") == F.col("__script"), "left")
+    good = ~F.col("__m.base_failed")
+    for m in names:
+        x, (least_x, most_x) = F.col(f"__m.{m}"), LIMITS[m.rsplit("_", 1)[1]]
+        low, high = F.coalesce(F.col(f"__low.{m}"), F.col(f"__low2.{m}"), F.lit(least_x)), F.coalesce(F.col(f"__high.{m}"), F.col(f"__high2.{m}"), F.lit(most_x))
+        good = good & (x >= F.greatest(low, F.lit(least_x))) & (x <= F.least(high, F.lit(most_x)))
+    return joined.select(*[F.col(f"`{c}`") for c in carried], "__m", F.coalesce(good, F.lit(False)).alias("__kept"))
+
+
+def fertility(docs: DataFrame, using: list[Vocabulary] | None = None, text: str = "text", lang: str = "lang", carried: list[str] | None = None, least: int = LEAST_GROUP) -> DataFrame:
+    """`judged` with the counts, the measures and `kept` as columns; columns of docs with these names are replaced."""
+    using = using or vocabularies()
+    new = [*BASE, *measures_of([v.name for v in using])]
+    carried = [c for c in (docs.columns if carried is None else carried) if c.lower() not in (*new, "kept")]
+    out = judged(docs, using, text, lang, carried, least)
+    return out.select(*[F.col(f"`{c}`") for c in carried], *[F.col(f"__m.{c}").alias(c) for c in new], F.col("__kept").alias("kept"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The base counts and the verdict on every document."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
-    return fertility(docs, vocabulary_path(), carried=["doc_id"])
+    """The base counts, the measures and the verdict on every document."""
+    return fertility(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), carried=["doc_id"])

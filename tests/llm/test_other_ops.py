@@ -229,6 +229,7 @@ def test_differencing(n):
 def test_pipeline(spark, tmp_path, docs, texts):
     import corpus_pipeline
     from strandloom.llm import fertility
+    from tests.llm.test_text_ops import plain_fertility
 
     root = f"file://{tmp_path}"
     long = dict(texts)[306].split()
@@ -240,9 +241,8 @@ def test_pipeline(spark, tmp_path, docs, texts):
         frame = spark.createDataFrame(stage(spark, frame, root).collect(), plain.schema)
         assert frame.columns == plain.columns
         seen[name] = {(r.doc_id, r.text) for r in frame.collect()}
-    cutter = fertility.Cutter(fertility.vocabulary_path())
     lang = {r.doc_id: r.lang for r in plain.collect()}
-    kept = [(d, t) for d, t in texts if fertility.measured(t, lang[d], cutter, fertility.BANDS)[list(fertility.FIELDS).index("kept")]]
+    kept = [x for x, good in zip(texts, plain_fertility([(t, lang[d]) for d, t in texts], fertility.LEAST_GROUP), strict=True) if good]
     assert seen["quality_rules"] == set(kept)
     alone = {(d, t) for d, t in kept if d in {c for _, _, c in components(kept)}}
     assert seen["near_duplicates"] == alone

@@ -2,8 +2,11 @@
 
 import collections
 import hashlib
+import math
+import random
 import re
 import time
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,10 +14,69 @@ from pyspark.sql import functions as F
 from strandloom.llm import decontaminate, fertility, pii, suffix_index
 
 
+def plain_fertility(rows, least, limits=fertility.LIMITS):
+    """kept of each (text, lang), by a plain version: whole texts cut at once, quartiles by sorting."""
+    import base64
+
+    import public_tokenizers as public
+    import tiktoken
+    from sentencepiece import SentencePieceProcessor
+
+    piece = SentencePieceProcessor(model_file=str(public.path("piece_bpe_32k.model")))
+    with open(public.path("byte_bpe_multi_50k.tiktoken"), "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    multi = tiktoken.Encoding("plain", pat_str=public.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    whole = {v: k for k, v in ranks.items()}
+
+    def valid(b):
+        try:
+            return bool(b.decode()) or True
+        except UnicodeDecodeError:
+            return False
+
+    def measures(words):
+        out = []
+        for ids, is_byte in ((piece.encode(" ".join(words)), piece.is_byte), (multi.encode_ordinary(" ".join(words)), lambda i: not valid(whole[i]))):
+            n = len(ids)
+            entropy = -sum(c / n * math.log2(c / n) for c in collections.Counter(ids).values())
+            out += [sum(map(len, words)) / n, sum(map(is_byte, ids)) / n, entropy / max(math.log2(n), 1)]
+        return out
+
+    seen = []
+    for text, lang in rows:
+        words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+        three = collections.Counter(zip(words, words[1:], words[2:], strict=False))
+        marked = {k + j for k, w in enumerate(zip(words, words[1:], words[2:], strict=False)) if three[w] > 1 for j in range(3)}
+        failed = len(words) < 50 or 100 * len(marked) > 50 * len(words)
+        scripts = collections.Counter(s for c in text or "" if c.isalpha() for s in [unicodedata.name(c).split()[0]])
+        scripts = {"CJK": scripts["CJK"], "LATIN": scripts["LATIN"]}
+        seen.append((failed, None if failed else measures(words), lang, max(scripts, key=scripts.get)))
+
+    def fences(values, k):
+        values = sorted(values)
+        q1, q2, q3 = (values[max(math.ceil(q * len(values)), 1) - 1] for q in (0.25, 0.5, 0.75))
+        width = max(q3 - q1, 0.05 / 3 * q2)
+        return q1 - 3 * width, max(q3 + 6 * width, 0.05 if k % 3 == 1 else 0)
+
+    groups = collections.defaultdict(list)
+    for failed, m, lang, script in seen:
+        if not failed:
+            groups["script", script].append(m)
+            if lang is not None:
+                groups["lang", lang].append(m)
+    bands = {g: [fences([m[k] for m in ms], k) for k in range(6)] for g, ms in groups.items() if len(ms) >= least}
+    kept = []
+    for failed, m, lang, script in seen:
+        band = bands.get(("lang", lang)) or bands.get(("script", script)) or [(-math.inf, math.inf)] * 6
+        outer = list(limits.values()) * 2
+        kept.append(not failed and all(max(a, c) <= x <= min(b, d) for x, (a, b), (c, d) in zip(m, band, outer, strict=True)))
+    return kept
+
+
 def test_fertility_counts(docs, texts, empty):
-    got = fertility.fertility(docs, fertility.vocabulary_path()).collect()
+    got = fertility.fertility(docs, least=20).collect()
     assert len(got) == len(texts)
-    for row, (doc, text) in zip(sorted(got, key=lambda r: (r.doc_id, r.text or "")), sorted(texts, key=lambda t: (t[0], t[1] or "")), strict=True):
+    for row, (doc, text) in zip(sorted(got, key=lambda r: (r.doc_id, r.n_words)), sorted(texts, key=lambda t: (t[0], len((t[1] or "").split()))), strict=True):
         words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
         three = collections.Counter(zip(words, words[1:], words[2:], strict=False))
         marked = {k + j for k, w in enumerate(zip(words, words[1:], words[2:], strict=False)) if three[w] > 1 for j in range(3)}
@@ -22,14 +84,36 @@ def test_fertility_counts(docs, texts, empty):
         assert (row.n_words, row.word_chars, row.n_symbols, row.n_dup_lines, row.n_repeat_words) == (len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text or "")), len(lines) - len(set(lines)), len(marked)), doc
         assert row.base_failed == (len(words) < 50 or 100 * len(marked) > 50 * len(words))
         assert not (row.kept and row.base_failed)
-    assert fertility.fertility(empty, fertility.vocabulary_path()).count() == 0
+    lang = lambda d: "en" if d % 2 else None
+    assert collections.Counter((r.doc_id, r.kept) for r in got) == collections.Counter((d, k) for (d, _), k in zip(texts, plain_fertility([(t, lang(d)) for d, t in texts], 20), strict=True))
+    assert fertility.fertility(empty).count() == 0
 
 
 def test_fertility_bands(spark):
-    good = "It was a bright cold day in April and the clocks were striking thirteen when Winston hurried through the glass doors of the old mansions though not quickly enough to keep the gritty dust from coming in along with him as he climbed the stairs slowly toward his small flat on the seventh floor above"
-    noise = " ".join(["qqq"] * 30 + ["zzz"] * 30 + ["qqq zzz xxx"] * 10)
-    rows = spark.createDataFrame([(1, good, "en"), (2, noise, "en"), (3, good, None)], "doc_id long, text string, lang string")
-    assert {r.doc_id: r.kept for r in fertility.fertility(rows, fertility.vocabulary_path()).collect()} == {1: True, 2: False, 3: True}
+    """Shouted and symbol-ridden texts and noise go, clean ones stay, in a language, without one, and in another script."""
+    rng = random.Random(2)
+    english = "the quick report of this morning says that rain will come from the north and people should take care on their way home because roads may be wet for some hours until evening when it gets dry again".split()
+    german = "der neue bericht von heute morgen sagt dass regen aus dem norden kommt und die leute sollten auf dem weg nach hause vorsichtig sein weil straßen einige stunden lang nass bleiben".split()
+    han = list("今天早上的報告說北方會下雨人們回家的路上應該小心因為道路可能潮濕幾個小時直到晚上再次乾燥")
+    text = lambda words: " ".join(rng.choice(words) for _ in range(90))
+    rows = [(k, text(w), lang, 1) for k in range(80) for w, lang in ((english, "en"), (german, "de"), (han, None))]
+    odd = [(1000, " ".join(f"{w}{rng.choice(['###', '$$$', '%%%'])}" for w in text(english).split()), "en"), (1001, text(english).upper().replace(" ", "!! "), "en"), (1002, " ".join("".join(rng.choices("bcdfgxq0123", k=7)) for _ in range(90)), "de")]
+    odd += [(1003, " ".join(f"{w}&&&" for w in text(han).split()), None), (1004, text(english), "xx"), (1005, " ".join("\u1234\u2d5f" for _ in range(20)) + " " + text(german), "de")]
+    frame = spark.createDataFrame([*rows, *((d, t, g, 0) for d, t, g in odd)], "doc_id long, text string, lang string, kept int")
+    out = fertility.judged(frame)
+    assert out.columns == [*frame.columns, "__m", "__kept"]
+    got = [(r.doc_id, r["__kept"]) for r in out.collect()]
+    assert all(k for d, k in got if d < 1000) and {d: k for d, k in got if d >= 1000} == {1000: False, 1001: False, 1002: False, 1003: False, 1004: True, 1005: False}
+    plain = [(r.text, r.lang) for r in frame.collect()]
+    assert collections.Counter(got) == collections.Counter(zip((r.doc_id for r in frame.collect()), plain_fertility(plain, fertility.LEAST_GROUP), strict=True))
+
+
+def test_repeated_words_of_many_kinds():
+    """More distinct words than 21 bits number."""
+    n = (1 << 21) + 10
+    words = [b"%x" % k for k in range(n)]
+    assert fertility.repeated_words(words) == 0
+    assert fertility.repeated_words([*words, *words[-3:]]) == 6
 
 
 def contaminated(texts, items):
