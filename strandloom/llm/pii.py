@@ -42,11 +42,14 @@ SPACED = rf"(?<![A-Za-z0-9_-]){_GROUP}(?:\x20{_GROUP})++(?![A-Za-z0-9_-])"
 #: Those that need no context: hexadecimal with letters, or four changes from letters to digits.
 KEY = r"^(?=[0-9]*+[A-Fa-f])[0-9A-Fa-f]{32,}+$|^(?=.{20})[0-9_-]*+(?:[A-Za-z_-]++[0-9][0-9_-]*+){4}"
 DATE = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"
-BEFORE = r"(?:\p{L}+[^\p{L}0-9]{0,8}|^)$"
+#: The word before a string and its punctuation, the word behind it, each within REACH letters of the text between two matches.
+BEFORE, AFTER, REACH = r"\p{L}+[^\p{L}0-9]{0,8}$", r"^[^\p{L}0-9]{0,8}\p{L}+", 40
+#: Matches whose places are added up at a time.
+CHUNK = 256
 LEAST_SEEDS, LEAST_PATTERN, LEAST_INSTANCE = 3, 0.5, 0.75
 #: A score that rises by less has not changed.
 STILL = 0.01
-SPAN = "array<struct<kind:string,start:int,stop:int,value:string>>"
+SPAN = "array<struct<kind:string,start:int,stop:int,value:string,left:string,right:string>>"
 
 
 def _quoted(pattern: str) -> str:
@@ -54,13 +57,23 @@ def _quoted(pattern: str) -> str:
 
 
 def spans_of(kind: str, pattern: str, text: str = "__text") -> Column:
-    """All matches of `pattern` as (kind, start, stop, value), in code points: texts between matches and matches, added up."""
+    """All matches of `pattern` as (kind, start, stop, value, left, right), in code points; left and right are the words around it.
+
+    The places are the added up lengths of matches and of the texts between them, CHUNK matches at a
+    time and then the chunks, so the work is nearly linear in a text's matches.
+    """
     gaps, found = f"split({text}, {_quoted(pattern)}, -1)", f"regexp_extract_all({text}, {_quoted(pattern)}, 0)"
-    return F.expr(f"""aggregate(zip_with({found}, {gaps}, (x, g) -> struct(x AS x, g AS g)),
-        struct(0 AS at, cast(array() as {SPAN}) AS out),
-        (a, z) -> CASE WHEN z.x IS NULL THEN a ELSE struct(a.at + length(z.g) + length(z.x) AS at,
-            concat(a.out, array(struct('{kind}' AS kind, a.at + length(z.g) AS start, a.at + length(z.g) + length(z.x) AS stop, z.x AS value))) AS out) END,
-        a -> a.out)""")
+    left = f"concat('< ', regexp_extract(lower(right(z.g, {REACH})), {_quoted(BEFORE)}, 0))"
+    right = f"concat('> ', regexp_extract(lower(left(z.h, {REACH})), {_quoted(AFTER)}, 0))"
+    none = f"cast(array() as {SPAN})"
+    rows = f"""transform(array(struct({found} AS f, {gaps} AS g)), v -> transform(zip_with(zip_with(v.f, slice(v.g, 1, size(v.f)), (x, g) -> struct(x AS x, g AS g)), slice(v.g, 2, size(v.f)), (a, h) -> struct(a.x AS x, a.g AS g, h AS h)),
+        z -> struct(z.x AS x, length(z.g) AS g, {left} AS l, {right} AS r)))[0]"""
+    placed = f"""aggregate(part, struct(0 AS at, {none} AS out), (a, z) -> struct(a.at + z.g + length(z.x) AS at,
+        concat(a.out, array(struct('{kind}' AS kind, a.at + z.g AS start, a.at + z.g + length(z.x) AS stop, z.x AS value, z.l AS left, z.r AS right))) AS out))"""
+    parts = f"transform(array({rows}), v -> CASE WHEN size(v) > 0 THEN transform(sequence(0, (size(v) - 1) div {CHUNK}), c -> slice(v, cast(c * {CHUNK} + 1 as int), {CHUNK})) END)[0]"
+    begins = "aggregate(p, struct(0 AS at, cast(array() as array<int>) AS out), (a, z) -> struct(a.at + z.at AS at, concat(a.out, array(a.at)) AS out)).out"
+    moved = "struct(s.kind AS kind, s.start + b AS start, s.stop + b AS stop, s.value AS value, s.left AS left, s.right AS right)"
+    return F.expr(f"coalesce(transform(array(transform({parts}, part -> {placed})), p -> flatten(zip_with(p, {begins}, (z, b) -> transform(z.out, s -> {moved}))))[0], {none})")
 
 
 _DIGITS = "regexp_replace(s.value, '[^0-9]', '')"
@@ -88,19 +101,17 @@ def scanned(docs: DataFrame, doc: str, text: str) -> DataFrame:
         needed = (F.lit(True) if kind == "email" else digits) & (F.instr("__text", NEEDS[kind]) > 0 if NEEDS[kind] else F.lit(True))
         out = out.withColumn(f"__{kind}", F.when(needed, spans_of(kind, PATTERNS[kind])).otherwise(none))
         if kind in FAILS:
-            out = out.withColumn(f"__no_{kind}", F.expr(f"transform(filter(__{kind}, s -> {FAILS[kind]} AND NOT ({HOLDS[kind]})), s -> struct('no' AS kind, s.start AS start, s.stop AS stop, s.value AS value))"))
+            out = out.withColumn(f"__no_{kind}", F.expr(f"transform(filter(__{kind}, s -> {FAILS[kind]} AND NOT ({HOLDS[kind]})), s -> struct('no' AS kind, s.start AS start, s.stop AS stop, s.value AS value, s.left AS left, s.right AS right))"))
         out = out.withColumn(f"__{kind}", F.expr(f"filter(__{kind}, s -> {HOLDS[kind]})"))
     out = out.withColumn("__no", F.expr(f"filter(concat({', '.join(f'__no_{k}' for k in FAILS)}), s -> NOT exists(__phone, b -> b.start < s.stop AND s.start < b.stop))"))
     out = out.withColumn("base", F.concat(*[f"__{k}" for k in KINDS]))
     out = out.withColumn("__run", F.when(digits, spans_of("id", CANDIDATE)).otherwise(none))
-    out = out.withColumn("keys", F.expr(f"transform(filter(__run, s -> s.value rlike {_quoted(KEY)} AND NOT exists(base, b -> b.start <= s.start AND s.stop <= b.stop)), s -> struct('key' AS kind, s.start AS start, s.stop AS stop, s.value AS value))"))
+    out = out.withColumn("keys", F.expr(f"transform(filter(__run, s -> s.value rlike {_quoted(KEY)} AND NOT exists(base, b -> b.start <= s.start AND s.stop <= b.stop)), s -> struct('key' AS kind, s.start AS start, s.stop AS stop, s.value AS value, s.left AS left, s.right AS right))"))
     out = out.withColumn("__no", F.expr("filter(__no, s -> NOT exists(keys, b -> b.start < s.stop AND s.start < b.stop))"))
     spaced = F.when(digits, spans_of("id", SPACED)).otherwise(none)
     out = out.withColumn("__spaced", spaced).withColumn("__other", F.expr("concat(__run, filter(__spaced, s -> length(replace(s.value, ' ', '')) >= 8))"))
     out = out.withColumn("__other", F.expr(f"filter(__other, s -> NOT (s.value rlike r'{DATE}') AND NOT exists(concat(base, keys, __no), b -> b.start < s.stop AND s.start < b.stop))"))
-    before = f"regexp_extract(lower(substr(__text, greatest(s.start - 39, 1), least(40, s.start))), {_quoted(BEFORE)}, 0)"
-    after = r"regexp_extract(lower(substr(__text, s.stop + 1, 40)), r'^[^\p{L}0-9]{0,8}(?:\p{L}+|$)', 0)"
-    around = F.expr(f"transform(concat(base, keys, __no, __other), s -> struct(s.kind AS kind, s.start AS start, s.stop AS stop, s.value AS value, concat('< ', {before}) AS left, concat('> ', {after}) AS right))")
+    around = F.concat("base", "keys", "__no", "__other")
     return out.withColumn("around", around).select(doc, "text_key", "base", "keys", "around")
 
 
@@ -130,7 +141,7 @@ def pattern_scores(instances: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def personal_data(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc, text_key, base, spans) of every row: base spans, and with keys and the discovered ones (kind "id") all spans, each (kind, start, stop, value) by start.
+    """(doc, text_key, base, spans) of every row: base spans, and with keys and the discovered ones (kind "id") all spans, each (kind, start, stop, value, left, right) by start.
 
     Null and empty texts have no spans. Rows that repeat both id and text have the same spans and stay
     rows. An empty table gives no rows; other columns are ignored.
@@ -142,7 +153,7 @@ def personal_data(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> D
     strong, likely = patterns.filter("strong").select("pattern"), values.filter("found").select("value")
     unseen = rows.filter("seed = 0").join(likely, "value", "left_semi")
     unseen = unseen.withColumn("pattern", F.explode(F.array("left", "right"))).join(strong, "pattern", "left_semi")
-    new = unseen.select("text_key", F.struct("kind", "start", "stop", "value").alias("s")).groupBy("text_key").agg(F.collect_set("s").alias("new"))
+    new = unseen.select("text_key", F.struct("kind", "start", "stop", "value", "left", "right").alias("s")).groupBy("text_key").agg(F.collect_set("s").alias("new"))
     rank = " ".join(f"WHEN '{k}' THEN {i}" for i, k in enumerate(KINDS))
     order = f"(x, y) -> CASE WHEN x.start <> y.start THEN x.start - y.start ELSE 100 * ((CASE x.kind {rank} ELSE 9 END) - (CASE y.kind {rank} ELSE 9 END)) + cast(sign(y.stop - x.stop) as int) END"
     joined = found.select(doc, "text_key", "base", "keys").join(new, "text_key", "left")
@@ -151,13 +162,16 @@ def personal_data(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> D
 
 
 def redacted(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """`docs` with every span of its text replaced by <kind>; overlapping spans by the first one's."""
-    found = personal_data(docs, doc, text).filter(F.size("spans") > 0).select("text_key", "spans").dropDuplicates(["text_key"])
-    keyed = docs.withColumn("text_key", F.xxhash64(F.coalesce(text, F.lit(""))))
-    masked = f"""aggregate(spans, struct(1 AS at, '' AS out), (a, s) -> CASE WHEN s.start + 1 < a.at THEN struct(greatest(a.at, s.stop + 1) AS at, a.out AS out)
+    """`docs` with every span of its text replaced by <kind>; overlapping spans by the first one's.
+
+    Null and empty texts stay as they are, repeated rows stay rows, other columns are carried whatever their names.
+    """
+    found = personal_data(docs, doc, text).filter(F.size("spans") > 0).select(F.col("text_key").alias("__text_key"), F.col("spans").alias("__spans")).dropDuplicates(["__text_key"])
+    keyed = docs.withColumn("__text_key", F.xxhash64(F.coalesce(text, F.lit(""))))
+    masked = f"""aggregate(__spans, struct(1 AS at, '' AS out), (a, s) -> CASE WHEN s.start + 1 < a.at THEN struct(greatest(a.at, s.stop + 1) AS at, a.out AS out)
         ELSE struct(s.stop + 1 AS at, concat(a.out, substr(`{text}`, a.at, s.start + 1 - a.at), '<', s.kind, '>') AS out) END,
         a -> concat(a.out, substr(`{text}`, a.at)))"""
-    joined = keyed.join(found, "text_key", "left").withColumn(text, F.when(F.col("spans").isNull(), F.col(text)).otherwise(F.expr(masked)))
+    joined = keyed.join(found, "__text_key", "left").withColumn(text, F.when(F.col("__spans").isNull(), F.col(text)).otherwise(F.expr(masked)))
     return joined.select(*[f"`{c}`" for c in docs.columns])
 
 
@@ -166,7 +180,8 @@ def _line(spans: str) -> str:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts and spans of every document."""
+    """Counts and spans of every document; n_key counts keys by form, n_id discovered identifiers, n_spans all."""
     out = personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"))
     counts = [F.expr(f"cast(size(filter(base, s -> s.kind = '{k}')) as long)").alias(f"n_{k}") for k in KINDS]
-    return out.select("doc_id", *counts, F.expr(f"sha2({_line('base')}, 256)").alias("base_sha256"), F.expr(_line("spans")).alias("spans"))
+    more = [F.expr(f"cast(size(filter(spans, s -> s.kind = '{k}')) as long)").alias(f"n_{k}") for k in ("key", "id")] + [F.size("spans").cast("long").alias("n_spans")]
+    return out.select("doc_id", *counts, F.expr(f"sha2({_line('base')}, 256)").alias("base_sha256"), F.expr(_line("spans")).alias("spans"), *more)

@@ -199,6 +199,54 @@ def test_personal_data_discovers_in_several_rounds(spark):
     assert got[400] == [("id", "x" * 90 + "7")] and got[401] == [("id", "AB12 CD34 EF56")] and got[402] == got[550] == []
 
 
+def plain_scores(instances):
+    """Scores and what is found, by a plain version of the rounds."""
+    seed, edges = {}, collections.defaultdict(set)
+    for value, s, pattern in instances:
+        if re.search(r"[^\W\d_]", pattern):
+            seed[value] = max(s, seed.get(value, -1))
+            edges[value].add(pattern)
+    score, found = {v: float(s == 1) for v, s in seed.items()}, set()
+    while True:
+        of = collections.defaultdict(list)
+        for v, ps in edges.items():
+            for p in ps:
+                of[p].append(v)
+        worth = {p: sum(score[v] for v in vs) / (len(vs) + 1) for p, vs in of.items()}
+        strong = {p for p, vs in of.items() if worth[p] >= pii.LEAST_PATTERN and sum(seed[v] == 1 or v in found for v in vs) >= pii.LEAST_SEEDS}
+        new, more = {}, set(found)
+        for v in seed:
+            together = 1 - math.prod(max(1 - worth[p], 1e-9) for p in edges[v])
+            if seed[v] == 0 and together >= pii.LEAST_INSTANCE and edges[v] & strong:
+                more.add(v)
+            new[v] = 1.0 if seed[v] == 1 or v in more else 0.0 if seed[v] == -1 else together
+        still = more == found and all(new[v] - score[v] < pii.STILL for v in seed)
+        score, found = new, more
+        if still:
+            return score, found
+
+
+def test_pattern_scores(spark):
+    rng = random.Random(4)
+    rows = []
+    for v in range(120):
+        s = rng.choice([1, 1, 0, 0, 0, -1])
+        rows += [(f"v{v}", s, rng.choice(["< ", "> ", *(f"< w{chr(97 + k)} " for k in range(1 + v % 9))])) for _ in range(rng.randint(1, 4))]
+    want, found = plain_scores(rows)
+    values, _ = pii.pattern_scores(spark.createDataFrame(rows, "value string, seed int, pattern string"))
+    got = {r.value: r for r in values.collect()}
+    assert set(got) == set(want) and all(abs(got[v].score - want[v]) < 1e-6 for v in want)
+    assert found and {v for v, r in got.items() if r.found} == found
+
+
+def test_redaction_of_clashing_names(spark):
+    rows = [(1, "mail a@b.cd now", "s", 7, "k"), (None, "mail a@b.cd now", None, 8, "k"), (2, None, "s", 9, "k"), (2, "", "s", 9, "k")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, spans string, text_key int, base string")
+    out = pii.redacted(frame)
+    assert out.columns == frame.columns
+    assert collections.Counter(map(tuple, out.collect())) == collections.Counter((d, t and t.replace("a@b.cd", "<email>"), s, k, b) for d, t, s, k, b in rows)
+
+
 @pytest.mark.parametrize("long", ["a" * 200_000, "a" * 200_000 + "1", "a1 " * 100_000, "a1" * 100_000, "-" * 200_000, "aa " * 100_000, "1a " * 100_000])
 def test_identifiers_of_long_texts_take_linear_time(spark, long):
     begun = time.monotonic()
