@@ -38,12 +38,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no window of a benchmark item."""
+    """Documents that hold no window of a benchmark item, as they are: a text's rows are kept or go together, null and empty ones are kept."""
     found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"))
-    leaked = found.filter("n_hit > 0").select(F.col("doc_id").alias("leaked_id"), "text_key")
-    keyed = docs.withColumn("text_key", F.xxhash64(F.coalesce("text", F.lit(""))))
-    same = F.col("doc_id").eqNullSafe(F.col("leaked_id")) & (keyed.text_key == leaked.text_key)
-    return keyed.join(leaked, same, "left_anti").select(*docs.columns)
+    leaked = found.filter("n_hit > 0").select(F.col("text_key").alias("__text_key")).distinct()
+    keyed = docs.withColumn("__text_key", F.xxhash64(F.coalesce("text", F.lit(""))))
+    return keyed.join(leaked, "__text_key", "left_anti").select(*[f"`{c}`" for c in docs.columns])
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
