@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandloom.llm.jaccard_join import mixed
+from strandloom.llm.memory import in_small_batches
 from strandloom.plans.session import table, written
 
 WINDOW, SHINGLE = 10, 3
@@ -161,7 +162,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, doc:
     id. Without items or documents nothing is hit. Other columns are ignored. A very long text is one
     row of its task and gives a small row for each rare shingle.
     """
-    windows = written(item_windows(items, window), "item-windows")
+    windows = written(item_windows(in_small_batches(items), window), "item-windows")
     words = windows.select(F.explode("words").alias("word")).distinct()
     known = slot_table(hashed_words(words))
     sized = windows.select(F.explode("shingles").alias("hash"), F.least(F.size("words"), F.lit(SHINGLE)).alias("size"))

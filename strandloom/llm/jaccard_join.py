@@ -23,13 +23,16 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from strandloom.llm.memory import in_small_batches
 from strandloom.plans.session import shared_dir, table, written
 
 SQL = None
@@ -37,7 +40,6 @@ SHINGLE = 5
 PERCENT = 80
 #: Slots of the table of counts, and bits of the filter of sets that have candidates.
 SLOTS, CHUNKS, BITS = 1 << 22, 64, 1 << 23
-MEMORY = 1 << 19
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -48,34 +50,31 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class _Words(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= MEMORY:
-            self.clear()
-        self[word] = found = xxhash.xxh3_64_intdigest(word)
-        return found
-
-
-class Shingler:
-    """Sorted distinct shingle hashes of texts; words are hashed once and remembered."""
-
-    def __init__(self, k: int = SHINGLE) -> None:
-        self.k, self.words = k, _Words()
-
-    def of(self, text: str | None) -> np.ndarray:
-        words = (text or "").encode().lower().split()
-        n = len(words)
-        if not n:
-            return np.zeros(0, np.uint64)
-        hashes = np.fromiter(map(self.words.__getitem__, words), np.uint64, n)
-        k = min(self.k, n)
-        total = np.zeros(n - k + 1, np.uint64)
+def shingles_of(texts: pa.Array, k: int) -> Iterator[list[np.ndarray]]:
+    """The sorted distinct shingle hashes of each text, some texts after another; words are hashed one by one, shingles all at once."""
+    for begin in range(0, len(texts), 500):
+        words = [(x.as_py() or "").encode().lower().split() for x in texts.slice(begin, 500)]
+        sizes = np.array([len(w) for w in words])
+        ends = np.cumsum(sizes)
+        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, chain.from_iterable(words)), np.uint64, int(ends[-1]))
+        whole = max(len(hashes) - k + 1, 0)
+        total = np.zeros(whole, np.uint64)
         for j in range(k):
-            total = mixed(total + hashes[j : n - k + 1 + j] + _MIX)
-        total.sort()
-        keep = np.ones(len(total), bool)
-        keep[1:] = total[1:] != total[:-1]
-        return total[keep]
+            total = mixed(total + hashes[j : whole + j] + _MIX)
+        found = []
+        for n, end in zip(sizes.tolist(), ends.tolist(), strict=True):
+            if n >= k:
+                s = total[end - n : end - k + 1]
+                s.sort()
+                keep = np.ones(len(s), bool)
+                np.not_equal(s[1:], s[:-1], out=keep[1:])
+                found.append(s[keep])
+            else:  # a short text is one shingle of all its words
+                one = np.zeros(min(n, 1), np.uint64)
+                for h in hashes[end - n : end]:
+                    one = mixed(one + h + _MIX)
+                found.append(one)
+        yield found
 
 
 def set_key(shingles: np.ndarray) -> int:
@@ -83,23 +82,23 @@ def set_key(shingles: np.ndarray) -> int:
 
 
 def fixed_table(parts: DataFrame, kind: np.dtype, join: np.ufunc, given: np.dtype | None = None) -> np.ndarray:
-    """One table from the tasks' tables: parts has (chunk, data), CHUNKS chunks each, of numbers of kind `given`. The driver gets one table, of fixed size."""
+    """One table from the tasks' tables: parts has (chunk, data), CHUNKS chunks each, of numbers of kind `given`. The driver gets one table, of fixed size.
+
+    Tables are joined some partitions' at a time, then those, so that no task holds a row of every task.
+    """
 
-    def run(data: pa.Table) -> pa.Table:
-        rows = [np.frombuffer(x.as_py(), kind) for x in data.column("data")]
-        return pa.table({"chunk": data.column("chunk")[:1], "data": pa.array([join.reduce(rows).astype(kind).tobytes()], pa.binary())})
+    def joined(of: np.dtype):
+        def run(data: pa.Table) -> pa.Table:
+            total = None
+            for x in data.column("data"):
+                y = np.frombuffer(x.as_py(), of).astype(kind)
+                total = y if total is None else join(total, y)
+            return pa.table({"chunk": data.column("chunk")[:1], "data": pa.array([total.tobytes()], pa.binary())})
 
-    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for c, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                y = np.frombuffer(x.as_py(), given or kind).astype(kind)
-                held[c] = join(held[c], y) if c in held else y
-        if held:
-            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([x.astype(kind).tobytes() for x in held.values()], pa.binary())], names=["chunk", "data"])
-
-    summed = parts.select("chunk", "data").mapInArrow(partial, "chunk int, data binary").groupBy("chunk").applyInArrow(run, "chunk int, data binary")
-    rows = {r.chunk: r.data for r in summed.collect()}
+        return run
+
+    some = parts.select("chunk", "data", (F.spark_partition_id() % 16).alias("some")).groupBy("chunk", "some").applyInArrow(joined(given or kind), "chunk int, data binary")
+    rows = {r.chunk: r.data for r in some.groupBy("chunk").applyInArrow(joined(kind), "chunk int, data binary").collect()}
     return np.concatenate([np.frombuffer(rows[k], kind) for k in sorted(rows)]) if rows else np.zeros(0, kind)
 
 
@@ -107,17 +106,16 @@ def sets_and_counts(docs: DataFrame, k: int, doc: str, text: str) -> DataFrame:
     """(doc, set, n) of every document; behind each task's rows those of its table of counts, as (chunk, data)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, counts = Shingler(k), np.zeros(SLOTS, np.uint32)  # travel as one byte each, 255 for more
+        counts = np.zeros(SLOTS, np.uint32)  # travel as one byte each, 255 for more
         names = [doc, "set", "n", "chunk", "data"]
         kind = None
         for batch in batches:
             kind = batch.schema.field(0).type
             keys, sizes = [], []
-            for said in batch.column(1):
-                s = shingler.of(said.as_py())
-                keys.append(set_key(s))
-                sizes.append(len(s))
-                np.add.at(counts, (s & np.uint64(SLOTS - 1)).astype(np.int64), 1)
+            for found in shingles_of(batch.column(1), k):
+                keys += map(set_key, found)
+                sizes += map(len, found)
+                np.add.at(counts, (np.concatenate(found) & np.uint64(SLOTS - 1)).astype(np.int64), np.uint32(1))
             n = batch.num_rows
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
         if kind is not None:
@@ -127,21 +125,19 @@ def sets_and_counts(docs: DataFrame, k: int, doc: str, text: str) -> DataFrame:
     return docs.select(doc, text).mapInArrow(run, f"`{doc}` {dict(docs.dtypes)[doc]}, set long, n long, chunk int, data binary")
 
 
-def region_members(docs: DataFrame, counts: np.ndarray, k: int, percent: int, text: str) -> DataFrame:
-    """(region, set, at, n): each set in the window of its rarest shingles; `at` of its shingles are rarer. Each task gives a set once."""
-    shared = docs.sparkSession.sparkContext.broadcast(counts)
+def region_members(docs: DataFrame, shared: Broadcast, k: int, percent: int, text: str) -> DataFrame:
+    """(region, set, at, n): each set in the window of its rarest shingles; `at` of its shingles are rarer. Each task gives a set once. shared: the frequencies."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, seen, counts = Shingler(k), set(), shared.value
+        seen, often = set(), shared.value
         for batch in batches:
             regions, sets, at, sizes = [], [], [], []
-            for said in batch.column(0):
-                s = shingler.of(said.as_py())
+            for s in chain.from_iterable(shingles_of(batch.column(0), k)):
                 n = len(s)
                 if not n or (key := set_key(s)) in seen:
                     continue
                 seen.add(key)
-                first = window_of(s, counts, percent)
+                first = window_of(s, often, percent)
                 regions.append(first)
                 sets.append(np.full(len(first), key, np.int64))
                 at.append(np.arange(len(first), dtype=np.int32))
@@ -152,18 +148,21 @@ def region_members(docs: DataFrame, counts: np.ndarray, k: int, percent: int, te
     return docs.select(text).mapInArrow(run, "region long, set long, at int, n int")
 
 
-def window_of(s: np.ndarray, counts: np.ndarray, percent: int) -> np.ndarray:
+def frequencies(counts: np.ndarray) -> np.ndarray:
+    """The logarithms of the counts in 16 bits."""
+    return np.round(np.log2(1.0 + counts) * 2000).astype(np.uint16)
+
+
+def window_of(s: np.ndarray, often: np.ndarray, percent: int) -> np.ndarray:
     """The shingles whose regions the set enters: its rarest, in order."""
-    rarity = counts[(s & np.uint64(SLOTS - 1)).astype(np.int64)]
-    return s[np.lexsort((s, rarity))[: len(s) - -(-percent * len(s) // 100) + 1]]
+    return s[np.lexsort((s, often[(s & np.uint64(SLOTS - 1)).astype(np.int64)]))[: len(s) - -(-percent * len(s) // 100) + 1]]
 
 
-def shingle_sets(docs: DataFrame, wanted: DataFrame, counts: np.ndarray, k: int, percent: int, text: str) -> DataFrame:
+def shingle_sets(docs: DataFrame, wanted: DataFrame, rarity: Broadcast, k: int, percent: int, text: str) -> DataFrame:
     """(set, n, sketch, shingles): the sets of `wanted`, once each. A filter of BITS bits keeps most others from travelling.
 
     sketch has 16 bits of each shingle of the set's window, sorted.
     """
-    rarity = docs.sparkSession.sparkContext.broadcast(counts)
 
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = np.zeros(BITS, bool)
@@ -175,11 +174,10 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, counts: np.ndarray, k: int,
     shared = docs.sparkSession.sparkContext.broadcast(fixed_table(wanted.mapInArrow(bits, "chunk int, data binary"), np.dtype(np.uint8), np.bitwise_or))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, seen, has = Shingler(k), set(), np.unpackbits(shared.value)
+        seen, has = set(), np.unpackbits(shared.value)
         for batch in batches:
             keys, data, sizes, sketches = [], [], [], []
-            for said in batch.column(0):
-                s = shingler.of(said.as_py())
+            for s in chain.from_iterable(shingles_of(batch.column(0), k)):
                 key = set_key(s)
                 if len(s) and key not in seen and len(has) and has[np.uint64(key & (2**64 - 1)) % np.uint64(BITS)]:
                     seen.add(key)
@@ -328,19 +326,20 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, d
     with nothing. Repeated rows are kept, null ids never become a component's name unless all are
     null, other columns are ignored, an empty table gives no rows.
     """
-    docs = docs.select(doc, text)
+    docs = in_small_batches(docs.select(doc, text))
     both = written(sets_and_counts(docs, k, doc, text), "sets")
     counts = fixed_table(both.filter("chunk IS NOT NULL"), np.dtype(np.uint32), np.add, np.dtype(np.uint8))
     known = both.filter("chunk IS NULL").select(doc, "set", "n")
     order = Window.partitionBy("region").orderBy(F.col("at") / F.col("n"), "set")
     counts = counts if len(counts) else np.zeros(SLOTS, np.uint32)
-    members = region_members(docs, counts, k, percent, text)
+    often = docs.sparkSession.sparkContext.broadcast(frequencies(counts))
+    members = region_members(docs, often, k, percent, text)
     members = members.withColumn("rank", F.row_number().over(order)).withColumn("next", F.lead("set").over(order))
     shared = written(members.filter("rank > 1 OR next IS NOT NULL").drop("rank", "next"), "shared-regions").dropDuplicates(["region", "set"])
     shared = possible(shared, percent)
     shared = shared.withColumn("rank", F.row_number().over(order)).withColumn("next", F.lead("set").over(order))
     shared = written(shared.filter("rank > 1 OR next IS NOT NULL").drop("next").withColumn("label", F.col("set")), "members")
-    sets, dropped = bucketed(shingle_sets(docs, shared.select("set").distinct(), counts, k, percent, text), "set")
+    sets, dropped = bucketed(shingle_sets(docs, shared.select("set").distinct(), often, k, percent, text), "set")
     labels = joined_components(shared, sets, percent)
     dropped()
     named = known.join(labels, "set", "left").withColumn("label", F.coalesce("label", "set"))

@@ -13,10 +13,12 @@ Tokens are made once, in one pass without a shuffle; only lengths and checksums
 from __future__ import annotations
 
 import heapq
+import json
 import os
 import re
 import zlib
 from collections.abc import Iterable, Iterator
+from functools import cache
 from typing import Any
 from unicodedata import is_normalized
 
@@ -25,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandloom.llm.memory import Remembered, in_small_batches
 from strandloom.plans.session import table, written
 
 SQL = None
@@ -32,38 +35,33 @@ CAPACITY = 4096
 END = 2
 #: Pieces of a group, on average.
 GROUP = 1000
-MEMORY = 1 << 19
+#: Bytes of chunks, and of letters without marks, whose ids a worker remembers.
+KNOWN, CORES = 72 << 20, 36 << 20
 PIECES = "start long, length long, ids_crc32 long, doc_tokens long"
 
 
-class _Chunks(dict):
-    """chunk between spaces -> its ids as bytes. What isn't there yet is cut: letters with marks behind them in two steps."""
+class Chunks:
+    """chunk between spaces -> its ids as bytes: letters with marks behind them in two steps, all else by the tokenizer."""
 
     #: Letters, then ASCII marks that the tokenizer always cuts off them; an apostrophe may begin a suffix and isn't one.
     LETTERS = re.compile(r"([^\W\d_]+)([.,!?;:#$%&*|]*)")
 
     def __init__(self, model: Any) -> None:
-        super().__init__()
-        self.model, self.cores, self.marks = model, {}, str.maketrans({chr(b): c for b, c in enumerate(byte_letters())})
+        self.model, self.marks = model, str.maketrans({chr(b): c for b, c in enumerate(byte_letters())})
+        self.known, self.cores = Remembered(self.made, KNOWN), Remembered(self.core, CORES)
 
-    def __missing__(self, chunk: str) -> bytes:
-        if len(self) >= MEMORY:
-            self.clear()
-            self.cores.clear()
+    def core(self, letters: str) -> bytes:
+        """By the model alone, for letters that the normalizer and the splitter would leave as they are."""
+        return self.packed(x.id for x in self.model.model.tokenize(letters.encode().decode("latin-1").translate(self.marks)))
+
+    def made(self, chunk: str) -> bytes:
         found = self.LETTERS.fullmatch(chunk)
         if found and found[1].isalpha() and found[1].islower():
-            core = self.cores.get(found[1])
-            if core is None:
-                # the model alone, on letters that its normalizer and splitter would leave as they are
-                core = self.cores[found[1]] = self._packed(x.id for x in self.model.model.tokenize(found[1].encode().decode("latin-1").translate(self.marks)))
-            made = core + self[found[2]] if found[2] else core
-        else:
-            made = self._packed(self.model.encode(chunk, add_special_tokens=False).ids)
-        self[chunk] = made
-        return made
+            return self.cores[found[1]] + self.known[found[2]] if found[2] else self.cores[found[1]]
+        return self.packed(self.model.encode(chunk, add_special_tokens=False).ids)
 
     @staticmethod
-    def _packed(ids: Iterable[int]) -> bytes:
+    def packed(ids: Iterable[int]) -> bytes:
         return np.fromiter(ids, "<u4").tobytes()
 
 
@@ -74,35 +72,56 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(256 + rest.index(b)) for b in range(256)]
 
 
+#: The normalizer and splitter of vocabularies that fold case and never look across white space.
+WORDWISE = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+
+
 class Encoder:
-    """The ids of texts by a tokenizer that never looks across white space: a chunk between spaces is cut once and remembered."""
+    """The ids of texts. Where the vocabulary's own rules are WORDWISE, a chunk between spaces is cut once and remembered; by other rules texts are cut whole."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         model = Tokenizer.from_file(path)
         model.encode_special_tokens = True  # their strings in a text are text
-        self.model, self.chunks = model, _Chunks(model)
+        rules = json.loads(model.to_str())
+        self.wordwise = all(rules[k] == v for k, v in WORDWISE.items())
+        self.model, self.chunks = model, Chunks(model).known
 
     def encode(self, text: str, end: int) -> bytes:
         """Ids and the end mark as little-endian unsigned 32-bit numbers."""
         last = np.array([end], "<u4").tobytes()
         low = text.lower()
-        if not (is_normalized("NFC", text) and is_normalized("NFC", low)) or "\u03a3" in text:
+        if not self.wordwise or not (is_normalized("NFC", text) and is_normalized("NFC", low)) or "\u03a3" in text:
             return np.array(self.model.encode(text, add_special_tokens=False).ids, "<u4").tobytes() + last
         return b"".join([*map(self.chunks.__getitem__, low.split()), last])
 
 
+@cache
+def encoder(path: str) -> Encoder:
+    """A worker keeps its encoder for the next task."""
+    return Encoder(path)
+
+
 def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end: int = END, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc, start, length, ids_crc32, doc_tokens) of every piece of every document; null and empty texts have the end mark alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder = Encoder(vocabulary)
+        cut = encoder(vocabulary).encode
         for batch in batches:
             at, rows = [], []
             for k, said in enumerate(batch.column(1)):
-                ids = encoder.encode(said.as_py() or "", end)
+                ids = cut(said.as_py() or "", end)
                 n = len(ids) // 4
                 for start in range(0, n, capacity):
                     part = ids[4 * start : 4 * (start + capacity)]
@@ -111,7 +130,7 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end: int
             if rows:
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), *(pa.array(c, pa.int64()) for c in zip(*rows, strict=True))], names=[doc, "start", "length", "ids_crc32", "doc_tokens"])
 
-    return docs.select(doc, text).mapInArrow(run, f"`{doc}` {dict(docs.dtypes)[doc]}, {PIECES}")
+    return in_small_batches(docs.select(doc, text)).mapInArrow(run, f"`{doc}` {dict(docs.dtypes)[doc]}, {PIECES}")
 
 
 def differencing(lengths: np.ndarray, windows: int) -> list[list[int]]:

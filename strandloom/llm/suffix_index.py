@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandloom.llm.jaccard_join import CHUNKS, fixed_table, mixed
+from strandloom.llm.memory import in_small_batches
 from strandloom.plans.session import table, written
 
 SQL = None
@@ -348,7 +349,7 @@ def class_reach(found: DataFrame) -> DataFrame:
 
 def repeated_spans(docs: DataFrame, text: str = "text", batches: int = BATCHES) -> DataFrame:
     """(text_key, spans): of every text with repeats the covered spans of bytes, unmerged; text_key is xxhash64 of the text."""
-    docs = docs.select(F.coalesce(text, F.lit("")).alias("text"))
+    docs = in_small_batches(docs.select(F.coalesce(text, F.lit("")).alias("text")))
     keys = batch_keys(docs, "text", batches)
     keys = written(keys, "suffix-keys")
     index, shared = SuffixLevels(docs.sparkSession), []
