@@ -17,12 +17,17 @@ ORACLE_SQL = None
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules and the tokenizers' bands keep: each row by itself, with all its columns.
+    """Documents that the base rules and the tokenizers' bands keep, with all their columns.
 
+    The verdict is one of text and language, and only what is rejected is written and taken away.
     Null and empty texts go; rows with null ids or languages are judged like others; repeated rows are
     kept or go together.
     """
-    return fertility.judged(docs).filter("__kept").select(*[f"`{c}`" for c in docs.columns])
+    keyed = docs.withColumn("__key", F.xxhash64(F.coalesce("text", F.lit(""))))
+    judged = fertility.judged(keyed, carried=["__key", "lang"]).filter("NOT __kept")
+    rejected = written(judged.select(F.col("__key").alias("__rejected"), F.col("lang").alias("__lang")).distinct(), "rejected")
+    gone = (F.col("__key") == F.col("__rejected")) & F.col("lang").eqNullSafe(F.col("__lang"))
+    return keyed.join(rejected, gone, "left_anti").select(*[f"`{c}`" for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandloom.llm.memory import in_small_batches
 from strandloom.plans.session import table, written
 
 SQL = None
@@ -38,6 +39,8 @@ CHUNK = 1 << 15
 LEAST_GROUP = 50
 #: Quartile distances from the quartiles to the fences, below and above, and the least distance as a share of the median.
 BELOW, ABOVE, LEAST_WIDTH = 3.0, 6.0, 0.05
+#: Steps of a unit of a measure in which the quartiles are counted.
+STEPS = 1000
 #: Limits of every document, in whatever language: measure -> from, to.
 LIMITS = {"chars": (0.25, 16.0), "bytes": (0.0, 0.6), "entropy": (0.2, 1.0)}
 #: A share of bytes up to this is never too much.
@@ -168,17 +171,23 @@ def measures(docs: DataFrame, using: list[Vocabulary], text: str = "text", carri
                 rows = [dict(zip(inner.names, measured(x.as_py(), cutters), strict=True)) for x in part.column(len(carried))]
                 yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(len(carried))), pa.array(rows, inner)], names=[*carried, "__m"])
 
-    chosen = docs.select(*[F.col(f"`{c}`") for c in carried], F.col(f"`{text}`").alias("__text"))
+    chosen = in_small_batches(docs).select(*[F.col(f"`{c}`") for c in carried], F.col(f"`{text}`").alias("__text"))
     schema = ", ".join(f"`{c}` {t}" for c, t in chosen.drop("__text").dtypes)
     fields = BASE_DDL.replace(" ", ":").replace(",:", ", ") + "".join(f", {m}:double" for m in names)
     return chosen.mapInArrow(run, f"{schema}, `__m` struct<{fields}>" if schema else f"`__m` struct<{fields}>")
 
 
 def bands(found: DataFrame, group: Column, names: list[str], least: int = LEAST_GROUP) -> DataFrame:
-    """(grp, low, high) for each group of at least `least` rows of `found` that pass the base rules: the fences of every measure, as structs."""
-    quartiles = [F.percentile_approx(F.col(f"__m.{m}"), [0.25, 0.5, 0.75], 10_000).alias(m) for m in names]
+    """(grp, low, high) for each group of at least `least` rows of `found` that pass the base rules: the fences of every measure, as structs.
+
+    Measures are counted in steps of 1/STEPS first, so the quartiles are exact, the same in every run,
+    and come from a bounded number of counts.
+    """
     sound = found.filter(~F.col("__m.base_failed")).select(group.alias("grp"), "__m").filter("grp IS NOT NULL")
-    q = sound.groupBy("grp").agg(F.count("*").alias("n"), *quartiles).filter(F.col("n") >= least)
+    each = sound.select("grp", F.explode(F.array(*[F.struct(F.lit(m).alias("m"), F.floor(F.col(f"__m.{m}") * STEPS).alias("x")) for m in names])).alias("s"))
+    counts = each.groupBy("grp", F.col("s.m").alias("m"), F.col("s.x").alias("x")).agg(F.count("*").alias("n"))
+    q = counts.groupBy("grp", "m").agg(F.sum("n").alias("n"), F.percentile("x", [0.25, 0.5, 0.75], F.col("n")).alias("q")).filter(F.col("n") >= least)
+    q = q.groupBy("grp").agg(*[F.max(F.when(F.col("m") == m, F.transform("q", lambda x: x / STEPS))).alias(m) for m in names])
     width = {m: F.greatest(F.col(m)[2] - F.col(m)[0], F.lit(LEAST_WIDTH / BELOW) * F.col(m)[1]) for m in names}
     low = [(F.col(m)[0] - BELOW * width[m]).alias(m) for m in names]
     high = [F.greatest(F.col(m)[2] + ABOVE * width[m], F.lit(BYTES_FREE if m.endswith("_bytes") else 0.0)).alias(m) for m in names]

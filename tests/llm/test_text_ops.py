@@ -8,6 +8,7 @@ import re
 import time
 import unicodedata
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -53,8 +54,7 @@ def plain_fertility(rows, least, limits=fertility.LIMITS):
         seen.append((failed, None if failed else measures(words), lang, max(scripts, key=scripts.get)))
 
     def fences(values, k):
-        values = sorted(values)
-        q1, q2, q3 = (values[max(math.ceil(q * len(values)), 1) - 1] for q in (0.25, 0.5, 0.75))
+        q1, q2, q3 = np.percentile([math.floor(x * 1000) for x in values], [25, 50, 75]) / 1000
         width = max(q3 - q1, 0.05 / 3 * q2)
         return q1 - 3 * width, max(q3 + 6 * width, 0.05 if k % 3 == 1 else 0)
 
