@@ -75,7 +75,8 @@ def test_foreign_gzip_members(tmp_path):
 
 PAGES = [
     ("<html><body><header>Site</header><div class='cookie-notice'>We use</div><article><header><h2>Title &eacute;</h2></header><p>foo<b>bar</b> \n baz<br>qux<div class=ad>buy</div><section id=comments><p>nice</section><form>x</form></article><footer>f", "Title é foobar baz qux"),
-    ("<main><p>a &lt;b&gt; &amp</main>tail", "a <b> &"), (None, ""), ("", ""), ("<script>var t='</p>'</script>", ""), ("just words &amp; more", "just words & more"), ("<!-- <article> -->x", ""),
+    ("<main><p>a &lt;b&gt; &amp</main>tail", "a <b> &"), (None, ""), ("", ""), ("<script>var t='</p>'</script>", ""), ("just words &amp; more", "just words & more"), ("<!-- <article> -->x", "x"), ("<script>'<article>'</script>y <math>z</math>", "y z"),
+    ("<main><p>The story of the day is long and goes on.</p><article><p>Teaser</p></article><p>It ends here.</p></main>", "The story of the day is long and goes on. It ends here."),
 ]
 
 
@@ -98,6 +99,67 @@ def test_host_boilerplate(spark):
     assert got == {0: own[0], 1: own[1], 2: own[2], 3: f"{menu} {own[3]}", 4: menu, 5: own[2]}
 
 
+def plain_main_text(pages, free, inside):
+    """Text by page, by a plain version: every run of LONG tokens and every shorter block of every stream is counted."""
+    import re
+
+    streams = {p: ((re.findall("//([^/]*)", u) or [""])[0], *html_text.main_blocks(h)) for p, u, h in pages}
+    distinct = {(host, tuple(blocks)) for host, _, blocks in streams.values()}
+
+    def runs(blocks):
+        tokens = [w for b in blocks for w in b.split()]
+        out, at = [], 0
+        for b in blocks:
+            n = len(b.split())
+            out += [(at, n, ("block", b))] if n < html_text.LONG else []
+            at += n
+        return tokens, out + [(k, html_text.LONG, tuple(tokens[k : k + html_text.LONG])) for k in range(len(tokens) - html_text.LONG + 1)]
+
+    n = collections.Counter((host, key) for host, blocks in distinct for key in {k for _, _, k in runs(blocks)[1]})
+    size = collections.Counter(host for host, _ in distinct)
+    out = {}
+    for p, (host, main, blocks) in streams.items():
+        least, share = inside if main else free
+        tokens, every = runs(blocks)
+        gone = set()
+        for at, k, key in every:
+            if n[host, key] >= least and n[host, key] >= share * size[host]:
+                gone |= set(range(at, at + k))
+        kept, at = [], 0
+        for b in blocks:
+            own = range(at, at + len(b.split()))
+            at = own.stop
+            if not main or not gone.issuperset(own):
+                kept += [tokens[i] for i in own if main or i not in gone]
+        out[p] = " ".join(kept)
+    return out
+
+
+def test_host_suffixes_against_all_runs(spark):
+    """Pages with and without articles: menus, notes inside most articles, articles that quote, a page within a page."""
+    import random
+
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choices("abcdefgh", k=5))
+    text = lambda n: " ".join(word() for _ in range(n))
+    menu, note, quote = text(30), text(6), text(40)
+    pages = []
+    for k in range(60):
+        host, body = f"h{k % 2}", f"<p>{text(rng.randint(3, 60))}</p>" * rng.randint(1, 3)
+        quoted = f"<p>{quote if k % 5 == 0 else text(20)}</p>"
+        if k % 2:
+            page = f"<div>{menu}</div><div>{text(9)}</div>{body}<div>{note}</div>"
+        else:
+            page = f"<nav>{menu}</nav><article>{body}{quoted}<p>{note}</p><p>{text(4)} {menu} {text(5)}</p></article>"
+        pages.append((k, f"http://{host}/{k}", page))
+    pages += [(100, "http://h0/again", pages[0][2]), (101, "http://h1/again", pages[1][2]), (102, None, f"<div>{menu}</div>"), (103, "http://h1/x", None)]
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string")
+    want = plain_main_text([(p, u or "", h or "") for p, u, h in pages], html_text.FREE, html_text.INSIDE)
+    got = {r.page_id: r.text for r in html_text.main_text(frame).collect()}
+    assert got == want
+    assert menu not in got[1] and note not in got[1] and note not in got[0] and quote in got[0] and menu in got[0]
+
+
 def test_marked_wrappers():
     body = "<article><h1>Title</h1><p>Some text</p></article>"
     for page in (
@@ -107,13 +169,13 @@ def test_marked_wrappers():
         "<article class='post comments-open'><h1>Title</h1><div class='content comments-open'>Some text</div><div class='cookie-notice'>ok</div><ul class='comment-list'>me too</ul><div class='x ad'>buy</div></article>",
         "<main class='content sidebar'><h1>Title</h1><p>Some text</main>", "<div role=main class=widget><h1>Title</h1><p>Some text</div>",
     ):
-        assert html_text.has_main(page) and html_text.blocks_of(page)[0] == ["Title", "Some text"], page
+        assert html_text.main_blocks(page) == (True, ["Title", "Some text"]), page
     assert html_text.blocks_of("<body class='has-sidebar'><div class='nav-open'>a</div><div class='nav'>b</div><div class='site-header'>c</div>")[1] == ["a"]
     assert html_text.blocks_of("<aside><article>next</article></aside>x") == ([], ["x"])
 
 
 def test_raw_elements_without_an_end():
-    for name in ("svg", "iframe", "object", "math"):
+    for name in ("svg", "iframe", "object"):
         for tag in (f"<{name} a='b' />", f"<{name}/>", f"<{name} hidden/>", f"<{name} src=http://x/>y</{name}>", f"<{name}>y</{name}>"):
             assert html_text.blocks_of(f"<article><p>a</p>{tag}<p>b</p></article>")[0] == ["a", "b"], tag
     assert html_text.blocks_of("<article><p>a</p><svg><path d=x><p>b</p><svg><p>c</p></article>")[0] == ["a", "b", "c"]
