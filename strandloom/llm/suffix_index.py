@@ -214,21 +214,21 @@ def slots_of(keys: DataFrame) -> np.ndarray:
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = np.zeros(BITS, bool)
         for batch in rows:
-            found[_slot(*(batch.column(k).to_numpy().view(np.uint64) for k in range(batch.num_columns)))] = True
+            found[slot_of(*(batch.column(k).to_numpy().view(np.uint64) for k in range(batch.num_columns)))] = True
         yield pa.RecordBatch.from_arrays([pa.array(range(CHUNKS), pa.int32()), pa.array([p.tobytes() for p in np.split(np.packbits(found), CHUNKS)], pa.binary())], names=["chunk", "data"])
 
     bits = fixed_table(keys.mapInArrow(run, "chunk int, data binary"), np.dtype(np.uint8), np.bitwise_or)
     return bits if len(bits) else np.zeros(BITS // 8, np.uint8)
 
 
-def _slot(*columns: np.ndarray) -> np.ndarray:
+def slot_of(*columns: np.ndarray) -> np.ndarray:
     total = np.zeros(len(columns[0]), np.uint64)
     for x in columns:
         total = mixed(total + x)
     return (total % np.uint64(BITS)).astype(np.int64)
 
 
-def _in(bits: np.ndarray, slots: np.ndarray) -> np.ndarray:
+def in_slots(bits: np.ndarray, slots: np.ndarray) -> np.ndarray:
     return (bits[slots >> 3] >> (7 - (slots & 7)).astype(np.uint8)) & 1 == 1
 
 
@@ -239,7 +239,7 @@ def shared_suffixes(docs: DataFrame, bits: np.ndarray, text: str) -> DataFrame:
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _parts(rows):
             found = suffixes_of(_bytes(batch.column(1)))
-            keep = _in(shared.value, _slot(found[2]))
+            keep = in_slots(shared.value, slot_of(found[2]))
             number, at, key, whole, left, right = (x[keep] for x in found)
             columns = [batch.column(0).to_numpy()[number], at, key.view(np.int64), whole.view(np.int64), left.astype(np.int32), right.astype(np.int32)]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["text_key", "at", "key", "extension", "left", "right"])
@@ -257,7 +257,7 @@ def extensions(docs: DataFrame, classes: DataFrame, text: str) -> DataFrame:
             out, texts = [], _bytes(batch.column(0))
             number, at, key, whole, left, right = suffixes_of(texts)
             names = whole ^ key
-            for k in np.flatnonzero(_in(shared.value, _slot(key, whole))):
+            for k in np.flatnonzero(in_slots(shared.value, slot_of(key, whole))):
                 if (name := int(names[k])) not in seen:
                     seen.add(name)
                     data, p = texts[number[k]], int(at[k])
