@@ -11,8 +11,8 @@ from strandloom.operators import intervals as iv
 
 def in_transcript_order(*keys: str) -> object:
     """A window over the blocks (s, e, strand) of each of `keys` in transcript direction."""
-    plus = F.col("strand") == "+"
-    return Window.partitionBy(*keys).orderBy(F.when(plus, F.col("s")).otherwise(-F.col("s")), F.when(plus, F.col("e")).otherwise(-F.col("e")))
+    minus = F.col("strand") == "-"
+    return Window.partitionBy(*keys).orderBy(F.when(minus, -F.col("s")).otherwise(F.col("s")), F.when(minus, -F.col("e")).otherwise(F.col("e")))
 
 
 def transcripts(blocks: DataFrame) -> DataFrame:
@@ -64,14 +64,16 @@ def quality(blocks: DataFrame, least_cds: int = 60, hard_intron: int = 4, soft_i
     """
     size = F.col("e") - F.col("s")
     sums = blocks.groupBy("gid", "tid").agg(F.sum(size).alias("cds"), F.min(size).alias("least"), F.max("flagged").alias("flagged"))
-    gaps = introns(blocks).groupBy("tid").agg(F.min("length").alias("shortest"), F.bool_or("touches").alias("touches"))
+    length = F.col("length")
+    short, soft = (length > 0) & (length < hard_intron), (length >= hard_intron) & (length < soft_intron)
+    gaps = introns(blocks).groupBy("tid").agg(F.bool_or(short).alias("short"), F.bool_or(soft).alias("soft"), F.bool_or("touches").alias("touches"))
     known = sums.join(block_checks(blocks), "tid").join(gaps, "tid", "left")
     zero = [
         ("partial_cds_or_gene", F.col("flagged") == 1), ("invalid_CDS_coordinates", F.col("least") <= 0), ("CDS_blocks_overlap", F.col("overlaps")), ("middle_CDS_length_le_2", F.col("short_middle")),
         ("CDS_length_less_than_min", F.col("cds") < least_cds), ("CDS_length_not_multiple_of_3", F.col("cds") % 3 != 0), ("exon_or_CDS_blocks_overlap_or_touch", F.coalesce("touches", F.lit(False))),
-        (f"intron_length_lt_{hard_intron}", F.coalesce((F.col("shortest") > 0) & (F.col("shortest") < hard_intron), F.lit(False))),
+        (f"intron_length_lt_{hard_intron}", F.coalesce("short", F.lit(False))),
     ]
-    half = [(f"intron_length_lt_{soft_intron}", F.coalesce((F.col("shortest") >= hard_intron) & (F.col("shortest") < soft_intron), F.lit(False)))]
+    half = [(f"intron_length_lt_{soft_intron}", F.coalesce("soft", F.lit(False)))]
     named = lambda rules: F.array_compact(F.array(*[F.when(c, F.lit(k)) for k, c in rules]))
     out = known.withColumn("zero_reasons", named(zero)).withColumn("half_reasons", named(half)).withColumn("notes", F.array(F.lit("intron_source=cds")))
     mask = F.when(F.size("zero_reasons") > 0, 0.0).when(F.size("half_reasons") > 0, 0.5).otherwise(1.0)
@@ -129,10 +131,11 @@ def label_runs(blocks: DataFrame) -> DataFrame:
     return gaps.select("tid", F.when(plus, F.col("e")).otherwise(F.col("ne")).alias("s"), F.when(plus, F.col("ns")).otherwise(F.col("s")).alias("e"), "label").filter("e > s")
 
 
-def protein_coding(found: DataFrame, key: str | None = None) -> DataFrame:
-    """`found` (attributes, n_cds) with `coding`: a biotype attribute says so, or there is coding sequence and nothing else is said."""
+def protein_coding(found: DataFrame, key: str = "gene_biotype", values: tuple[str, ...] = ("protein_coding", "protein-coding")) -> DataFrame:
+    """`found` (attributes, n_cds) with `coding`: the first biotype attribute or gene_biotype is one of `values`, or there is coding sequence and gbkey says nothing else."""
     a = lambda k: F.nullif(F.coalesce(F.col("attributes")[k], F.lit("")), F.lit(""))
-    biotype = F.coalesce(*[a(k) for k in ([key] if key else []) + ["biotype", "gene_type", "gbkey"]], F.lit(""))
-    match = F.lower(biotype).isin("protein_coding", "protein-coding", "mrna", "coding") | (F.lower(F.coalesce(a("gene_biotype"), F.lit(""))) == "protein_coding")
+    wanted = [v.lower() for v in values]
+    biotype = F.lower(F.coalesce(*[a(k) for k in (key, "biotype", "gene_type", "gbkey")], F.lit("")))
+    match = biotype.isin(*wanted) | F.lower(F.coalesce(a("gene_biotype"), F.lit(""))).isin(*wanted)
     fallback = (F.col("n_cds") > 0) & F.lower(F.coalesce(a("gbkey"), F.lit(""))).isin("", "gene")
     return found.withColumn("coding", match | fallback)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from strandloom.functions import track as tk
 from strandloom.operators import candidates, decode, genes, intervals, orfs, tiling, training
+from strandloom.operators import quality as rules
 from strandloom.plans.session import written
 from strandloom.sources import files
 
@@ -56,13 +57,21 @@ def annotate(track: DataFrame, records: DataFrame, min_cds: int = 60, min_intron
 
 
 def prepare(records: DataFrame, features: DataFrame, window: int = 40_960, flank: int = 4_096, overlap: int = 8_192, most_ambiguous: int = 327, policy: str = "longest_cds") -> dict[str, DataFrame]:
-    """selected, quality and windows of records (chrom_id, seq) and GFF features: selection, rules, conflicts, labelled windows."""
+    """selected, quality and windows of records (chrom_id, seq) and GFF features: selection among protein-coding genes, all quality rules, conflicts, labelled windows."""
     parts = files.hierarchy(files.identified(features))
-    coding = parts["children"].filter("type = 'cds'").join(parts["transcripts"].select("tid", "gid", "seqid", "strand"), "tid")
-    blocks = written(coding.select("gid", "tid", "seqid", "strand", "s", "e", F.col("phase").alias("raw"), F.lit(0).alias("flagged")), "blocks")
+    parts = {name: written(df, name) for name, df in parts.items()}
+    coding = parts["children"].filter("type = 'cds'").drop("attributes").join(parts["transcripts"].select("tid", "gid", "seqid", "strand", F.expr("cast(trim(coalesce(attributes['longest'], '')) = '1' as int)").alias("flagged")), "tid")
+    n_cds = coding.groupBy("gid").agg(F.count("*").alias("n_cds"))
+    wanted = genes.protein_coding(parts["genes"].join(n_cds, "gid", "left").fillna(0, ["n_cds"])).filter("coding").select("gid")
+    blocks = written(coding.join(wanted, "gid", "left_semi").select("gid", "tid", "seqid", "strand", "s", "e", F.col("phase").alias("raw"), "flagged"), "blocks")
     selected = genes.representative(genes.transcripts(blocks), policy)
     own = blocks.join(selected.select("tid"), "tid", "left_semi")
-    quality = genes.quality(own)
+    chosen = lambda df: df.join(selected.select("tid"), "tid", "left_semi")
+    quality = rules.transcript_quality(parts["genes"], chosen(parts["transcripts"]), chosen(parts["children"]), records)
+    several = selected.select("tid", "several")
+    if policy == "fail":
+        quality = quality.join(several, "tid").withColumn("zero_reasons", F.when(F.col("several"), F.array_append("zero_reasons", F.lit("multiple_transcripts"))).otherwise(F.col("zero_reasons")))
+        quality = quality.withColumn("mask", F.when(F.col("several"), 0.0).otherwise(F.col("mask"))).drop("several")
     clash = genes.same_strand_conflicts(genes.transcripts(own)).select(F.explode(F.array("gid", "g2")).alias("gid")).distinct().withColumn("clash", F.lit(True))
     quality = quality.join(clash, "gid", "left").withColumn("mask", F.when(F.col("clash"), 0.0).otherwise(F.col("mask")))
     quality = quality.withColumn("zero_reasons", F.when(F.col("clash"), F.array_union("zero_reasons", F.array(F.lit("same_strand_label_overlap")))).otherwise(F.col("zero_reasons"))).drop("clash")

@@ -71,10 +71,10 @@ def introns(spark, sf_dir):
 
 _QC = f"""{_TX}, {_INTRON}, o AS (SELECT *, lag(e) OVER w AS before, row_number() OVER w AS r, count(*) OVER (PARTITION BY tid) AS n FROM block WINDOW w AS (PARTITION BY tid ORDER BY s, e)),
 chk AS (SELECT tid, coalesce(bool_or(s < before), false) AS ovl, bool_or(r > 1 AND r < n AND e - s <= 2) AS short_middle, min(e - s) AS least FROM o GROUP BY tid),
-gap AS (SELECT tid, min(length) AS shortest, bool_or(touches) AS touches FROM intron GROUP BY tid),
+gap AS (SELECT tid, bool_or(length BETWEEN 1 AND 3) AS short, bool_or(length BETWEEN 4 AND 19) AS soft, bool_or(touches) AS touches FROM intron GROUP BY tid),
 qc AS (SELECT gid, t.tid, concat_ws(',', CASE WHEN flagged = 1 THEN 'partial_cds_or_gene' END, CASE WHEN least <= 0 THEN 'invalid_CDS_coordinates' END, CASE WHEN ovl THEN 'CDS_blocks_overlap' END, CASE WHEN short_middle THEN 'middle_CDS_length_le_2' END,
-    CASE WHEN cds < 60 THEN 'CDS_length_less_than_min' END, CASE WHEN cds % 3 <> 0 THEN 'CDS_length_not_multiple_of_3' END, CASE WHEN touches THEN 'exon_or_CDS_blocks_overlap_or_touch' END, CASE WHEN shortest > 0 AND shortest < 4 THEN 'intron_length_lt_4' END) AS zero_reasons,
-    CASE WHEN shortest >= 4 AND shortest < 20 THEN 'intron_length_lt_20' ELSE '' END AS half_reasons FROM tx t JOIN chk USING (tid) LEFT JOIN gap USING (tid)),
+    CASE WHEN cds < 60 THEN 'CDS_length_less_than_min' END, CASE WHEN cds % 3 <> 0 THEN 'CDS_length_not_multiple_of_3' END, CASE WHEN touches THEN 'exon_or_CDS_blocks_overlap_or_touch' END, CASE WHEN short THEN 'intron_length_lt_4' END) AS zero_reasons,
+    CASE WHEN soft THEN 'intron_length_lt_20' ELSE '' END AS half_reasons FROM tx t JOIN chk USING (tid) LEFT JOIN gap USING (tid)),
 masked AS (SELECT *, CASE WHEN zero_reasons <> '' THEN 0.0 WHEN half_reasons <> '' THEN 0.5 ELSE 1.0 END::DOUBLE AS mask FROM qc)"""
 
 

@@ -73,6 +73,38 @@ def gff_hierarchy(spark, sf_dir):
     return parts["transcripts"].join(n, "tid", "left").select("tid", "gid", "s", "e", F.coalesce("n", F.lit(0)).alias("n"))
 
 
+def _gtf_lines(spark, sf_dir):
+    """GTF lines: genes and pseudogenes but every fifth, transcripts that name their gene, coding blocks and start codons, and for every 13th gene an exon with the gene as its parent."""
+    t, dot = "\t", F.lit(".")
+    line = lambda seqid, kind, s, e, strand, text: F.concat_ws(t, seqid, F.lit("s"), kind, (s + 1).cast("string"), e.cast("string"), dot, strand, dot, text).alias("value")
+    g = views.genes(spark, sf_dir)
+    gid, gs = F.col("gid"), F.col("gs")
+    named = F.concat(F.lit('gene_id "g'), gid, F.lit('"'))
+    gene = g.filter("gid % 5 <> 0").select(line(F.col("seqid"), F.when(gid % 7 == 0, "pseudogene").otherwise("gene"), gs, gs + 300, F.col("strand"), named))
+    exon = g.filter("gid % 13 = 0").select(line(F.col("seqid"), F.lit("exon"), gs + 5, gs + 5000, F.col("strand"), F.concat(F.lit("Parent=g"), gid)))
+    b = views.blocks(spark, sf_dir)
+    tx = b.select("gid", "tid").distinct().join(g, "gid")
+    tx = tx.select(line(F.col("seqid"), F.lit("transcript"), gs, gs + 200, F.col("strand"), F.concat(named, F.lit('; transcript_id "t'), "tid", F.lit('"'))))
+    own = F.concat(F.lit('transcript_id "t'), F.col("tid"), F.lit('"'))
+    cds = b.filter("e > s").select(line(F.col("seqid"), F.lit("CDS"), F.col("s"), F.col("e"), F.col("strand"), own))
+    start = b.filter("rn = 1").select(line(F.col("seqid"), F.lit("start_codon"), F.col("s"), F.col("s") + 3, F.col("strand"), own))
+    return gene.unionByName(exon).unionByName(tx).unionByName(cds).unionByName(start)
+
+
+@query("src_gtf_hierarchy", f"""WITH {views.GENES}, tx AS (SELECT DISTINCT b.gid, tid, gs FROM block b JOIN gene g ON b.gid = g.gid),
+child AS (SELECT tid, s, e FROM block WHERE e > s UNION ALL SELECT tid, s, s + 3 FROM block WHERE rn = 1), reach AS (SELECT tid, min(s) AS cs, max(e) AS ce, count(*) AS n FROM child GROUP BY tid)
+SELECT 'transcript' AS kind, 't' || tx.tid AS id, 'g' || gid AS gid, least(gs, coalesce(cs, gs)) AS s, greatest(gs + 200, coalesce(ce, 0)) AS e, coalesce(n, 0)::BIGINT AS n FROM tx LEFT JOIN reach ON tx.tid = reach.tid
+UNION ALL SELECT 'transcript', 'g' || gid || CASE WHEN gid % 5 <> 0 THEN '.implicit_transcript' ELSE '' END, CASE WHEN gid % 5 <> 0 THEN 'g' ELSE 'gene_for_g' END || gid, CASE WHEN gid % 5 <> 0 THEN gs ELSE gs + 5 END, gs + 5000, 1 FROM gene WHERE gid % 13 = 0
+UNION ALL SELECT 'gene', 'g' || gid, NULL, gs, gs + CASE WHEN gid % 5 <> 0 THEN 300 ELSE 200 END, 0 FROM gene WHERE gid % 5 <> 0 OR gid IN (SELECT gid FROM tx)
+UNION ALL SELECT 'gene', 'gene_for_g' || gid, NULL, gs + 5, gs + 5000, 0 FROM gene WHERE gid % 13 = 0 AND gid % 5 = 0""")
+def gtf_hierarchy(spark, sf_dir):
+    lines = _gtf_lines(spark, sf_dir).withColumn("line_no", F.monotonically_increasing_id())
+    parts = files.hierarchy(files.identified(files.features(lines)))
+    n = parts["children"].groupBy("tid").agg(F.count("*").alias("n"))
+    tx = parts["transcripts"].join(n, "tid", "left").select(F.lit("transcript").alias("kind"), F.col("tid").alias("id"), "gid", "s", "e", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+    return tx.unionByName(parts["genes"].select(F.lit("gene").alias("kind"), F.col("gid").alias("id"), F.lit(None).cast("string").alias("gid"), "s", "e", F.lit(0).cast("long").alias("n")))
+
+
 @query("src_manifest_check", "SELECT 'd' || doc_id AS chrom_id, 'positions don''t cover the record' AS problem FROM documents WHERE doc_id % 50 = 49 AND length(text) > 0")
 def manifest_check(spark, sf_dir):
     """A manifest that claims one position too many for some records."""

@@ -14,8 +14,9 @@ from strandloom.plans.session import written
 
 WINDOW_DDL = "global_window_index bigint, chrom_id string, chrom_length bigint, chrom_index bigint, chrom_window_index bigint, center_start bigint, center_end bigint, chunk_id bigint, chunk_local_index bigint, sequence string"
 FASTA, GFF = (".fa", ".fna", ".fasta"), (".gff", ".gff3", ".gtf")
-TRANSCRIPTS = ("mrna", "transcript", "ncrna", "rrna", "trna", "lnc_rna", "snrna", "snorna", "primary_transcript")
-CHILDREN = ("cds", "exon", "intron")
+GENES = ("gene", "pseudogene")
+TRANSCRIPTS = ("mrna", "transcript", "primary_transcript", "ncrna", "lnc_rna")
+CHILDREN = ("cds", "exon", "intron", "start_codon", "stop_codon")
 
 
 class Violation(ValueError):
@@ -36,6 +37,13 @@ def fasta(spark: SparkSession, path: str) -> DataFrame:
     return named.withColumn("chrom_length", F.length("seq").cast("long")).select("chrom_id", "chrom_length", "seq")
 
 
+def fasta_problems(spark: SparkSession, path: str) -> DataFrame:
+    """(chrom_id, problem) where a file has sequence before its first header."""
+    first = spark.read.option("lineSep", "\n>").text(path).select(F.col("_metadata.file_path").alias("chrom_id"), "value", F.col("_metadata.file_block_start").alias("at")).withColumn("n", F.monotonically_increasing_id())
+    least = first.groupBy("chrom_id").agg(F.min_by("value", F.struct("at", "n")).alias("value"))
+    return least.filter("trim(value) <> '' AND NOT startswith(ltrim(regexp_replace(value, '[\\r\\n]', ' ')), '>')").select("chrom_id", F.lit("sequence before the first header").alias("problem"))
+
+
 def fasta_violations(records: DataFrame) -> DataFrame:
     """(chrom_id, problem) of records without a name or with one that another has."""
     return records.groupBy("chrom_id").agg(F.count("*").alias("n")).withColumn("problem", F.when(F.col("chrom_id") == "", "empty header").when(F.col("n") > 1, "duplicate id")).filter("problem IS NOT NULL").select("chrom_id", "problem")
@@ -61,32 +69,46 @@ def features(lines: DataFrame) -> DataFrame:
 def identified(found: DataFrame) -> DataFrame:
     """Features with `id` (the first of ID, transcript_id, gene_id and Name, or one made of the line) and `parents`."""
     a = lambda k: f"nullif(attributes['{k}'], '')"
-    return found.withColumn("id", F.expr(f"coalesce({a('ID')}, {a('transcript_id')}, {a('gene_id')}, {a('Name')}, concat(type, '_line_', line_no))")).withColumn(
-        "parents", F.expr(f"filter(split(coalesce({a('Parent')}, {a('parent')}, CASE WHEN type IN ('cds', 'exon', 'intron') THEN {a('transcript_id')} END, ''), ','), p -> p <> '')")
+    listed = lambda kinds: ", ".join(map(repr, kinds))
+    made = f"concat(CASE WHEN type IN ({listed(GENES)}) THEN 'gene' WHEN type IN ({listed(TRANSCRIPTS)}) THEN 'transcript' ELSE type END, '@', line_no)"
+    return found.withColumn("id", F.expr(f"coalesce({a('ID')}, {a('transcript_id')}, {a('gene_id')}, {a('Name')}, {made})")).withColumn(
+        "parents", F.expr(f"filter(split(coalesce({a('Parent')}, {a('parent')}, CASE WHEN type IN ({listed(CHILDREN)}) THEN {a('transcript_id')} END, ''), ','), p -> p <> '')")
     )
 
 
 def hierarchy(found: DataFrame) -> dict[str, DataFrame]:
-    """genes (gid), transcripts (tid, gid) and children (tid, type, s, e, phase) of identified features.
-
-    A transcript belongs to its first parent. A child goes to each of its parents: to a transcript, to
-    the implicit transcript of a gene, or to a new transcript and gene named after an unknown parent.
-    Of several lines with one gene id the last counts; children without a parent are dropped.
+    """genes (gid, seqid, strand, s, e, attributes, parse_index), transcripts (tid, gid, seqid, strand, s, e, attributes) and children (tid, type, s, e, phase, attributes) of identified features.
+
+    A transcript belongs to its first parent, else to its gene_id, else to a gene named after it. A
+    child goes to each of its parents: to a transcript, to the implicit transcript of a gene, which
+    begins with the gene's span, or to a new transcript and gene named after an unknown parent. Genes
+    that only transcripts or children name are made with the span of the first of them. Of several
+    lines with one id the last counts; children without a parent are dropped. A transcript's span
+    reaches over its children.
     """
-    keep = ["seqid", "strand", "s", "e", "attributes"]
     found = written(found, "features")  # attributes are parsed once
-    last = lambda df, key: df.groupBy(key).agg(F.max_by(F.struct(*keep), "line_no").alias("x"), F.min("line_no").alias("parse_index")).select(key, "x.*", "parse_index")
-    genes = last(found.filter("type = 'gene'").withColumnRenamed("id", "gid"), "gid")
-    tx = found.filter(F.col("type").isin(*TRANSCRIPTS)).withColumn("gid", F.expr("coalesce(try_element_at(parents, 1), concat('gene_for_', id))")).withColumnRenamed("id", "tid")
-    tx = tx.groupBy("tid").agg(F.max_by(F.struct("gid", *keep), "line_no").alias("x")).select("tid", "x.*")
-    child = found.filter(F.col("type").isin(*CHILDREN)).select("type", "seqid", "strand", "s", "e", "phase", "line_no", F.explode("parents").alias("parent"))
-    child = child.join(tx.select(F.col("tid").alias("parent"), F.lit(True).alias("is_tx")), "parent", "left").join(genes.select(F.col("gid").alias("parent"), F.lit(True).alias("is_gene")), "parent", "left")
-    child = child.withColumn("tid", F.when(F.col("is_tx"), F.col("parent")).when(F.col("is_gene"), F.concat("parent", F.lit(".implicit_transcript"))).otherwise(F.col("parent")))
-    made = child.filter("is_tx IS NULL").select("tid", F.when(F.col("is_gene"), F.col("parent")).otherwise(F.concat(F.lit("gene_for_"), "parent")).alias("gid"), "seqid", "strand").dropDuplicates(["tid"])
-    every = tx.select("tid", "gid", "seqid", "strand", "s", "e").unionByName(made.withColumn("s", F.lit(None).cast("long")).withColumn("e", F.lit(None).cast("long")))
+    last = lambda df, key: df.groupBy(key).agg(F.max_by(F.struct("gid", "seqid", "strand", "s", "e", "attributes", "line_no"), "line_no").alias("x"))
+    genes = last(found.filter(F.col("type").isin(*GENES)).withColumn("gid", F.col("id")), "id").select("x.gid", "x.seqid", "x.strand", "x.s", "x.e", "x.attributes", F.col("x.line_no").alias("parse_index"))
+    own = F.expr("coalesce(try_element_at(parents, 1), attributes['gene_id'], concat('gene_for_', id))")
+    tx = last(found.filter(F.col("type").isin(*TRANSCRIPTS)).withColumn("gid", own), "id").select(F.col("id").alias("tid"), "x.*")
+    child = found.filter(F.col("type").isin(*CHILDREN)).select("type", "seqid", "strand", "s", "e", "phase", "attributes", "line_no", F.explode("parents").alias("parent"))
+    child = child.join(tx.select(F.col("tid").alias("parent"), F.lit(True).alias("is_tx")), "parent", "left").join(genes.select(F.col("gid").alias("parent"), F.struct("seqid", "strand", "s", "e").alias("gene")), "parent", "left")
+    of_gene = F.col("is_tx").isNull() & F.col("gene").isNotNull()
+    child = child.withColumn("tid", F.when(of_gene, F.concat("parent", F.lit(".implicit_transcript"))).otherwise(F.col("parent")))
+    # what an implicit transcript begins with: its gene's span, or its first child's
+    first = F.when(of_gene, F.struct("parent", "gene.seqid", "gene.strand", "gene.s", "gene.e", "line_no")).otherwise(F.struct(F.concat(F.lit("gene_for_"), "parent").alias("parent"), "seqid", "strand", "s", "e", "line_no"))
+    made = child.filter("is_tx IS NULL").groupBy("tid").agg(F.min_by(first, "line_no").alias("x"))
+    none = F.expr("cast(map() as map<string,string>)")
+    made = made.select("tid", F.col("x.parent").alias("gid"), "x.seqid", "x.strand", "x.s", "x.e", none.alias("attributes"), "x.line_no")
+    # where a gene's implicit transcript has the name of a line's, the line's counts
+    made = made.join(tx.select("tid"), "tid", "left_anti")
+    begun = tx.unionByName(made)
+    unknown = begun.join(genes.select("gid"), "gid", "left_anti").groupBy("gid").agg(F.min_by(F.struct("seqid", "strand", "s", "e", "line_no"), "line_no").alias("x"))
+    after = F.lit(1 << 62)  # made genes come behind those of the file
+    every = genes.unionByName(unknown.select("gid", "x.seqid", "x.strand", "x.s", "x.e", none.alias("attributes"), (after + F.col("x.line_no")).alias("parse_index")))
     reach = child.groupBy("tid").agg(F.min("s").alias("cs"), F.max("e").alias("ce"))
-    every = every.join(reach, "tid", "left").select("tid", "gid", "seqid", "strand", F.least("s", "cs").alias("s"), F.greatest("e", "ce").alias("e"))
-    return {"genes": genes, "transcripts": every, "children": child.select("tid", "type", "s", "e", "phase")}
+    spans = begun.join(reach, "tid", "left").select("tid", "gid", "seqid", "strand", F.least("s", "cs").alias("s"), F.greatest("e", "ce").alias("e"), "attributes")
+    return {"genes": every, "transcripts": spans, "children": child.select("tid", "type", "s", "e", "phase", "attributes")}
 
 
 def windows_tsv(spark: SparkSession, path: str) -> DataFrame:

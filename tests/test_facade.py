@@ -111,6 +111,9 @@ def test_preparation(spark):
     lines = spark.createDataFrame([(i, t) for i, t in enumerate(text)], "line_no long, value string")
     got = facade.prepare(records, files.features(lines), window=400, flank=50, overlap=100, most_ambiguous=50)
     assert got["quality"].first().mask == 1.0 and got["selected"].first().tid == "t"
+    other = spark.createDataFrame([("c1", seq.replace("ATG", "ATC", 1))], "chrom_id string, seq string")
+    lost = facade.prepare(other, files.features(lines), window=400, flank=50, overlap=100, most_ambiguous=50)["quality"].first()
+    assert lost.mask == 0.0 and lost.zero_reasons == ["noncanonical_start_codon"]
     rows = got["windows"].collect()
     assert rows and sum(sum(1 for x in r.labels[0] if x == 7) for r in rows) >= 1 and all(len(r.input_ids) == 402 for r in rows)
 

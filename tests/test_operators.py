@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandloom.functions import bases
-from strandloom.operators import candidates, genes, intervals, tiling
+from strandloom.operators import candidates, genes, intervals, tiling, quality
 from strandloom.sources import files
 from strandloom.streaming import ingest
 
@@ -85,11 +85,41 @@ def test_files(spark, tmp_path):
     assert files.fasta_violations(files.fasta(spark, f"{tmp_path}/a/x.fa")).count() == 0
     parts = files.hierarchy(files.identified(files.gff(spark, f"{tmp_path}/a/x.gff3")))
     assert [(r.tid, r.gid, r.s, r.e) for r in parts["transcripts"].collect()] == [("t1", "gene_for_t1", 0, 9)]
+    (tmp_path / "a" / "y.txt").write_text("ACGT\n>one\nAC\n")
+    assert [r.problem for r in files.fasta_problems(spark, f"{tmp_path}/a/y.txt").collect()] == ["sequence before the first header"]
+    assert files.fasta_problems(spark, f"{tmp_path}/a/x.fa").count() == 0
     assert {r.name: r.problem for r in files.species(spark, str(tmp_path)).collect()} == {"a": None, "b": "0 GFF files"}
     with pytest.raises(files.Violation):
         files.require(files.species(spark, str(tmp_path)).filter("problem IS NOT NULL"), "species")
 
 
+def test_hierarchy_of_gtf_and_pseudogenes(spark):
+    text = [
+        'c\ts\ttranscript\t11\t50\t.\t+\t.\tgene_id "G1"; transcript_id "T1"', 'c\ts\tCDS\t5\t60\t.\t+\t0\ttranscript_id "T1"', 'c\ts\tstart_codon\t1\t3\t.\t+\t.\ttranscript_id "T1"',
+        "c\ts\tpseudogene\t1\t99\t.\t-\t.\tID=P1", "c\ts\texon\t20\t30\t.\t-\t.\tParent=P1", "c\ts\trRNA\t1\t9\t.\t+\t.\tID=r1", "c\ts\tmRNA\t7\t9\t.\t+\t.\tNote=x", "c\ts\tCDS\t4\t9\t.\t+\t0\tParent=U1",
+    ]
+    parts = files.hierarchy(files.identified(files.features(spark.createDataFrame(list(enumerate(text, 1)), "line_no long, value string"))))
+    got = {(r.tid, r.gid, r.s, r.e) for r in parts["transcripts"].collect()}
+    assert got == {("T1", "G1", 0, 60), ("P1.implicit_transcript", "P1", 0, 99), ("transcript@7", "gene_for_transcript@7", 6, 9), ("U1", "gene_for_U1", 3, 9)}
+    assert {(r.gid, r.s, r.e) for r in parts["genes"].collect()} == {("G1", 10, 50), ("P1", 0, 99), ("gene_for_transcript@7", 6, 9), ("gene_for_U1", 3, 9)}
+    order = [r.gid for r in parts["genes"].orderBy("parse_index").collect()]
+    assert order == ["P1", "G1", "gene_for_transcript@7", "gene_for_U1"]
+
+
+def test_every_short_intron_counts(spark):
+    rows = [("g", "t", "c", "+", s, e, 0) for s, e in ((0, 30), (30, 60), (62, 92), (102, 132))]
+    found = genes.quality(spark.createDataFrame(rows, "gid string, tid string, seqid string, strand string, s long, e long, flagged int")).first()
+    assert {"exon_or_CDS_blocks_overlap_or_touch", "intron_length_lt_4"} <= set(found.zero_reasons) and found.half_reasons == ["intron_length_lt_20"]
+
+
+def test_ranges_over_sequence_blocks(spark):
+    seq = "".join("ACGT"[(i * i + i // 7) % 4] for i in range(1000))
+    blocks = quality.sequence_blocks(spark.createDataFrame([("c", seq), ("d", None)], "chrom_id string, seq string"), 64)
+    ranges = [(k, "c", s, e) for k, (s, e) in enumerate([(0, 1), (63, 65), (10, 900), (0, 1000), (999, 1000), (990, 1001), (64, 128)])]
+    got = {r.k: r.seq for r in quality.looked_up(spark.createDataFrame(ranges, "k int, seqid string, s long, e long"), blocks, ["k"], 64).collect()}
+    assert got == {k: seq[s:e] for k, _, s, e in ranges if e <= 1000}
+
+
 class State:
     exists, get = False, None
 
