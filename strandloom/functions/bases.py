@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-# Complements, stop codons, splice motif pairs, and what attribute values escape.
+# Complements, stop codons, splice motif pairs, and what attribute values leave as it is.
 IUPAC = ("ACGTRYKMBDHVSWN", "TGCAYRMKVHDBSWN")
 PLAIN = ("ACGTN", "TGCAN")
 STOPS = ("TAA", "TAG", "TGA")
 SPLICE_PAIRS = (("GT", "AG"), ("GC", "AG"), ("AT", "AC"))
-ESCAPED = (("%", "%25"), (";", "%3B"), ("=", "%3D"), ("&", "%26"), (",", "%2C"), (" ", "%20"))
+PLAIN_IN_ATTRIBUTES = ("%2B", "+"), ("%3A", ":"), ("%5E", "^"), ("%24", "$"), ("%40", "@"), ("%21", "!"), ("%3F", "?"), ("%7C", "|"), ("%7E", "~")
 
 
 def reverse_complement(seq: str, alphabet: tuple[str, str] = IUPAC) -> str:
@@ -38,8 +38,10 @@ def supported_splice(donor: str, acceptor: str) -> str:
 
 
 def escape_attribute(value: str) -> str:
-    for plain, code in ESCAPED:
-        value = f"replace({value}, '{plain}', '{code}')"
+    """Percent codes for all but letters, digits and . _ - * + : ^ $ @ ! ? | ~"""
+    value = f"replace(url_encode({value}), '+', '%20')"
+    for code, plain in PLAIN_IN_ATTRIBUTES:
+        value = f"replace({value}, '{code}', '{plain}')"
     return value
 
 

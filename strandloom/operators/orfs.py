@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandloom.functions import bases
+from strandloom.operators import ranks
 
 #: A start codon and what follows it up to the first stop codon in frame; codons are parted by a space.
 ORF = r"ATG (?:(?!TAA|TAG|TGA)[A-Z]{3} )*+(?:TAA|TAG|TGA)"
@@ -28,13 +29,12 @@ def open_reading_frames(records: DataFrame, least: int = 60) -> DataFrame:
 def ranked(genes: DataFrame) -> DataFrame:
     """`genes` (chrom_id, chrom_index, strand, s, e) with their number over the whole file: + by (start, end), then - by (-end, end).
 
-    Ranks are taken inside each record; only the counts of records meet in one task.
+    Ranks are taken inside each record, and records are numbered by ranges.
     """
     plus = F.col("strand") == "+"
     order = Window.partitionBy("chrom_id").orderBy("strand", F.when(plus, F.col("s")).otherwise(-F.col("e")), "e", "s")
     counts = genes.groupBy("chrom_index").agg(F.count("*").alias("n"))
-    first = Window.orderBy("chrom_index").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select("chrom_index", F.coalesce(F.sum("n").over(first), F.lit(0)).alias("first"))
+    counts = ranks.sums_before(counts, "chrom_index", "n", "first").drop("n")
     return genes.withColumn("rank", F.row_number().over(order)).join(counts, "chrom_index").withColumn("number", F.col("first") + F.col("rank")).drop("first")
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandloom.operators import ranks
+
 
 def padded(seq: str, start: str, length: int) -> str:
     """SQL: `length` bases of `seq` from 0-based `start`, which may be negative, with N beyond both ends."""
@@ -75,11 +77,8 @@ def write_intervals(windows: DataFrame) -> DataFrame:
 
 
 def global_index(windows: DataFrame, chunk_size: int = 50_000) -> DataFrame:
-    """`windows` with global_window_index, chunk_id from 1 and chunk_local_index. Only the counts of records meet in one task."""
-    from pyspark.sql import Window
-
+    """`windows` with global_window_index, chunk_id from 1 and chunk_local_index. Records are numbered by ranges."""
     counts = windows.groupBy("chrom_index").agg(F.count("*").alias("n"))
-    first = Window.orderBy("chrom_index").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select("chrom_index", F.coalesce(F.sum("n").over(first), F.lit(0)).alias("first"))
+    counts = ranks.sums_before(counts, "chrom_index", "n", "first").drop("n")
     at = F.col("first") + F.col("chrom_window_index")
     return windows.join(counts, "chrom_index").withColumn("global_window_index", at).withColumn("chunk_id", F.expr(f"(first + chrom_window_index) div {chunk_size} + 1")).withColumn("chunk_local_index", at % chunk_size).drop("first")

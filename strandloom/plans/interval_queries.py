@@ -29,7 +29,8 @@ def bins(spark, sf_dir):
     events = table(spark, sf_dir, "events")
     kind = events.agg(F.min("event_type").alias("k"))
     at = F.unix_seconds(F.col("ts").cast("timestamp"))
-    hit = events.join(F.broadcast(kind)).groupBy((F.col("user_id") % 50).alias("chrom"), F.floor(at / 1200).cast("long").alias("b")).agg(F.bool_or(F.col("event_type") == F.col("k")).alias("seed"))
+    hit = events.groupBy((F.col("user_id") % 50).alias("chrom"), F.floor(at / 1200).cast("long").alias("b"), (F.col("event_type") == kind.scalar()).alias("is")).agg(F.count("*").alias("n"))
+    hit = hit.groupBy("chrom", "b").agg(F.bool_or("is").alias("seed"))
     hit = hit.select("chrom", F.col("b").alias("bin"), "seed")
     grid = hit.groupBy("chrom").agg(F.min("bin").alias("lo"), F.max("bin").alias("hi")).select("chrom", F.explode(F.sequence("lo", "hi")).alias("bin"))
     found = grid.join(hit.withColumn("there", F.lit(True)), ["chrom", "bin"], "left")

@@ -53,7 +53,7 @@ def grouped_f1(spark, sf_dir):
     return cd.grouped_scores(cd.confusion(labelled(spark, sf_dir))).withColumn("f1", F.round("f1", 6))
 
 
-_ROWS = f"""{_LAB}, tr AS (SELECT t.pos, t.strand, z, p, CASE WHEN weight > 0 THEN truth ELSE 0 END AS label, weight AS m, t.pos // 25 AS sample FROM track t JOIN lab USING (pos, strand) JOIN logits USING (pos, strand) WHERE t.strand = 0),
+_ROWS = f"""{_LAB}, tr AS (SELECT t.pos, t.strand, z, p, CASE WHEN weight > 0 THEN truth ELSE 0 END AS label, weight AS m, (t.pos // 25) * 2 + t.strand AS sample FROM track t JOIN lab USING (pos, strand) JOIN logits USING (pos, strand)),
 gate AS (SELECT *, list_transform(z, lambda v: exp((v - list_max(z)) / 0.2)) AS gx FROM tr),
 sr AS (SELECT sample, pos, m, label, cls, p[cls + 1] AS p, gx[cls + 1] / list_sum(gx) AS g, CASE WHEN cls = label THEN 1.0 ELSE 0.0 END::DOUBLE AS t FROM gate, (SELECT unnest(range(0, 15)) AS cls))"""
 _FOCAL = f"""{_ROWS}, own AS (SELECT sample, sum((1 - p) ** 2 * -ln(p) * m * CASE WHEN label = 7 THEN 2 ELSE 1 END) / greatest(sum(m * CASE WHEN label = 7 THEN 2 ELSE 1 END), 1e-5) AS focal, sum(m) AS len FROM sr WHERE cls = label GROUP BY sample),
@@ -67,7 +67,7 @@ mean AS (SELECT avg(focal) AS focal, avg(state) AS state_f1, avg(intron) AS intr
 
 
 def samples(spark, sf_dir):
-    return labelled(spark, sf_dir).filter("strand = 0").select(F.expr("pos div 25").alias("sample"), "pos", "z", F.col("truth").alias("label"), F.col("weight").alias("m"))
+    return labelled(spark, sf_dir).select(F.expr("(pos div 25) * 2 + strand").alias("sample"), "pos", "z", F.col("truth").alias("label"), F.col("weight").alias("m"))
 
 
 @query("los_focal_f1", f"{_FOCAL} SELECT round(focal, 5) AS focal, round(state_f1, 5) AS state_f1, round(intron_f1, 5) AS intron_f1, round(cds_f1, 5) AS cds_f1, round(focal + 0.5 * (state_f1 + intron_f1 + cds_f1), 5) AS loss FROM mean")

@@ -81,9 +81,14 @@ def attributes(spark, sf_dir):
     return found.select("p_partkey", F.expr("a['ID']").alias("id"), F.expr("a['Name']").alias("name"), F.expr("a['biotype']").alias("biotype"), F.expr("map_contains_key(a, 'flag')").alias("flag"))
 
 
-@query("scl_escape_attribute", "SELECT p_partkey, replace(replace(replace(replace(replace(replace(p_name || '; a=b&c,%', '%', '%25'), ';', '%3B'), '=', '%3D'), '&', '%26'), ',', '%2C'), ' ', '%20') AS escaped, p_name || '; a=b&c,%' AS back FROM part")
+_CODE = "url_encode(v)"
+for _code, _plain in bases.PLAIN_IN_ATTRIBUTES:
+    _CODE = f"replace({_CODE}, '{_code}', '{_plain}')"
+
+
+@query("scl_escape_attribute", f"SELECT p_partkey, replace({_CODE}, '%2A', '*') AS escaped, v AS back FROM (SELECT p_partkey, p_name || '; a=b&c,%3A%' || chr(9) || '(\"/\")é漢+:^*$@!?|~._-' AS v FROM part)")
 def escape_attribute(spark, sf_dir):
-    parts = table(spark, sf_dir, "part").select("p_partkey", F.concat("p_name", F.lit("; a=b&c,%")).alias("v")).withColumn("escaped", F.expr(bases.escape_attribute("v")))
+    parts = table(spark, sf_dir, "part").select("p_partkey", F.concat("p_name", F.lit('; a=b&c,%3A%\t("/")é漢+:^*$@!?|~._-')).alias("v")).withColumn("escaped", F.expr(bases.escape_attribute("v")))
     return parts.select("p_partkey", "escaped", F.expr(bases.decoded("escaped")).alias("back"))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandloom.functions import bases
+from strandloom.operators import ranks
 from strandloom.plans.session import written
 
 WINDOW_DDL = "global_window_index bigint, chrom_id string, chrom_length bigint, chrom_index bigint, chrom_window_index bigint, center_start bigint, center_end bigint, chunk_id bigint, chunk_local_index bigint, sequence string"
@@ -128,10 +129,8 @@ def species(spark: SparkSession, root: str) -> DataFrame:
 
 def manifest_violations(manifest: DataFrame, track: DataFrame) -> DataFrame:
     """(chrom_id, problem): what differs between a manifest (chrom_id, chrom_length, chrom_index, num_windows) and a track (chrom_id, pos)."""
-    from pyspark.sql import Window
-
-    rank = F.row_number().over(Window.orderBy("chrom_index")) - 1
-    order = manifest.withColumn("r", rank).filter("r <> chrom_index").select("chrom_id", F.lit("index isn't consecutive").alias("problem"))
+    numbered = ranks.sums_before(manifest.groupBy("chrom_index").agg(F.count("*").alias("n"), F.min("chrom_id").alias("chrom_id")), "chrom_index", "n", "r")
+    order = numbered.filter("r <> chrom_index OR n > 1").select("chrom_id", F.lit("index isn't consecutive").alias("problem"))
     twice = manifest.groupBy("chrom_id").agg(F.count("*").alias("n")).filter("n > 1").select("chrom_id", F.lit("id isn't unique").alias("problem"))
     held = track.groupBy("chrom_id").agg(F.count("*").alias("n"), F.min("pos").alias("lo"), F.max("pos").alias("hi"))
     joined = manifest.join(held, "chrom_id", "full")

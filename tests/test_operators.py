@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandloom.functions import bases
-from strandloom.operators import candidates, genes, intervals, tiling, quality
+from strandloom.operators import candidates, genes, intervals, quality, ranks, tiling
 from strandloom.sources import files
 from strandloom.streaming import ingest
 
@@ -106,6 +106,12 @@ def test_hierarchy_of_gtf_and_pseudogenes(spark):
     assert order == ["P1", "G1", "gene_for_transcript@7", "gene_for_U1"]
 
 
+def test_sums_before(spark):
+    rows = [(k * 3 % 101, k % 7) for k in range(101)]
+    got = {r.k: r.before for r in ranks.sums_before(spark.createDataFrame(rows, "k long, n long"), "k", "n", "before").collect()}
+    assert got == {k: sum(n for j, n in rows if j < k) for k, _ in rows}
+
+
 def test_every_short_intron_counts(spark):
     rows = [("g", "t", "c", "+", s, e, 0) for s, e in ((0, 30), (30, 60), (62, 92), (102, 132))]
     found = genes.quality(spark.createDataFrame(rows, "gid string, tid string, seqid string, strand string, s long, e long, flagged int")).first()
