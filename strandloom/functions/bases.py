@@ -77,3 +77,13 @@ def readable_bytes(n: str) -> str:
 def first_phase(before: str) -> str:
     """GFF phase of a block after `before` coding bases."""
     return f"((3 - {before} % 3) % 3)"
+
+
+def group_name(name: str) -> str:
+    """A name that is safe in paths and can be turned back: percent codes for all but letters, digits and _ . - ~"""
+    return f"replace(replace(replace(url_encode({name}), '+', '%20'), '*', '%2A'), '%7E', '~')"
+
+
+def clean_cell(text: str) -> str:
+    """A text for one cell of a tab-separated line: without line ends, tabs as spaces."""
+    return f"translate({text}, '\\t\\n', ' ')"

@@ -93,3 +93,14 @@ def entropy_f1_loss(labelled: DataFrame, factor: float = 2.0, first: int = 4, ep
     c = c.groupBy("sample").agg(F.sum(F.when(F.col("a") > 0, 1 - f1).otherwise(0.0)).alias("f1"), F.sum(F.when(F.col("a") > 0, 0.0).otherwise(F.col("q"))).alias("fp"))
     means = own.join(c, "sample").agg(F.avg("cce").alias("cce"), F.avg("f1").alias("f1"), F.avg(F.col("fp") / F.col("norm")).alias("false_positive"))
     return means.withColumn("loss", F.col("cce") + factor * (F.col("f1") + F.col("false_positive")))
+
+
+#: Losses by name.
+LOSSES = {"masked_focal_f1": focal_f1_loss, "cce_f1": entropy_f1_loss}
+
+
+def loss(labelled: DataFrame, name: str = "masked_focal_f1", **options: float) -> DataFrame:
+    """The loss of that name; an unknown name is an error that lists the known ones."""
+    if name not in LOSSES:
+        raise ValueError(f"no loss {name!r}; known are {sorted(LOSSES)}")
+    return LOSSES[name](labelled, **options)

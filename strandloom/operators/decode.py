@@ -9,15 +9,15 @@ intron has split. Equal scores keep the first path found.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandloom.functions.bases import STOPS
-from strandloom.functions.track import EPSILON
+from strandloom.functions.track import N_STATES, Calibration
 
 # Which frame follows which state, the phase of a donor behind a frame, and the motifs of donors and acceptors.
 FOLLOWS = {7: 5, 4: 5, 11: 5, 5: 6, 12: 6, 6: 4, 13: 4}
@@ -108,12 +108,27 @@ def decode_region(seq: str, odds: list[list[float]], min_cds: int = 60, min_intr
     return out[::-1]
 
 
-def decode_regions(regions: DataFrame, min_cds: int = 60, min_intron: int = 20, least_mean: float = 0.5, intercept: float = 0.0) -> DataFrame:
+def label_odds(p: list[list[float]], calibration: Calibration) -> list[list[float]]:
+    """Scores of each base's states against the background; probabilities must be 15 finite values of 0 or more a base."""
+    if not p:
+        return []
+    values = np.asarray(p, dtype=np.float64)
+    if values.shape != (len(p), N_STATES) or not np.isfinite(values).all() or (values < 0).any():
+        raise ValueError(f"probabilities must be {N_STATES} finite values of 0 or more")
+    logs = np.log(np.maximum(values, calibration.epsilon))
+    return ((logs - logs[:, :1]) * calibration.scale + calibration.bias).tolist()
+
+
+def decode_regions(regions: DataFrame, min_cds: int = 60, min_intron: int = 20, least_mean: float = 0.5, intercept: float = 0.0, calibration: Calibration | None = None) -> DataFrame:
     """Genes of `regions` (chrom_id, strand, region, start, stop, seq, p): bases and state probabilities of each region in forward coordinates.
 
     A region on the other strand is turned before and its exons are mapped back; exons stay in
-    transcript order. Genes whose mean score over their span is under `least_mean` are left out.
+    transcript order. Genes whose mean score over their span is under `least_mean` are left out. A
+    calibration gives the factor, constant and floor of each state and replaces `intercept` by its own.
     """
+    if min_cds < 3 or min_intron < 1:
+        raise ValueError("min_cds must be 3 or more, min_intron 1 or more")
+    known = calibration or Calibration(gene_intercept=intercept)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turn = str.maketrans("ACGTN", "TGCAN")
@@ -123,8 +138,7 @@ def decode_regions(regions: DataFrame, min_cds: int = 60, min_intron: int = 20,
                 seq, p = r["seq"], r["p"]
                 if r["strand"] == "-":
                     seq, p = seq.translate(turn)[::-1], p[::-1]
-                odds = [[math.log(max(v, EPSILON)) - math.log(max(x[0], EPSILON)) for v in x] for x in p]
-                for k, (score, exons) in enumerate(decode_region(seq, odds, min_cds, min_intron, intercept)):
+                for k, (score, exons) in enumerate(decode_region(seq, label_odds(p, known), min_cds, min_intron, known.gene_intercept)):
                     if r["strand"] == "-":
                         exons = [(len(seq) - e, len(seq) - s) for s, e in exons]
                     exons = [{"s": r["start"] + s, "e": r["start"] + e} for s, e in exons]

@@ -139,3 +139,14 @@ def protein_coding(found: DataFrame, key: str = "gene_biotype", values: tuple[st
     match = biotype.isin(*wanted) | F.lower(F.coalesce(a("gene_biotype"), F.lit(""))).isin(*wanted)
     fallback = (F.col("n_cds") > 0) & F.lower(F.coalesce(a("gbkey"), F.lit(""))).isin("", "gene")
     return found.withColumn("coding", match | fallback)
+
+
+#: The attributes that may name a biotype.
+BIOTYPES = ("gene_biotype", "gene_type", "transcript_biotype", "transcript_type", "biotype")
+
+
+def coding_evidence(found: DataFrame) -> DataFrame:
+    """`found` (gene_attributes, attributes, n_cds) with coding_evidence: biotype where any named one is protein_coding, inferred_from_cds where none is named and there are coding blocks, else none."""
+    values = " , ".join(f"nullif({a}['{k}'], '')" for a in ("gene_attributes", "attributes") for k in BIOTYPES)
+    named = F.expr(f"transform(array_compact(array({values})), v -> replace(lower(v), '-', '_'))")
+    return found.withColumn("coding_evidence", F.when(F.array_contains(named, "protein_coding"), "biotype").when((F.size(named) == 0) & (F.col("n_cds") > 0), "inferred_from_cds").otherwise("none"))

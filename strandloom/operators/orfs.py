@@ -13,15 +13,16 @@ ORF = r"ATG (?:(?!TAA|TAG|TGA)[A-Z]{3} )*+(?:TAA|TAG|TGA)"
 
 
 def open_reading_frames(records: DataFrame, least: int = 60) -> DataFrame:
-    """(chrom_id, chrom_index, strand, s, e): from the first start codon behind a stop codon to the next stop codon, in forward coordinates."""
+    """(chrom_id, chrom_index, strand, s, e): from the first start codon behind a stop codon to the next stop codon, in forward coordinates. Records have different ids."""
     both = records.select("chrom_id", "chrom_index", F.length("seq").alias("n"), F.explode(F.create_map(F.lit("+"), F.col("seq"), F.lit("-"), F.expr(bases.reverse_complement("seq")))).alias("strand", "seq"))
     frames = both.withColumn("frame", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
     frames = frames.withColumn("codons", F.expr("regexp_replace(substr(seq, frame + 1), '(...)', '$1 ')"))
-    found = f"zip_with(regexp_extract_all(codons, r'{ORF}', 0), split(codons, r'{ORF}', -1), (x, g) -> struct(length(x) AS x, length(g) AS g))"
-    spans = f"""aggregate({found}, struct(0 AS at, cast(array() as array<struct<a:bigint,b:bigint>>) AS out),
-        (a, z) -> CASE WHEN z.x IS NULL THEN a ELSE struct(a.at + z.g + z.x AS at, concat(a.out, array(struct((a.at + z.g) div 4 * 3 AS a, (a.at + z.g + z.x + 1) div 4 * 3 AS b))) AS out) END, a -> a.out)"""
-    orfs = frames.select("chrom_id", "chrom_index", "strand", "n", "frame", F.explode(F.expr(spans)).alias("o"))
-    a, b = F.col("o.a") + F.col("frame"), F.col("o.b") + F.col("frame")
+    lengths = f"zip_with(regexp_extract_all(codons, r'{ORF}', 0), split(codons, r'{ORF}', -1), (x, g) -> struct(length(g) + length(x) AS step, length(x) AS x))"
+    steps = frames.select("chrom_id", "chrom_index", "strand", "n", "frame", F.posexplode(F.expr(lengths)).alias("i", "o")).filter("o.x IS NOT NULL")
+    # only lengths are shuffled; a frame's are added up in order, so that no array grows by one match at a time
+    order = Window.partitionBy("chrom_index", "chrom_id", "strand", "frame").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    orfs = steps.withColumn("end", F.sum(F.col("o.step").cast("long")).over(order))
+    a, b = F.expr("(end - o.x) div 4 * 3 + frame"), F.expr("(end + 1) div 4 * 3 + frame")
     plus = F.col("strand") == "+"
     return orfs.filter(b - a >= least).select("chrom_id", "chrom_index", "strand", F.when(plus, a).otherwise(F.col("n") - b).cast("long").alias("s"), F.when(plus, b).otherwise(F.col("n") - a).cast("long").alias("e"))
 

@@ -8,10 +8,26 @@ from pyspark.sql import functions as F
 from strandloom.operators import ranks
 
 
-def padded(seq: str, start: str, length: int) -> str:
-    """SQL: `length` bases of `seq` from 0-based `start`, which may be negative, with N beyond both ends."""
-    body = f"substr({seq}, greatest({start}, 0) + 1, greatest(least({start} + {length}, length({seq})) - greatest({start}, 0), 0))"
-    return f"concat(repeat('N', cast(least(greatest(-({start}), 0), {length}) as int)), {body}, repeat('N', cast(greatest({length} - greatest(least({start} + {length}, length({seq})) - greatest({start}, 0), 0) - least(greatest(-({start}), 0), {length}), 0) as int)))"
+#: Records are cut into pieces of this many bases before windows are taken, so that a window costs its own length and not that of its record.
+PIECE = 1 << 14
+
+
+def pieces(seq: str) -> str:
+    """SQL: `seq` as an array of pieces, in order; all but the last have PIECE bases."""
+    return f"regexp_extract_all({seq}, '(?s).{{1,{PIECE}}}', 0)"
+
+
+def part(held: str, at: str, n: str) -> str:
+    """SQL: `n` bases from 0-based `at` of the record whose pieces are `held`; `at` and `n` are 0 or more, and what lies behind the record is left out."""
+    return f"substr(array_join(slice({held}, cast(({at}) div {PIECE} as int) + 1, cast((({at}) % {PIECE} + ({n})) div {PIECE} as int) + 1), ''), cast(({at}) % {PIECE} as int) + 1, cast({n} as int))"
+
+
+def padded(held: str, size: str, start: str, length: int) -> str:
+    """SQL: `length` bases from 0-based `start`, which may be negative, of a record of `size` bases in the pieces `held`, with N beyond both ends."""
+    at = f"greatest({start}, 0)"
+    n = f"greatest(least({start} + {length}, {size}) - {at}, 0)"
+    before = f"least(greatest(-({start}), 0), {length})"
+    return f"concat(repeat('N', cast({before} as int)), {part(held, at, n)}, repeat('N', cast(greatest({length} - {n} - {before}, 0) as int)))"
 
 
 def inference_windows(records: DataFrame, window: int = 40_960, flank: int = 5_120, min_length: int = 1) -> DataFrame:
@@ -24,10 +40,11 @@ def inference_windows(records: DataFrame, window: int = 40_960, flank: int = 5_1
     starts = f"transform(sequence(0L, greatest(chrom_length div {center} - 1, 0L)), i -> i * {center}L)"
     terminal = f"CASE WHEN chrom_length > {center} AND chrom_length % {center} <> 0 THEN array(chrom_length - {center}) ELSE cast(array() as array<bigint>) END"
     sized = records.withColumn("chrom_length", F.length("seq").cast("long")).filter(F.col("chrom_length") >= max(min_length, 1))
-    tiles = sized.select("chrom_id", "chrom_index", "chrom_length", "seq", F.posexplode(F.expr(f"concat({starts}, {terminal})")).alias("chrom_window_index", "center_start"))
+    tiles = sized.select("chrom_id", "chrom_index", "chrom_length", F.expr(pieces("seq")).alias("held"), F.expr(f"concat({starts}, {terminal})").alias("starts"))
+    tiles = tiles.select("chrom_id", "chrom_index", "chrom_length", "held", F.posexplode("starts").alias("chrom_window_index", "center_start"))
     return tiles.select(
         "chrom_id", "chrom_index", "chrom_length", F.col("chrom_window_index").cast("long").alias("chrom_window_index"), "center_start",
-        (F.col("center_start") + center).alias("center_end"), F.expr(padded("seq", f"(center_start - {flank})", window)).alias("sequence"),
+        (F.col("center_start") + center).alias("center_end"), F.expr(padded("held", "chrom_length", f"(center_start - {flank})", window)).alias("sequence"),
     )
 
 
@@ -45,12 +62,13 @@ def training_windows(records: DataFrame, window: int = 40_960, flank: int = 4_09
     """(chrom_id, window_start, window_end, window_id, sequence, ambiguous) of windows whose center has few enough ambiguous bases."""
     center = window - 2 * flank
     sized = records.withColumn("length", F.length("seq").cast("long")).filter(F.col("length") >= max(min_length, 1))
-    tiles = sized.select("chrom_id", "seq", "length", F.explode(F.expr(training_starts("length", window, flank, overlap))).alias("window_start"))
-    real = f"substr(seq, window_start + {flank} + 1, least({center}, length - window_start - {flank}))"
+    tiles = sized.select("chrom_id", "length", F.expr(pieces("seq")).alias("held"), F.expr(training_starts("length", window, flank, overlap)).alias("starts"))
+    tiles = tiles.select("chrom_id", "length", "held", F.explode("starts").alias("window_start"))
+    real = part("held", f"window_start + {flank}", f"least({center}, length - window_start - {flank})")
     tiles = tiles.withColumn("ambiguous", F.expr(f"length(regexp_replace({real}, '[ACGT]', ''))")).filter(F.col("ambiguous") <= most_ambiguous)
     return tiles.select(
         "chrom_id", "window_start", (F.col("window_start") + window).alias("window_end"),
-        F.format_string("%s:%d-%d", "chrom_id", "window_start", F.col("window_start") + window).alias("window_id"), F.expr(padded("seq", "window_start", window)).alias("sequence"), "ambiguous",
+        F.format_string("%s:%d-%d", "chrom_id", "window_start", F.col("window_start") + window).alias("window_id"), F.expr(padded("held", "length", "window_start", window)).alias("sequence"), "ambiguous",
     )
 
 

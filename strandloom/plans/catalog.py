@@ -8,7 +8,7 @@ from collections.abc import Callable
 QUERIES: dict[str, Callable] = {}
 ORACLE: dict[str, str] = {}
 FLAGSHIP = "slice_orf_gff3"
-MODULES = ("sequence_queries", "interval_queries", "gene_queries", "track_queries", "metric_queries", "source_queries", "quality_queries")
+MODULES = ("sequence_queries", "interval_queries", "gene_queries", "track_queries", "metric_queries", "source_queries", "quality_queries", "store_queries")
 
 
 def query(name: str, sql: str | None = None) -> Callable:

@@ -47,10 +47,10 @@ def candidate_regions(track: DataFrame, step: int = 50) -> DataFrame:
     return found.select(*keys, F.xxhash64("chrom_id", "strand", "s").alias("region"), F.col("s").alias("start"), F.least("e", "length").alias("stop"))
 
 
-def annotate(track: DataFrame, records: DataFrame, min_cds: int = 60, min_intron: int = 20, least_mean: float = 0.5) -> DataFrame:
+def annotate(track: DataFrame, records: DataFrame, min_cds: int = 60, min_intron: int = 20, least_mean: float = 0.5, calibration: tk.Calibration | None = None) -> DataFrame:
     """(chrom_id, number, line_rank, line): GFF3 lines of the genes that a track (chrom_id, strand, pos, base, p) decodes to. records give the order of chromosomes."""
     regions = candidate_regions(track)
-    found = decode.decode_regions(decode.region_views(track, regions), min_cds, min_intron, least_mean)
+    found = decode.decode_regions(decode.region_views(track, regions), min_cds, min_intron, least_mean, calibration=calibration)
     exons = F.array_sort("exons")
     sided = found.join(records.select("chrom_id", "chrom_index"), "chrom_id").select("chrom_id", "chrom_index", "strand", exons.alias("exons"), F.array_min(F.transform("exons", lambda x: x["s"])).alias("s"), F.array_max(F.transform("exons", lambda x: x["e"])).alias("e"))
     return orfs.gff3_lines(orfs.ranked(sided))

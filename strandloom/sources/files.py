@@ -127,15 +127,19 @@ def species(spark: SparkSession, root: str) -> DataFrame:
     return found.select("name", F.expr("try_element_at(f, 1)").alias("fasta"), F.expr("try_element_at(g, 1)").alias("gff"), problem.alias("problem"))
 
 
-def manifest_violations(manifest: DataFrame, track: DataFrame) -> DataFrame:
-    """(chrom_id, problem): what differs between a manifest (chrom_id, chrom_length, chrom_index, num_windows) and a track (chrom_id, pos)."""
+def manifest_order_violations(manifest: DataFrame) -> DataFrame:
+    """(chrom_id, problem) of records whose chrom_index doesn't count on from 0, or whose id isn't unique."""
     numbered = ranks.sums_before(manifest.groupBy("chrom_index").agg(F.count("*").alias("n"), F.min("chrom_id").alias("chrom_id")), "chrom_index", "n", "r")
     order = numbered.filter("r <> chrom_index OR n > 1").select("chrom_id", F.lit("index isn't consecutive").alias("problem"))
-    twice = manifest.groupBy("chrom_id").agg(F.count("*").alias("n")).filter("n > 1").select("chrom_id", F.lit("id isn't unique").alias("problem"))
+    return order.unionByName(manifest.groupBy("chrom_id").agg(F.count("*").alias("n")).filter("n > 1").select("chrom_id", F.lit("id isn't unique").alias("problem")))
+
+
+def manifest_violations(manifest: DataFrame, track: DataFrame) -> DataFrame:
+    """(chrom_id, problem): what differs between a manifest (chrom_id, chrom_length, chrom_index, num_windows) and a track (chrom_id, pos)."""
     held = track.groupBy("chrom_id").agg(F.count("*").alias("n"), F.min("pos").alias("lo"), F.max("pos").alias("hi"))
     joined = manifest.join(held, "chrom_id", "full")
     cover = joined.filter("chrom_length IS NULL OR n IS NULL OR n <> chrom_length OR lo <> 0 OR hi <> chrom_length - 1").select("chrom_id", F.lit("positions don't cover the record").alias("problem"))
-    return order.unionByName(twice).unionByName(cover)
+    return manifest_order_violations(manifest).unionByName(cover)
 
 
 def write_gff3(lines: DataFrame, path: str) -> None:
