@@ -16,6 +16,7 @@ MODULES = {
     "op1_prefix_targets": "chat",
     "op5_tokenizer_fertility": "fertility",
     "op9_hypergeometric_shards": "sharding",
+    "op13_fm_phrases": "phrases",
     "op12_super_kmers": "superkmer",
     "op11_merkle_manifest": "merkle",
 }
