@@ -5,6 +5,8 @@ waits; a gene begins at ATG, reads codons, may leave at a donor and come back at
 same phase that its motif allows, and ends at a stop codon in frame. States carry the number of
 coding bases, capped at the least that a gene must have, and the base or bases of a codon that an
 intron has split. Equal scores keep the first path found.
+
+`decode_arrays` is what regions are decoded with; `decode_region` finds the same paths state by state.
 """
 
 from __future__ import annotations
@@ -108,15 +110,127 @@ def decode_region(seq: str, odds: list[list[float]], min_cds: int = 60, min_intr
     return out[::-1]
 
 
-def label_odds(p: list[list[float]], calibration: Calibration) -> list[list[float]]:
-    """Scores of each base's states against the background; probabilities must be 15 finite values of 0 or more a base."""
-    if not p:
+_NONE = -np.inf
+#: Phases of the rows of waiting introns: phase 0 without a split T, and any; phase 1 without split TA and TG, without TA, and any; phase 2.
+_ROWS = np.array([0, 0, 1, 1, 1, 2])
+
+
+def decode_arrays(seq: str, odds: np.ndarray, min_cds: int = 60, min_intron: int = 20, intercept: float = 0.0) -> list[tuple[float, list[tuple[int, int]]]]:
+    """What decode_region gives, with all coding counts at once; odds: (bases, states).
+
+    A path inside an exon scores as a prefix sum of its reading frame says, so it is kept as its score
+    less that sum, in the row of its frame, at the place of (base less coding count). There it stays
+    valid without any step: behind base i the counts below min_cds are a slice of the row, and the
+    place before the slice gathers those that have reached it. Work is done only where a codon or a
+    motif asks for it: donors send the slices of all frames to the waiting introns, acceptors put the
+    best of each count back, shifted by their own base. Introns keep the best of each count by motif
+    and by the stop codons that they can't become.
+    """
+    n, cap = len(seq), min_cds
+    if n == 0:
         return []
+    places = np.arange(n)
+    frames = np.stack([np.concatenate(([0.0], np.cumsum(odds[places, 4 + (places - r) % 3]))) for r in range(3)])
+    introns = np.concatenate((np.zeros((1, 3)), np.cumsum(odds[:, 1:4], axis=0))).T
+    # what a donor and an acceptor at a base add in each frame: its own score, and the sums of what it leaves and enters
+    phases = (places - np.arange(3)[:, None]) % 3
+    leaving = frames[:, :-1] + odds[places, np.array([DONOR[k] for k in range(3)])[phases]] - introns[phases, places + 1]
+    behind = (phases - 1) % 3
+    arriving = introns[behind, places] + odds[places, np.array([ACCEPTOR[k] for k in range(3)])[behind]] - frames[:, 1:]
+    # which rows a donor goes to, and which row an acceptor takes in each frame: those whose split bases it can't make a stop codon of
+    bases = np.frombuffer(f"-{seq}-".encode(), np.uint8)
+    last, here, ahead = (tuple(bases[k : k + n] == ord(x) for x in "AGT") for k in range(3))
+    ta, tg = last[2] & here[0], last[2] & here[1]
+    every = np.ones(n, bool)
+    kept = np.stack([~here[2], every, ~(ta | tg), ~ta, every, every])
+    sending = np.where(kept, leaving[(places - _ROWS[:, None]) % 3, places], _NONE)
+    sources = [(i - _ROWS) % 3 for i in range(3)]
+    split_t = (here[0] & (ahead[0] | ahead[1])) | (here[1] & ahead[0])
+    takes = np.stack([np.where(split_t, 0, 1), np.where(here[0], 2, np.where(here[1], 3, 4)), np.full(n, 5)])[behind, places]
+    shift = cap + 2
+    best, node = np.full((3, n + shift + 1), _NONE), np.full((3, n + shift + 1), -1, np.int64)  # a node's number stands in the high bits
+    read = [memoryview(best[r]) for r in range(3)]
+    held, links = np.full((2, len(_ROWS), cap), _NONE), np.full((2, len(_ROWS), cap), -1, np.int64)  # links: node and end of exon
+    numbers = np.arange(3 * cap, dtype=np.int64).reshape(3, cap) << 32
+    nodes: list[tuple] = []  # (base, links by frame and count), or of a start (base, None, score before, genes before)
+    waiting: dict[int, tuple] = {}
+    entering: list[tuple[int, np.ndarray, np.ndarray]] = []
+    stopped: list[tuple[int, float, tuple]] = []
+    outside, done = 0.0, None
+    for i in range(n):
+        low, high = i - cap + shift, i + shift  # places of the counts min_cds (and more) to 1 behind base i
+        for r, row in enumerate(read):
+            if row[low - 1] > row[low]:
+                row[low] = row[low - 1]
+                node[r, low] = node[r, low - 1]
+        if i in waiting:
+            k, score, link = waiting.pop(i)
+            better = score > held[k]
+            np.copyto(held[k], score, where=better)
+            np.copyto(links[k], link, where=better)
+        if seq[i - 2 : i + 1] in STOPS:
+            r = (i - 2) % 3
+            if read[r][low] > _NONE:
+                stopped.append((i, read[r][low] + frames[r, i] + odds[i, 14], (int(node[r, low]) + i + 1)))
+            best[r, low - 2 : high] = _NONE
+        motif = PAIRS.get(seq[i + 1 : i + 3])
+        if motif and i + 1 + min_intron < n:
+            frame = sources[i % 3]
+            waiting[i + 1 + min_intron] = (int(motif == "AC"), best[:, low:high].take(frame, axis=0) + sending[:, i, None], node[:, low:high].take(frame, axis=0) + (i + 1))
+        for a, score, who in entering:
+            place = slice(a - cap - 1 + shift, a - 1 + shift)
+            better = score > best[:, place]
+            np.copyto(best[:, place], score, where=better)
+            np.copyto(node[:, place], who, where=better)
+            for r, row in enumerate(read):  # what has the least count or more by now
+                for x in (low - 1, low):
+                    if row[x - 1] > row[x]:
+                        row[x] = row[x - 1]
+                        node[r, x] = node[r, x - 1]
+        entering.clear()
+        end = seq[i - 2 : i]
+        if end == "AG" or end == "AC":
+            k, rows = int(end == "AC"), takes[:, i]
+            entering.append((i, held[k].take(rows, axis=0) + arriving[:, i, None], numbers + (3 * cap * len(nodes) << 32)))
+            nodes.append((i, links[k].take(rows, axis=0)))
+        if seq[i : i + 3] == "ATG":
+            while stopped and stopped[0][0] + 2 <= i:
+                _, score, gene = stopped.pop(0)
+                if score > outside:
+                    outside, done = score, (score, gene)
+            score = np.full((3, cap), _NONE)
+            score[i % 3, -1] = outside + intercept + odds[i, 7] - frames[i % 3, i + 1]
+            # a start has no base before its own: one place further than behind an acceptor
+            entering.append((i + 1, score, np.full((3, cap), 3 * cap * len(nodes) << 32)))
+            nodes.append((i, None, outside, done))
+    for _, score, gene in stopped:
+        if score > outside:
+            outside, done = score, (score, gene)
+    out = []
+    while done is not None:
+        total, link = done
+        exons = []
+        while True:
+            block, own = divmod(link >> 32, 3 * cap)
+            made = nodes[block]
+            exons.append((made[0], link & 0xFFFFFFFF))
+            if made[1] is None:
+                break
+            link = int(made[1].flat[own])
+        out.append((float(total - made[2]), exons[::-1]))
+        done = made[3]
+    return out[::-1]
+
+
+def label_odds(p: list[list[float]], calibration: Calibration) -> np.ndarray:
+    """Scores of each base's states against the background; probabilities must be 15 finite values of 0 or more a base."""
+    if not len(p):
+        return np.zeros((0, N_STATES))
     values = np.asarray(p, dtype=np.float64)
     if values.shape != (len(p), N_STATES) or not np.isfinite(values).all() or (values < 0).any():
         raise ValueError(f"probabilities must be {N_STATES} finite values of 0 or more")
     logs = np.log(np.maximum(values, calibration.epsilon))
-    return ((logs - logs[:, :1]) * calibration.scale + calibration.bias).tolist()
+    return (logs - logs[:, :1]) * calibration.scale + calibration.bias
 
 
 def decode_regions(regions: DataFrame, min_cds: int = 60, min_intron: int = 20, least_mean: float = 0.5, intercept: float = 0.0, calibration: Calibration | None = None) -> DataFrame:
@@ -138,7 +252,7 @@ def decode_regions(regions: DataFrame, min_cds: int = 60, min_intron: int = 20,
                 seq, p = r["seq"], r["p"]
                 if r["strand"] == "-":
                     seq, p = seq.translate(turn)[::-1], p[::-1]
-                for k, (score, exons) in enumerate(decode_region(seq, label_odds(p, known), min_cds, min_intron, known.gene_intercept)):
+                for k, (score, exons) in enumerate(decode_arrays(seq, label_odds(p, known), min_cds, min_intron, known.gene_intercept)):
                     if r["strand"] == "-":
                         exons = [(len(seq) - e, len(seq) - s) for s, e in exons]
                     exons = [{"s": r["start"] + s, "e": r["start"] + e} for s, e in exons]
