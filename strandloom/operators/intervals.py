@@ -1,49 +1,91 @@
-"""Interval algebra: merging, gaps and islands, bucketed range joins, overlays. Intervals are half open."""
+"""Interval algebra: merging, gaps and islands, bucketed range joins, overlays. Intervals are half open.
+
+What has to be in order is put in order inside stripes of fixed length, so that a chromosome is as many
+tasks as it has stripes. Only islands that touch a stripe's border, two a stripe at most, are then put
+together along the chromosome.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Positions of a stripe: of bases, and of bins.
+STRIPE, BINS = 1 << 22, 1 << 18
+
+
+def stripe_of(at: Column | str, stripe: int) -> Column:
+    at = F.col(at) if isinstance(at, str) else at
+    return ((at - F.pmod(at, F.lit(stripe))) / stripe).cast("long")
+
+
+def in_stripes(intervals: DataFrame, stripe: int) -> DataFrame:
+    """`intervals` (s, e, ...) cut at the borders of stripes, with the stripe of each piece as __stripe."""
+    every = F.sequence(stripe_of("s", stripe), stripe_of(F.greatest(F.col("e") - 1, F.col("s")), stripe))
+    cut = intervals.withColumn("__stripe", F.explode(every))
+    return cut.withColumn("s", F.greatest(F.col("s"), F.col("__stripe") * stripe)).withColumn("e", F.least(F.col("e"), (F.col("__stripe") + 1) * stripe))
+
 
-def merge(intervals: DataFrame, keys: list[str]) -> DataFrame:
+def _across(parts: DataFrame, keys: list[str], stripe: int, goes_on, totals: list[Column]) -> DataFrame:
+    """Pieces (keys, __stripe, s, e, ...) put together over the borders of stripes, where `goes_on(order)` says so; others stay alone."""
+    border = (F.pmod("s", F.lit(stripe)) == 0) | (F.pmod("e", F.lit(stripe)) == 0)
+    alone = parts.withColumn("__in", F.when(~border, F.col("__stripe")))
+    order = Window.partitionBy(*keys, "__in").orderBy("s", "e")
+    fresh = F.when(F.col("__in").isNull() & F.coalesce(goes_on(order), F.lit(False)), 0).otherwise(1)
+    numbered = alone.withColumn("__fresh", fresh).withColumn("__run", F.sum("__fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return numbered.groupBy(*keys, "__in", "__run").agg(F.min("s").alias("s"), F.max("e").alias("e"), *totals).drop("__in", "__run")
+
+
+def merge(intervals: DataFrame, keys: list[str], stripe: int = STRIPE) -> DataFrame:
     """(keys, s, e): overlapping and touching intervals made one."""
-    order = Window.partitionBy(*keys).orderBy("s", "e")
+    order = Window.partitionBy(*keys, "__stripe").orderBy("s", "e")
     reach = F.max("e").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    numbered = intervals.withColumn("fresh", F.when(F.col("s") <= reach, 0).otherwise(1))
+    numbered = in_stripes(intervals.select(*keys, "s", "e"), stripe).withColumn("fresh", F.when(F.col("s") <= reach, 0).otherwise(1))
     numbered = numbered.withColumn("island", F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return numbered.groupBy(*keys, "island").agg(F.min("s").alias("s"), F.max("e").alias("e")).drop("island")
+    inside = numbered.groupBy(*keys, "__stripe", "island").agg(F.min("s").alias("s"), F.max("e").alias("e")).drop("island")
+    return _across(inside, keys, stripe, lambda order: F.col("s") <= F.max("e").over(order.rowsBetween(Window.unboundedPreceding, -1)), [])
+
 
+def islands(points: DataFrame, keys: list[str], at: str = "bin", flags: Iterable[str] = (), stripe: int = BINS) -> DataFrame:
+    """(keys, first, last, flags): maximal runs of consecutive positions, which are distinct; a flag is set where any of the run's positions has it."""
+    inside = Window.partitionBy(*keys, "__stripe").orderBy(at)
+    striped = points.select(*keys, at, *flags, stripe_of(at, stripe).alias("__stripe"))
+    any_of = [F.bool_or(f).alias(f) for f in flags]
+    parts = striped.withColumn("__g", F.col(at) - F.row_number().over(inside)).groupBy(*keys, "__stripe", "__g").agg(F.min(at).alias("s"), (F.max(at) + 1).alias("e"), *any_of)
+    found = _across(parts, keys, stripe, lambda order: F.lag("e").over(order) == F.col("s"), any_of)
+    return found.select(*keys, F.col("s").alias("first"), (F.col("e") - 1).alias("last"), *flags)
 
-def runs(bins: DataFrame, keys: list[str], flag: str, at: str = "bin") -> DataFrame:
+
+def runs(bins: DataFrame, keys: list[str], flag: str, at: str = "bin", stripe: int = BINS) -> DataFrame:
     """(keys, first, last, flag): maximal runs of equal `flag` over consecutive positions."""
-    order = Window.partitionBy(*keys).orderBy(at)
-    changed = (F.lag(flag).over(order) != F.col(flag)) | (F.lag(at).over(order) != F.col(at) - 1)
-    numbered = bins.withColumn("__new", F.when(F.coalesce(changed, F.lit(True)), 1).otherwise(0))
-    numbered = numbered.withColumn("__run", F.sum("__new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return numbered.groupBy(*keys, "__run").agg(F.min(at).alias("first"), F.max(at).alias("last"), F.first(flag).alias(flag)).drop("__run")
+    return islands(bins, [*keys, flag], at, stripe=stripe).select(*keys, "first", "last", flag)
+
 
+def gaps_filled(bins: DataFrame, keys: list[str], most: int = 10, stripe: int = BINS) -> DataFrame:
+    """`bins` (keys, bin, seed, support) with `filled`: support, or a gap of at most `most` bins between two supported ones.
 
-def gaps_filled(bins: DataFrame, keys: list[str], most: int = 10) -> DataFrame:
-    """`bins` (keys, bin, seed, support) with `filled`: support, or a gap of at most `most` bins between two supported ones."""
-    order = Window.partitionBy(*keys).orderBy("bin")
+    A stripe borrows the supported bins around it that such a gap may end at.
+    """
+    near = F.when(F.col("support"), F.sequence(stripe_of(F.col("bin") - most - 1, stripe), stripe_of(F.col("bin") + most + 1, stripe))).otherwise(F.array(stripe_of("bin", stripe)))
+    striped = bins.withColumn("__stripe", F.explode(near))
+    order = Window.partitionBy(*keys, "__stripe").orderBy("bin")
     before = F.last(F.when(F.col("support"), F.col("bin")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
     behind = F.first(F.when(F.col("support"), F.col("bin")), ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))
-    return bins.withColumn("filled", F.col("support") | F.coalesce(behind - before - 1 <= most, F.lit(False)))
+    found = striped.withColumn("filled", F.col("support") | F.coalesce(behind - before - 1 <= most, F.lit(False)))
+    return found.filter(F.col("__stripe") == stripe_of("bin", stripe)).drop("__stripe")
 
 
-def regions(bins: DataFrame, keys: list[str], step: int = 50, length: Column | None = None, most_gap: int = 10) -> DataFrame:
+def regions(bins: DataFrame, keys: list[str], step: int = 50, length: Column | None = None, most_gap: int = 10, stripe: int = BINS) -> DataFrame:
     """(keys, s, e): filled runs that have a seed, in bases."""
-    filled = gaps_filled(bins, keys, most_gap)
-    order = Window.partitionBy(*keys).orderBy("bin")
-    kept = filled.filter("filled").withColumn("__new", F.when(F.coalesce(F.lag("bin").over(order) == F.col("bin") - 1, F.lit(False)), 0).otherwise(1))
-    kept = kept.withColumn("__run", F.sum("__new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    found = kept.groupBy(*keys, "__run").agg(F.min("bin").alias("a"), F.max("bin").alias("b"), F.bool_or("seed").alias("seeded")).filter("seeded")
-    stop = (F.col("b") + 1) * step
-    return found.select(*keys, (F.col("a") * step).alias("s"), (F.least(stop, length) if length is not None else stop).alias("e"))
+    filled = gaps_filled(bins, keys, most_gap, stripe).filter("filled")
+    found = islands(filled, keys, "bin", ["seed"], stripe).filter("seed")
+    stop = (F.col("last") + 1) * step
+    return found.select(*keys, (F.col("first") * step).alias("s"), (F.least(stop, length) if length is not None else stop).alias("e"))
 
 
-def extended(found: DataFrame, bins: DataFrame, keys: list[str], step: int = 50, least: int = 2_000, quiet: int = 1_000, most: int = 10_000) -> DataFrame:
+def extended(found: DataFrame, bins: DataFrame, keys: list[str], step: int = 50, least: int = 2_000, quiet: int = 1_000, most: int = 10_000, stripe: int = BINS) -> DataFrame:
     """Regions (keys, s, e) grown at both sides: at least `least` bases, on until `quiet` bases without support, `most` at most.
 
     Each side is bounded by `most`, so a region meets the bins of that reach only, by an equi-join on buckets.
@@ -52,9 +94,7 @@ def extended(found: DataFrame, bins: DataFrame, keys: list[str], step: int = 50,
     near = bins.filter("NOT support").select(*keys, F.col("bin"))
     width = reach // step
     quiet_bins = quiet // step
-    order = Window.partitionBy(*keys).orderBy("bin")
-    island = near.withColumn("__g", F.col("bin") - F.row_number().over(order))
-    spans = island.groupBy(*keys, "__g").agg(F.min("bin").alias("a"), F.max("bin").alias("b")).filter(F.col("b") - F.col("a") + 1 >= quiet_bins)
+    spans = islands(near, keys, "bin", stripe=stripe).select(*keys, F.col("first").alias("a"), F.col("last").alias("b")).filter(F.col("b") - F.col("a") + 1 >= quiet_bins)
     spans = spans.select(*keys, "a", "b").withColumn("__bucket", F.explode(F.sequence(F.expr(f"a div {width}"), F.expr(f"b div {width}"))))
     numbered = found.withColumn("__id", F.concat_ws(":", *[F.col(k).cast("string") for k in keys], "s"))
     sided = numbered.withColumn("__bucket", F.explode(F.expr(f"array_distinct(concat(sequence(greatest(s - {reach}, 0) div {step * width}, s div {step * width}), sequence(e div {step * width}, (e + {reach}) div {step * width})))")))
@@ -83,14 +123,16 @@ def overlapping(left: DataFrame, right: DataFrame, keys: list[str], bucket: int
     return a.join(b, [*keys, "__bucket"]).filter((F.col("s") < F.col("re")) & (F.col("rs") < F.col("e")) & (F.col("__bucket") == first)).drop("__bucket")
 
 
-def least_weight(intervals: DataFrame, keys: list[str], weight: str = "w") -> DataFrame:
+def least_weight(intervals: DataFrame, keys: list[str], weight: str = "w", stripe: int = STRIPE) -> DataFrame:
     """(keys, s, e, w): elementary intervals between ends, each with the least weight that covers it; neighbours of equal weight are made one."""
-    ends = intervals.select(*keys, F.explode(F.array("s", "e")).alias("x")).distinct()
-    order = Window.partitionBy(*keys).orderBy("x")
-    parts = ends.select(*keys, F.col("x").alias("s"), F.lead("x").over(order).alias("e")).filter("e IS NOT NULL")
-    over = overlapping(parts, intervals.select(*keys, F.col("s").alias("rs"), F.col("e").alias("re"), F.col(weight).alias("w")), keys)
-    found = over.groupBy(*keys, "s", "e").agg(F.min("w").alias("w"))
-    sides = Window.partitionBy(*keys).orderBy("s")
-    fresh = F.when((F.lag("e").over(sides) == F.col("s")) & (F.lag("w").over(sides) == F.col("w")), 0).otherwise(1)
-    numbered = found.withColumn("fresh", fresh).withColumn("island", F.sum("fresh").over(sides.rowsBetween(Window.unboundedPreceding, 0)))
-    return numbered.groupBy(*keys, "island").agg(F.min("s").alias("s"), F.max("e").alias("e"), F.first("w").alias("w")).drop("island")
+    pieces = in_stripes(intervals.select(*keys, "s", "e", F.col(weight).alias("w")), stripe)
+    ends = pieces.select(*keys, "__stripe", F.explode(F.array("s", "e")).alias("x")).distinct()
+    order = Window.partitionBy(*keys, "__stripe").orderBy("x")
+    parts = ends.select(*keys, "__stripe", F.col("x").alias("s"), F.lead("x").over(order).alias("e")).filter("e IS NOT NULL")
+    over = overlapping(parts, pieces.select(*keys, "__stripe", F.col("s").alias("rs"), F.col("e").alias("re"), "w"), [*keys, "__stripe"])
+    found = over.groupBy(*keys, "__stripe", "s", "e").agg(F.min("w").alias("w"))
+    follows = lambda order: (F.lag("e").over(order) == F.col("s")) & (F.lag("w").over(order) == F.col("w"))
+    sides = Window.partitionBy(*keys, "__stripe").orderBy("s")
+    numbered = found.withColumn("fresh", F.when(follows(sides), 0).otherwise(1)).withColumn("island", F.sum("fresh").over(sides.rowsBetween(Window.unboundedPreceding, 0)))
+    inside = numbered.groupBy(*keys, "__stripe", "island").agg(F.min("s").alias("s"), F.max("e").alias("e"), F.first("w").alias("w")).drop("island")
+    return _across(inside, keys, stripe, follows, [F.first("w").alias("w")])
