@@ -17,7 +17,7 @@ the threshold inside a shard, so sums are exact.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +34,9 @@ from strandloom.plans.session import table, written
 DEPTH, LEAST, TOP = 4, 30, 2000
 SHARE = 80
 SCALE = 2_000_000
-WORDS = 1 << 22
+#: Words of a shard, and places of an index that are extended at a time.
+WORDS, PLACES = 1 << 22, 1 << 18
+Passes = Callable[[np.ndarray], np.ndarray]
 #: Ends of pieces become line feeds, tabs spaces, A-Z lower case.
 _PLAIN = bytes.maketrans(b".,;:!?\x0a\x0b\x0c\x0d\x09" + bytes(range(65, 91)), b"\x0a" * 10 + b"\x20" + bytes(range(97, 123)))
 _COUNTS = "hash long, n long, shard long"
@@ -52,21 +54,30 @@ def packed(a: np.ndarray) -> bytes:
 
 
 def unpacked(data: bytes) -> np.ndarray:
-    return np.frombuffer(pa.decompress(data[8:], decompressed_size=int.from_bytes(data[:8], "little"), codec="zstd"), "<i4").astype(np.int64)
+    return np.frombuffer(pa.decompress(data[8:], decompressed_size=int.from_bytes(data[:8], "little"), codec="zstd"), "<i4")
+
+
+def in_order(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The keys sorted, and where they stood; equal ones in their order. Keys and places must fit in 63 bits together."""
+    bits = max(len(key) - 1, 1).bit_length()
+    both = (key << bits) | np.arange(len(key))
+    both.sort()
+    return both >> bits, both & ((1 << bits) - 1)
 
 
 def transform(a: np.ndarray, depth: int = DEPTH) -> np.ndarray:
     """The word before each suffix, suffixes sorted by their first `depth` words. The numbers are a ring that begins with 0."""
     rank, span = a, 1
+    order = np.argsort(rank)
     while span < depth:
         step = min(span, depth - span)
         pair = rank * (int(rank.max()) + 1) + np.roll(rank, -step)
+        order = np.argsort(pair)
         span += step
         if span < depth:
-            rank = np.unique(pair, return_inverse=True)[1].astype(np.int64)
-        else:
-            rank = pair
-    order = np.argsort(rank, kind="stable")
+            pair = pair[order]
+            rank = np.empty(len(a), np.int64)
+            rank[order] = np.concatenate(([0], np.cumsum(pair[1:] != pair[:-1])))
     return a[order - 1]
 
 
@@ -84,8 +95,8 @@ class Shard:
     @staticmethod
     def last_to_first(bwt: np.ndarray) -> np.ndarray:
         """Where the suffix stands that begins with the word before each suffix."""
-        out = np.empty(len(bwt), np.int64)
-        out[np.argsort(bwt, kind="stable")] = np.arange(len(bwt))
+        out = np.empty(len(bwt), np.int32)
+        out[in_order(bwt.astype(np.int64))[1]] = np.arange(len(bwt))
         return out
 
     def hash_of(self, grams: np.ndarray) -> np.ndarray:
@@ -95,45 +106,59 @@ class Shard:
             total = mixed(total * np.uint64(31) + self.hashes[grams[:, j]])
         return total
 
-    def single(self, passes) -> dict[str, np.ndarray]:
+    def single(self, passes: Passes) -> dict[str, np.ndarray]:
         """The words of the shard that `passes` lets through, as phrases: grams, size, and begin in both transforms."""
         grams = np.flatnonzero(self.sizes[1:])[:, None] + 1
-        grams = grams[passes(self.hash_of(grams))]
-        begin = self.first[grams[:, 0]]
-        return {"grams": grams, "size": self.sizes[grams[:, 0]], "begin": np.stack([begin, begin])}
-
-    def extended(self, now: dict[str, np.ndarray], side: int, passes) -> dict[str, np.ndarray]:
-        """All phrases of `now` with one more word in front (side 0) or behind (side 1), as far as their parts pass."""
-        bwt, back = self.sides[side], self.back[side]
-        size, begin = now["size"], now["begin"][side]
+        grams = grams[passes(self.hash_of(grams))].astype(np.int32)
+        begin = self.first[grams[:, 0]].astype(np.int32)
+        return {"grams": grams, "size": self.sizes[grams[:, 0]].astype(np.int32), "begin": np.stack([begin, begin])}
+
+    def extended(self, now: dict[str, np.ndarray], side: int, passes: Passes) -> Iterator[dict[str, np.ndarray]]:
+        """All phrases of `now` with one more word in front (side 0) or behind (side 1), as far as their parts pass; some phrases' extensions at a time."""
+        upto = np.cumsum(now["size"], dtype=np.int64)
+        begin = 0
+        while begin < len(upto):
+            done = int(upto[begin - 1]) if begin else 0
+            stop = max(int(np.searchsorted(upto, done + PLACES, side="right")), begin + 1)
+            yield self._extended({"grams": now["grams"][begin:stop], "size": now["size"][begin:stop].astype(np.int64), "begin": now["begin"][:, begin:stop]}, side, passes)
+            begin = stop
+
+    def _extended(self, now: dict[str, np.ndarray], side: int, passes: Passes) -> dict[str, np.ndarray]:
+        size = now["size"]
         parent = np.repeat(np.arange(len(size)), size)
         start = np.cumsum(size) - size
-        at = np.arange(len(parent)) - start[parent] + begin[parent]
-        key = parent * len(self.words) + bwt[at]
-        order = np.argsort(key, kind="stable")  # by phrase and word, then by place
-        key = key[order]
-        group = np.concatenate(([0], np.flatnonzero(key[1:] != key[:-1]) + 1)) if len(key) else np.zeros(0, np.int64)
+        at = np.arange(len(parent)) - start[parent] + now["begin"][side][parent]
+        key, order = in_order(parent * len(self.words) + self.sides[side][at])  # by phrase and word, then by place
+        group = np.concatenate(([0], np.flatnonzero(key[1:] != key[:-1]) + 1))
         n = np.diff(np.append(group, len(key)))
-        of, word = np.divmod(key[group], len(self.words)) if len(key) else (group, group)
-        whole = np.concatenate([word[:, None], now["grams"][of]] if side == 0 else [now["grams"][of], word[:, None]], axis=1)
+        of, word = np.divmod(key[group], len(self.words))
+        whole = np.concatenate([word[:, None], now["grams"][of]] if side == 0 else [now["grams"][of], word[:, None]], axis=1).astype(np.int32)
         keep = word > 0
-        if len(keep):
-            part = whole[:, :-1] if side == 0 else whole[:, 1:]
-            keep[keep] = passes(self.hash_of(part[keep]))
-        here = back[at[order[group[keep]]]]
+        part = whole[:, :-1] if side == 0 else whole[:, 1:]
+        keep[keep] = passes(self.hash_of(part[keep]))
+        here = self.back[side][at[order[group[keep]]]]
         there = now["begin"][1 - side][of[keep]] + (group[keep] - start[of[keep]])  # smaller words stand before
-        return {"grams": whole[keep], "size": n[keep], "begin": np.stack([here, there] if side == 0 else [there, here])}
+        both = [here, there] if side == 0 else [there, here]
+        return {"grams": whole[keep], "size": n[keep].astype(np.int32), "begin": np.stack(both).astype(np.int32)}
 
-    def level(self, length: int, filters: list[np.ndarray]) -> dict[str, np.ndarray]:
-        """The phrases of `length` words whose shorter parts the filters (of 1, 2, ... words) let through."""
+    def level(self, length: int, filters: list[np.ndarray]) -> Iterator[dict[str, np.ndarray]]:
+        """The phrases of `length` words whose shorter parts the filters (of 1, 2, ... words) let through, some at a time."""
         passes = [lambda h, bits=bits: in_slots(bits, slot_of(h)) for bits in filters]
         now = self.single(passes[0] if passes else lambda h: np.ones(len(h), bool))
+        if length == 1:
+            yield now
         for k in range(1, length):
-            now = self.extended(now, (k + 1) % 2, passes[k - 1])
-            if k < length - 1:
-                keep = passes[k](self.hash_of(now["grams"]))
-                now = {"grams": now["grams"][keep], "size": now["size"][keep], "begin": now["begin"][:, keep]}
-        return now
+            found = self.extended(now, (k + 1) % 2, passes[k - 1])
+            if k == length - 1:
+                yield from found
+                return
+            parts = []
+            for x in found:
+                keep = passes[k](self.hash_of(x["grams"]))
+                parts.append({"grams": x["grams"][keep], "size": x["size"][keep], "begin": x["begin"][:, keep]})
+            if not parts:
+                return
+            now = {c: np.concatenate([x[c] for x in parts], axis=-1 if c == "begin" else 0) for c in now}
 
 
 def salt_of(lang: str) -> int:
@@ -189,11 +214,9 @@ def level_counts(shards: DataFrame, length: int, filters: list[np.ndarray]) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, _, shard, _ in shards_in(batches):
-            found = shard.level(length, shared.value)
-            hashes = shard.hash_of(found["grams"]).view(np.int64)
-            for at in range(0, len(hashes), 100_000):
-                h = hashes[at : at + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(found["size"][at : at + 100_000].astype(np.int64)), pa.repeat(pa.scalar(number, pa.int64()), len(h))], names=["hash", "n", "shard"])
+            for found in shard.level(length, shared.value):
+                h = shard.hash_of(found["grams"]).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(found["size"].astype(np.int64)), pa.repeat(pa.scalar(number, pa.int64()), len(h))], names=["hash", "n", "shard"])
 
     return shards.select("shard", "lang", "words", "forward", "backward").mapInArrow(run, _COUNTS)
 
@@ -212,17 +235,15 @@ def named(shards: DataFrame, wanted: DataFrame, filters: list[np.ndarray], depth
         for _, lang, shard, row in shards_in(batches):
             ours = row.column("hashes").flatten().to_numpy()
             for length in range(2, depth + 1):
-                grams = shard.level(length, shared.value[: length - 1])["grams"]
-                hashes = shard.hash_of(grams).view(np.int64)
-                keep = np.isin(hashes, ours)
-                grams, hashes = grams[keep], hashes[keep]
-                parts = [(shard.hash_of(grams[:, :k]).view(np.int64).tolist(), shard.hash_of(grams[:, k:]).view(np.int64).tolist()) for k in range(1, length)]
-                for at in range(0, len(hashes), 20_000):
-                    rows = range(at, min(at + 20_000, len(hashes)))
-                    said = [b" ".join(shard.words[w] for w in g).decode() for g in grams[rows.start : rows.stop].tolist()]
-                    cuts = [[{"k": k + 1, "first": a[r], "rest": b[r]} for k, (a, b) in enumerate(parts)] for r in rows]
-                    n = len(rows)
-                    yield pa.RecordBatch.from_arrays([pa.array(hashes[rows.start : rows.stop]), pa.repeat(lang, n), pa.array(said), pa.repeat(pa.scalar(length, pa.int32()), n), pa.array(cuts, cuts_kind)], names=["hash", "lang", "phrase", "length", "cuts"])
+                for found in shard.level(length, shared.value[: length - 1]):
+                    hashes = shard.hash_of(found["grams"]).view(np.int64)
+                    keep = np.isin(hashes, ours)
+                    grams, hashes = found["grams"][keep], hashes[keep]
+                    n = len(hashes)
+                    said = [b" ".join(shard.words[w] for w in g).decode() for g in grams.tolist()]
+                    parts = [(shard.hash_of(grams[:, :k]).view(np.int64).tolist(), shard.hash_of(grams[:, k:]).view(np.int64).tolist()) for k in range(1, length)]
+                    cuts = [[{"k": k + 1, "first": a[r], "rest": b[r]} for k, (a, b) in enumerate(parts)] for r in range(n)]
+                    yield pa.RecordBatch.from_arrays([pa.array(hashes), pa.repeat(lang, n), pa.array(said, pa.string()), pa.repeat(pa.scalar(length, pa.int32()), n), pa.array(cuts, cuts_kind)], names=["hash", "lang", "phrase", "length", "cuts"])
 
     lists = wanted.groupBy("shard").agg(F.collect_list("hash").alias("hashes"))
     joined = shards.select("shard", "lang", "words", "forward", "backward").join(lists, "shard")
