@@ -40,7 +40,7 @@ from strandloom.plans.session import table, written
 
 WINDOW, MINIMISER = 50, 10
 #: Different strings of a bucket that a task sorts in memory; larger buckets are split by their windows.
-SPLIT = 5000
+SPLIT = 500
 #: Words that a task sorts at a time, besides a whole bucket's.
 SORTED = 1 << 19
 LAST = np.iinfo(np.int64).max
