@@ -6,32 +6,51 @@ import json
 from collections.abc import Mapping
 from dataclasses import dataclass, fields
 from pathlib import Path
-from typing import Any, get_type_hints
+from typing import Any, get_origin, get_type_hints
+
+from strandloom.operators.gene_quality import Rules
 
 
 def strict(kind: type, values: Mapping[str, Any]) -> Any:
-    """An instance of the dataclass `kind`; unknown names and values of another kind are errors. A whole number may stand for a float."""
+    """An instance of the dataclass `kind`; unknown names and values of another kind are errors. A whole number may stand for a float, a list of texts for a tuple."""
     known = {f.name for f in fields(kind)}
     unknown = sorted(set(values) - known)
     if unknown:
         raise ValueError(f"unknown settings {unknown}; known are {sorted(known)}")
     hints = get_type_hints(kind)
     for name, value in values.items():
-        fits = isinstance(value, (int, float)) and not isinstance(value, bool) if hints[name] is float else type(value) is hints[name]
+        if hints[name] is float:
+            fits = isinstance(value, (int, float)) and not isinstance(value, bool)
+        elif get_origin(hints[name]) is tuple:
+            fits = isinstance(value, (list, tuple)) and all(isinstance(x, str) for x in value)
+        else:
+            fits = type(value) is hints[name]
         if not fits:
-            raise ValueError(f"{name} must be {hints[name].__name__}, not {value!r}")
-    return kind(**values)
+            raise ValueError(f"{name} must be {getattr(hints[name], '__name__', hints[name])}, not {value!r}")
+    return kind(**{k: tuple(v) if isinstance(v, list) else v for k, v in values.items()})
 
 
 @dataclass(frozen=True)
 class Preparation:
-    """Settings of facade.prepare."""
+    """Settings of facade.prepare: windows, and what the quality of genes goes by."""
 
     window: int = 40_960
     flank: int = 4_096
     overlap: int = 8_192
     most_ambiguous: int = 327
+    biotype_key: str = "gene_biotype"
+    biotypes: tuple[str, ...] = ("protein_coding", "protein-coding")
     policy: str = "longest_cds"
+    least_cds: int = 60
+    hard_intron: int = 4
+    soft_intron: int = 20
+    intron_source: str = "exon"
+    low_quality: str = "half"
+    allow_partial: bool = False
+    allow_exceptions: bool = False
+
+    def rules(self) -> Rules:
+        return Rules(**{f.name: getattr(self, f.name) for f in fields(Rules)})
 
     def __post_init__(self) -> None:
         if self.flank < 0 or self.window <= 2 * self.flank:
@@ -40,8 +59,7 @@ class Preparation:
             raise ValueError("overlap must be 0 or more and shorter than the window")
         if self.most_ambiguous < 0:
             raise ValueError("most_ambiguous must be 0 or more")
-        if self.policy not in ("longest_cds", "first", "phytozome_longest", "fail"):
-            raise ValueError(f"no policy {self.policy!r}")
+        self.rules()  # refuses what they don't know
 
 
 @dataclass(frozen=True)

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
+from dataclasses import asdict
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandloom.functions import track as tk
-from strandloom.operators import candidates, decode, genes, intervals, orfs, tiling, training
-from strandloom.operators import quality as rules
+from strandloom.operators import candidates, decode, intervals, orfs, tiling, training
+from strandloom.operators import gene_quality as gq
 from strandloom.plans.session import written
-from strandloom.sources import files
+from strandloom.sources import files, reports
 
 Scorer = Callable[[list[str]], list[list[list[float]]]]
 
@@ -56,28 +58,37 @@ def annotate(track: DataFrame, records: DataFrame, min_cds: int = 60, min_intron
     return orfs.gff3_lines(orfs.ranked(sided))
 
 
-def prepare(records: DataFrame, features: DataFrame, window: int = 40_960, flank: int = 4_096, overlap: int = 8_192, most_ambiguous: int = 327, policy: str = "longest_cds") -> dict[str, DataFrame]:
-    """selected, quality and windows of records (chrom_id, seq) and GFF features: selection among protein-coding genes, all quality rules, conflicts, labelled windows."""
+def prepare(records: DataFrame, features: DataFrame, window: int = 40_960, flank: int = 4_096, overlap: int = 8_192, most_ambiguous: int = 327, by: gq.Rules | None = None) -> dict[str, DataFrame]:
+    """From records (chrom_id, seq) and GFF features to windows with labels: hierarchy, choice of transcripts, all quality rules, conflicts, labelled windows.
+
+    quality is what the rules say of the chosen transcripts and genes what becomes of every gene;
+    labelling is quality with the genes masked whose labels would collide; windows are made from it.
+    """
     parts = files.hierarchy(files.identified(features))
     parts = {name: written(df, name) for name, df in parts.items()}
-    coding = parts["children"].filter("type = 'cds'").drop("attributes").join(parts["transcripts"].select("tid", "gid", "seqid", "strand", F.expr("cast(trim(coalesce(attributes['longest'], '')) = '1' as int)").alias("flagged")), "tid")
-    n_cds = coding.groupBy("gid").agg(F.count("*").alias("n_cds"))
-    wanted = genes.protein_coding(parts["genes"].join(n_cds, "gid", "left").fillna(0, ["n_cds"])).filter("coding").select("gid")
-    blocks = written(coding.join(wanted, "gid", "left_semi").select("gid", "tid", "seqid", "strand", "s", "e", F.col("phase").alias("raw"), "flagged"), "blocks")
-    selected = genes.representative(genes.transcripts(blocks), policy)
-    own = blocks.join(selected.select("tid"), "tid", "left_semi")
-    chosen = lambda df: df.join(selected.select("tid"), "tid", "left_semi")
-    quality = rules.transcript_quality(parts["genes"], chosen(parts["transcripts"]), chosen(parts["children"]), records)
-    several = selected.select("tid", "several")
-    if policy == "fail":
-        quality = quality.join(several, "tid").withColumn("zero_reasons", F.when(F.col("several"), F.array_append("zero_reasons", F.lit("multiple_transcripts"))).otherwise(F.col("zero_reasons")))
-        quality = quality.withColumn("mask", F.when(F.col("several"), 0.0).otherwise(F.col("mask"))).drop("several")
-    clash = genes.same_strand_conflicts(genes.transcripts(own)).select(F.explode(F.array("gid", "g2")).alias("gid")).distinct().withColumn("clash", F.lit(True))
-    quality = quality.join(clash, "gid", "left").withColumn("mask", F.when(F.col("clash"), 0.0).otherwise(F.col("mask")))
-    quality = quality.withColumn("zero_reasons", F.when(F.col("clash"), F.array_union("zero_reasons", F.array(F.lit("same_strand_label_overlap")))).otherwise(F.col("zero_reasons"))).drop("clash")
-    quality = written(quality, "quality")
-    spans = genes.transcripts(own).join(quality.select("tid", "mask"), "tid")
-    masks = spans.filter("mask < 1").select(F.col("seqid").alias("chrom_id"), "strand", "s", "e", F.col("mask").alias("weight"))
-    painted = own.join(quality.filter("mask > 0").select("tid"), "tid", "left_semi").withColumnRenamed("seqid", "chrom_id")
+    quality, every = gq.gene_quality(parts["genes"], parts["transcripts"], parts["children"], records, by)
+    labelling = written(gq.label_safe(quality, parts["children"]), "labelling")
+    cds = parts["children"].filter("type = 'cds'").select("tid", "s", "e", F.col("phase").alias("raw"))
+    # genes without a transcript are masked where they stand, others where their transcript does
+    masks = labelling.filter("mask < 1").select(F.col("seqid").alias("chrom_id"), "strand", "s", "e", F.col("mask").alias("weight"))
+    painted = cds.join(labelling.filter("mask > 0").select("tid", "gid", F.col("seqid").alias("chrom_id"), "strand"), "tid")
     tiles = tiling.training_windows(records, window, flank, overlap, most_ambiguous).join(records.select("chrom_id", F.length("seq").cast("long").alias("chrom_length")), "chrom_id")
-    return {"selected": selected, "quality": quality, "windows": training.labelled_windows(tiles, painted, masks, flank)}
+    return {"quality": quality, "genes": every, "labelling": labelling, "windows": training.labelled_windows(tiles, painted, masks, flank)}
+
+
+def write_prepared(prepared: dict[str, DataFrame], records: DataFrame, path: str, settings: object, overwrite: bool = False) -> None:
+    """What prepare gave, below `path`: the dataset, tables of quality and selection, masked genes, a summary, the settings as they were resolved, and a manifest of counts.
+
+    The manifest comes last, so a folder without it is incomplete.
+    """
+    spark = records.sparkSession
+    files.write_dataset(prepared["windows"], f"{path}/dataset", overwrite=overwrite)
+    quality, every = prepared["quality"], prepared["genes"]
+    reports.write_tsv(reports.judged_table(quality), f"{path}/qc/transcripts")
+    reports.write_tsv(reports.gene_table(every), f"{path}/qc/selected")
+    reports.write_tsv(reports.masked_genes(every), f"{path}/qc/masked")
+    reports.write_json(reports.summary(every.filter("judged"), quality), f"{path}/qc/summary")
+    reports.write_json(spark.createDataFrame([(json.dumps(asdict(settings), sort_keys=True),)], "settings string"), f"{path}/settings")
+    counts = [records.agg(F.count("*").alias("fasta_records")), every.agg(F.count("*").alias("parsed_genes")), spark.read.parquet(f"{path}/dataset").agg(F.count("*").alias("rows"))]
+    found = {k: v for c in counts for k, v in c.first().asDict().items()}
+    reports.write_json(spark.createDataFrame([(1, *found.values())], f"format_version int, {', '.join(f'{k} long' for k in found)}"), f"{path}/manifest")

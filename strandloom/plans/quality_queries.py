@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandloom.functions import bases
-from strandloom.operators import quality
+from strandloom.operators import gene_quality, quality
 from strandloom.plans import views
 from strandloom.plans.catalog import query
 from strandloom.plans.session import table
@@ -86,3 +86,67 @@ def qc_all_rules(spark, sf_dir):
     out = quality.transcript_quality(*annotation(spark, sf_dir), views.genome(spark, sf_dir), source="auto")
     listed = lambda c: F.array_join(F.array_sort(c), ";").alias(c)
     return out.select("gid", "tid", "cds_length", "cds_blocks", listed("zero_reasons"), listed("half_reasons"), F.array_join("notes", ";").alias("notes"), F.col("mask").cast("double").alias("mask"))
+
+
+#: Every third gene says that it is protein coding; every 17th has lost its transcripts, a third of the rest's transcripts are marked as longest.
+_GENES = f"""{_RULES}, span AS (SELECT l.tid, min(s) - 3 AS ts, max(e) + 3 AS te, min(l.gid) AS gid FROM line l GROUP BY l.tid),
+size AS (SELECT tid, sum(e - s) AS total, count(*) AS blocks FROM cds GROUP BY tid),
+cand AS (SELECT span.*, total, blocks, length(span.tid) % 3 = 0 OR span.tid LIKE '%A' AS marked, count(total) OVER (PARTITION BY gid) AS with_cds FROM span LEFT JOIN size USING (tid) WHERE gid % 17 <> 0),
+own AS (SELECT *, count(*) OVER (PARTITION BY gid) AS n, count(*) FILTER (marked) OVER (PARTITION BY gid) AS n_marked FROM cand WHERE with_cds = 0 OR total IS NOT NULL),
+coding AS (SELECT g.gid FROM g WHERE gid % 3 = 0 OR EXISTS (SELECT 1 FROM cand WHERE cand.gid = g.gid AND with_cds > 0))"""
+
+
+def _gene_sql(order: str, notes: str, evidence: str, failed: str = "false") -> str:
+    return f"""{_GENES}, best AS (SELECT * FROM own QUALIFY row_number() OVER (PARTITION BY gid ORDER BY {order}) = 1),
+res AS (SELECT b.gid, b.tid, ts, te, n.cds_length, n.cds_blocks, CASE WHEN b.n > 1 THEN {evidence} ELSE 'single' END AS evidence, {failed} AS failed,
+    list_concat(zero, CASE WHEN {failed} THEN ['multiple_transcripts'] ELSE [] END) AS zr, half, concat_ws(';', CASE WHEN b.n > 1 THEN 'multiple_transcripts=' || b.n END, {notes}, CASE WHEN mismatch THEN 'phase_mismatch_repaired' END, CASE WHEN used <> 'none' THEN 'intron_source=' || used END) AS notes
+    FROM best b JOIN named n USING (tid))
+SELECT g.gid, r.tid, CASE WHEN c.gid IS NULL THEN NULL WHEN r.gid IS NULL THEN 'gene_biotype' ELSE evidence END AS evidence, CASE WHEN c.gid IS NULL THEN NULL WHEN r.gid IS NULL THEN false ELSE NOT failed END AS selected,
+    CASE WHEN c.gid IS NULL THEN 1.0 WHEN r.gid IS NULL OR len(zr) > 0 THEN 0.0 WHEN len(half) > 0 THEN 0.5 ELSE 1.0 END::DOUBLE AS mask, coalesce(ts, gs) AS s, coalesce(te, gs + 400) AS e,
+    CASE WHEN c.gid IS NULL THEN NULL WHEN r.gid IS NULL THEN 'no_transcript' ELSE array_to_string(list_sort(zr), ';') END AS zero_reasons, CASE WHEN c.gid IS NULL THEN NULL ELSE coalesce(array_to_string(list_sort(half), ';'), '') END AS half_reasons, CASE WHEN c.gid IS NULL THEN NULL ELSE coalesce(notes, '') END AS notes
+FROM g LEFT JOIN coding c USING (gid) LEFT JOIN (SELECT res.* FROM res JOIN coding USING (gid)) r ON r.gid = g.gid"""
+
+
+def _gene_rows(spark, sf_dir, policy: str):
+    genes, transcripts, children = annotation(spark, sf_dir)
+    gid = F.col("gid")
+    said = F.when(gid % 3 == 0, F.create_map(F.lit("gene_biotype"), F.lit("Protein_Coding"))).otherwise(F.expr("cast(map() as map<string,string>)"))
+    genes = genes.select("gid", "seqid", "strand", F.col("gs").cast("long").alias("s"), (F.col("gs") + 400).cast("long").alias("e"), F.map_concat("attributes", said).alias("attributes"))
+    # the span reaches over all lines of a transcript, coding or not
+    order = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linestatus", "l_shipdate"]
+    lines = table(spark, sf_dir, "lineitem").withColumn("rn", F.row_number().over(Window.partitionBy("l_orderkey", "l_returnflag").orderBy(*order)).cast("long")).join(genes.select(gid.alias("l_orderkey"), F.col("s").alias("gs")), "l_orderkey")
+    begin = F.col("gs") + 45 * F.col("rn")
+    spans = lines.groupBy(F.concat_ws(".", F.col("l_orderkey").cast("string"), "l_returnflag").alias("tid")).agg((F.min(begin) - 3).alias("s"), (F.max(begin + F.col("l_quantity").cast("long")) + 3).alias("e"))
+    longest = F.when((F.length("tid") % 3 == 0) | F.col("tid").endswith("A"), F.create_map(F.lit("longest"), F.lit(" 1 "))).otherwise(F.expr("cast(map() as map<string,string>)"))
+    transcripts = transcripts.filter(gid % 17 != 0).join(spans, "tid").withColumn("attributes", F.map_concat("attributes", longest)).withColumn("parse_index", -F.ascii(F.substring("tid", -1, 1)))
+    found, every = gene_quality.gene_quality(genes, transcripts, children, views.genome(spark, sf_dir), gene_quality.Rules(policy=policy, intron_source="auto"))
+    listed = lambda c: F.array_join(F.array_sort(c), ";").alias(c)
+    own = found.select("gid", "evidence", "selected", listed("zero_reasons"), listed("half_reasons"), F.array_join("notes", ";").alias("notes"))
+    return every.select("gid", "tid", F.col("mask").cast("double").alias("mask"), "s", "e").join(own, "gid", "left")
+
+
+_LONGEST = "total DESC NULLS LAST, blocks DESC NULLS LAST, ts, tid DESC"
+
+
+@query("qc_genes", _gene_sql(_LONGEST, "CASE WHEN b.n > 1 THEN 'selected_longest_cds' END", "'longest_cds'"))
+def qc_genes(spark, sf_dir):
+    """Genes with and without biotype, coding blocks and transcripts: their transcript and all that the rules say of it."""
+    return _gene_rows(spark, sf_dir, "longest_cds")
+
+
+@query("qc_genes_marked_longest", _gene_sql(f"marked DESC, {_LONGEST}", "CASE WHEN b.n > 1 AND n_marked = 1 THEN 'selected_phytozome_longest' WHEN b.n > 1 AND n_marked > 1 THEN 'multiple_phytozome_longest=' || n_marked WHEN b.n > 1 THEN 'phytozome_longest_not_marked_fallback_longest_cds' END, CASE WHEN b.n > 1 AND n_marked <> 1 THEN 'selected_longest_cds' END", "CASE WHEN n_marked = 1 THEN 'phytozome_longest' ELSE 'longest_cds' END"))
+def qc_genes_marked_longest(spark, sf_dir):
+    """The same, where marked transcripts come first."""
+    return _gene_rows(spark, sf_dir, "phytozome_longest")
+
+
+@query("qc_genes_first_span", _gene_sql("ts, te, tid", "NULL", "'first'"))
+def qc_genes_first_span(spark, sf_dir):
+    """The same, where the transcript that begins first stands for its gene, its untranslated part included."""
+    return _gene_rows(spark, sf_dir, "first")
+
+
+@query("qc_genes_several_fail", _gene_sql("-ascii(right(tid, 1)), tid", "CASE WHEN b.n > 1 AND with_cds > 1 THEN 'multiple_transcripts' END", "'fail'", "with_cds > 1"))
+def qc_genes_several_fail(spark, sf_dir):
+    """The same, where a gene with several coding transcripts is left out; the first line's is judged."""
+    return _gene_rows(spark, sf_dir, "fail")

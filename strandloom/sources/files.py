@@ -78,7 +78,7 @@ def identified(found: DataFrame) -> DataFrame:
 
 
 def hierarchy(found: DataFrame) -> dict[str, DataFrame]:
-    """genes (gid, seqid, strand, s, e, attributes, parse_index), transcripts (tid, gid, seqid, strand, s, e, attributes) and children (tid, type, s, e, phase, attributes) of identified features.
+    """genes (gid, seqid, strand, s, e, attributes, parse_index), transcripts (tid, gid, seqid, strand, s, e, attributes, parse_index) and children (tid, type, s, e, phase, attributes) of identified features.
 
     A transcript belongs to its first parent, else to its gene_id, else to a gene named after it. A
     child goes to each of its parents: to a transcript, to the implicit transcript of a gene, which
@@ -108,7 +108,7 @@ def hierarchy(found: DataFrame) -> dict[str, DataFrame]:
     after = F.lit(1 << 62)  # made genes come behind those of the file
     every = genes.unionByName(unknown.select("gid", "x.seqid", "x.strand", "x.s", "x.e", none.alias("attributes"), (after + F.col("x.line_no")).alias("parse_index")))
     reach = child.groupBy("tid").agg(F.min("s").alias("cs"), F.max("e").alias("ce"))
-    spans = begun.join(reach, "tid", "left").select("tid", "gid", "seqid", "strand", F.least("s", "cs").alias("s"), F.greatest("e", "ce").alias("e"), "attributes")
+    spans = begun.join(reach, "tid", "left").select("tid", "gid", "seqid", "strand", F.least("s", "cs").alias("s"), F.greatest("e", "ce").alias("e"), "attributes", F.col("line_no").alias("parse_index"))
     return {"genes": every, "transcripts": spans, "children": child.select("tid", "type", "s", "e", "phase", "attributes")}
 
 

@@ -30,6 +30,25 @@ def selected_table(genes: DataFrame, quality: DataFrame) -> DataFrame:
     return rows.select(F.col("gid").alias("gene_id"), "selected_transcript_id", "mask", "seqid", F.col("s").alias("start"), F.col("e").alias("end"), "strand")
 
 
+def judged_table(quality: DataFrame) -> DataFrame:
+    """The table of judged transcripts, from what gene_quality says of them."""
+    rows = quality.select("*", F.col("s").alias("start"), F.col("e").alias("end")).withColumnsRenamed({"gid": "gene_id", "tid": "transcript_id", "evidence": "coding_evidence"})
+    for name in ("zero_reasons", "half_reasons", "notes"):
+        rows = rows.withColumn(name, F.array_join(name, ","))
+    return rows.select(*QUALITY)
+
+
+def gene_table(every: DataFrame) -> DataFrame:
+    """The table of all genes with their transcripts, from what gene_quality says becomes of them."""
+    return every.select(F.col("gid").alias("gene_id"), F.coalesce("tid", F.lit("")).alias("selected_transcript_id"), "mask", "seqid", F.col("s").alias("start"), F.col("e").alias("end"), "strand")
+
+
+def masked_genes(every: DataFrame) -> DataFrame:
+    """(seqid, start, end, gene_id, score, strand) of judged genes that training leaves out (score 0) or trusts by half (500)."""
+    some = every.filter("judged AND mask IN (0.0, 0.5)")
+    return some.select("seqid", F.col("s").alias("start"), F.col("e").alias("end"), F.col("gid").alias("gene_id"), F.when(F.col("mask") == 0, 0).otherwise(500).alias("score"), "strand")
+
+
 def summary(genes: DataFrame, quality: DataFrame) -> DataFrame:
     """One row: genes with a judged transcript, judged transcripts, and genes by mask (that of their worst transcript)."""
     masks = quality.groupBy("gid").agg(F.min("mask").alias("mask"), F.count("*").alias("n")).join(genes.select("gid").distinct(), "gid")

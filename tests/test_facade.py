@@ -4,7 +4,7 @@ import random
 
 
 from strandloom.operators import training
-from strandloom.plans import facade
+from strandloom.plans import config, facade
 from strandloom.sources import files
 
 
@@ -110,7 +110,7 @@ def test_preparation(spark):
     text = [f"c1\ts\tgene\t301\t{300 + len(GENE)}\t.\t+\t.\tID=g", f"c1\ts\tmRNA\t301\t{300 + len(GENE)}\t.\t+\t.\tID=t;Parent=g", f"c1\ts\tCDS\t301\t{300 + len(GENE)}\t.\t+\t0\tParent=t"]
     lines = spark.createDataFrame([(i, t) for i, t in enumerate(text)], "line_no long, value string")
     got = facade.prepare(records, files.features(lines), window=400, flank=50, overlap=100, most_ambiguous=50)
-    assert got["quality"].first().mask == 1.0 and got["selected"].first().tid == "t"
+    assert got["quality"].first().mask == 1.0 and got["quality"].first().tid == "t" and got["genes"].first().tid == "t"
     other = spark.createDataFrame([("c1", seq.replace("ATG", "ATC", 1))], "chrom_id string, seq string")
     lost = facade.prepare(other, files.features(lines), window=400, flank=50, overlap=100, most_ambiguous=50)["quality"].first()
     assert lost.mask == 0.0 and lost.zero_reasons == ["noncanonical_start_codon"]
@@ -118,3 +118,38 @@ def test_preparation(spark):
     assert rows and sum(sum(1 for x in r.labels[0] if x == 7) for r in rows) >= 1 and all(len(r.input_ids) == 402 for r in rows)
 
 
+
+
+def test_preparation_of_several_genes(spark, tmp_path):
+    """A rejected gene is in nobody's way, genes without transcripts or coding blocks are told, and quality stays as it was where labels collide."""
+    seq = "C" * 200 + GENE + "C" * 100 + GENE + "C" * 200
+    first, second = (seq.index(GENE), seq.rindex(GENE))
+    n = len(GENE)
+
+    def lines(name, s, e, strand="+", cds=True, tx=True, extra=""):
+        out = [f"c1\ts\tgene\t{s + 1}\t{e}\t.\t{strand}\t.\tID={name};gene_biotype=protein_coding{extra}"]
+        out += [f"c1\ts\tmRNA\t{s + 1}\t{e}\t.\t{strand}\t.\tID=t{name};Parent={name}"] * tx
+        return out + [f"c1\ts\tCDS\t{s + 1}\t{e}\t.\t{strand}\t0\tParent=t{name}"] * (cds and tx)
+
+    text = [
+        *lines("good", first, first + n), *lines("broken", first + 3, first + 63), *lines("same", second, second + n), *lines("twin", second, second + n),
+        *lines("bare", 10, 90, tx=False), *lines("blank", 100, 190, cds=False), "c1\ts\tgene\t1\t50\t.\t+\t.\tID=rna;gene_biotype=lncRNA",
+    ]
+    features = files.features(spark.createDataFrame(list(enumerate(text)), "line_no long, value string"))
+    records = spark.createDataFrame([("c1", seq)], "chrom_id string, seq string")
+    settings = config.Preparation(window=400, flank=50, overlap=100, most_ambiguous=50)
+    got = facade.prepare(records, features, settings.window, settings.flank, settings.overlap, settings.most_ambiguous, settings.rules())
+    quality = {r.gid: r for r in got["quality"].collect()}
+    assert {g: r.mask for g, r in quality.items()} == {"good": 1.0, "broken": 0.0, "same": 1.0, "twin": 1.0, "bare": 0.0, "blank": 0.0}
+    assert quality["bare"].zero_reasons == ["no_transcript"] and quality["bare"].tid == "" and "no_CDS" in quality["blank"].zero_reasons
+    safe = {r.gid: (r.mask, r.selected, "same_strand_label_overlap" in r.zero_reasons) for r in got["labelling"].collect()}
+    assert safe["good"] == (1.0, True, False) and safe["same"] == safe["twin"] == (0.0, False, True) and safe["broken"][2] is False
+    every = {r.gid: (r.tid, r.mask, r.judged) for r in got["genes"].collect()}
+    assert every["rna"] == (None, 1.0, False) and every["bare"] == (None, 0.0, True) and every["good"] == ("tgood", 1.0, True)
+    facade.write_prepared(got, records, f"{tmp_path}/out", settings)
+    [summary] = spark.read.json(f"{tmp_path}/out/qc/summary").collect()
+    assert summary.genes_with_protein_coding_transcripts == 6 and summary.gene_mask_counts.asDict() == {"0.0": 3, "0.5": 0, "1.0": 3}
+    [manifest] = spark.read.json(f"{tmp_path}/out/manifest").collect()
+    assert (manifest.fasta_records, manifest.parsed_genes, manifest.rows) == (1, 7, spark.read.parquet(f"{tmp_path}/out/dataset").count())
+    assert spark.read.option("sep", "\t").option("header", "true").csv(f"{tmp_path}/out/qc/masked").count() == 3
+    assert '"policy": "longest_cds"' in spark.read.json(f"{tmp_path}/out/settings").first().settings

@@ -187,7 +187,8 @@ def test_crops_and_losses_refuse(spark):
 
 def test_settings(tmp_path):
     assert config.strict(config.Preparation, {"window": 100, "flank": 10, "overlap": 0}).window == 100
-    for wrong in ({"windows": 1}, {"window": "100"}, {"window": True}, {"window": 10, "flank": 5}, {"policy": "best"}, {"overlap": -1}):
+    assert config.strict(config.Preparation, {"biotypes": ["mRNA"], "low_quality": "keep"}).rules().biotypes == ("mRNA",)
+    for wrong in ({"windows": 1}, {"window": "100"}, {"window": True}, {"window": 10, "flank": 5}, {"policy": "best"}, {"overlap": -1}, {"biotypes": "coding"}, {"intron_source": "rna"}, {"hard_intron": 30}):
         with pytest.raises(ValueError):
             config.strict(config.Preparation, wrong)
     (tmp_path / "x.json").write_text('{"least_mean": 1, "min_cds": 30}')
