@@ -34,17 +34,25 @@ from strandloom.plans.session import table, written
 DEPTH, LEAST, TOP = 4, 30, 2000
 SHARE = 80
 SCALE = 2_000_000
-#: Words of a shard, and places of an index that are extended at a time.
-WORDS, PLACES = 1 << 22, 1 << 18
+#: Words of a shard, words that are numbered at a time, and places of an index that are extended at a time.
+WORDS, NUMBERED, PLACES = 1 << 20, 1 << 16, 1 << 18
+#: What stands between pieces, which no word can be.
+END = b"."
 Passes = Callable[[np.ndarray], np.ndarray]
-#: Ends of pieces become line feeds, tabs spaces, A-Z lower case.
+#: Ends of pieces become line feeds at first, tabs spaces, A-Z lower case.
 _PLAIN = bytes.maketrans(b".,;:!?\x0a\x0b\x0c\x0d\x09" + bytes(range(65, 91)), b"\x0a" * 10 + b"\x20" + bytes(range(97, 123)))
 _COUNTS = "hash long, n long, shard long"
 
 
 def tokens_of(text: str | None) -> list[bytes]:
-    """Words of a text, and a line feed after each piece."""
-    return [w for w in (text or "").encode().translate(_PLAIN).replace(b"\n", b" \n ").split(b" ") if w]
+    """Words of a text, and END after each piece."""
+    return (text or "").encode().translate(_PLAIN).replace(b"\n", b" . ").split()
+
+
+def numbered(tokens: list[bytes], ids: dict[bytes, int]) -> np.ndarray:
+    """The numbers of some words; new ones are added to `ids`."""
+    coded = pa.array(tokens, pa.binary()).dictionary_encode()
+    return np.array([ids.setdefault(w, len(ids)) for w in coded.dictionary.to_pylist()], np.int32)[coded.indices.to_numpy()]
 
 
 def packed(a: np.ndarray) -> bytes:
@@ -57,9 +65,12 @@ def unpacked(data: bytes) -> np.ndarray:
     return np.frombuffer(pa.decompress(data[8:], decompressed_size=int.from_bytes(data[:8], "little"), codec="zstd"), "<i4")
 
 
-def in_order(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The keys sorted, and where they stood; equal ones in their order. Keys and places must fit in 63 bits together."""
+def in_order(key: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The keys (up to `most`) sorted, and where they stood; equal ones in their order."""
     bits = max(len(key) - 1, 1).bit_length()
+    if most.bit_length() + bits > 63:
+        order = np.argsort(key, kind="stable")
+        return key[order], order
     both = (key << bits) | np.arange(len(key))
     both.sort()
     return both >> bits, both & ((1 << bits) - 1)
@@ -67,17 +78,15 @@ def in_order(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def transform(a: np.ndarray, depth: int = DEPTH) -> np.ndarray:
     """The word before each suffix, suffixes sorted by their first `depth` words. The numbers are a ring that begins with 0."""
-    rank, span = a, 1
-    order = np.argsort(rank)
+    rank, span, top = a, 1, int(a.max())
+    key, order = in_order(rank, top)
     while span < depth:
         step = min(span, depth - span)
-        pair = rank * (int(rank.max()) + 1) + np.roll(rank, -step)
-        order = np.argsort(pair)
+        key, order = in_order(rank * (top + 1) + np.roll(rank, -step), top * (top + 2))
         span += step
-        if span < depth:
-            pair = pair[order]
-            rank = np.empty(len(a), np.int64)
-            rank[order] = np.concatenate(([0], np.cumsum(pair[1:] != pair[:-1])))
+        rank = np.empty(len(a), np.int64)
+        rank[order] = np.concatenate(([0], np.cumsum(key[1:] != key[:-1])))
+        top = int(rank[order[-1]])
     return a[order - 1]
 
 
@@ -96,7 +105,7 @@ class Shard:
     def last_to_first(bwt: np.ndarray) -> np.ndarray:
         """Where the suffix stands that begins with the word before each suffix."""
         out = np.empty(len(bwt), np.int32)
-        out[in_order(bwt.astype(np.int64))[1]] = np.arange(len(bwt))
+        out[in_order(bwt.astype(np.int64), int(bwt.max()))[1]] = np.arange(len(bwt))
         return out
 
     def hash_of(self, grams: np.ndarray) -> np.ndarray:
@@ -128,7 +137,7 @@ class Shard:
         parent = np.repeat(np.arange(len(size)), size)
         start = np.cumsum(size) - size
         at = np.arange(len(parent)) - start[parent] + now["begin"][side][parent]
-        key, order = in_order(parent * len(self.words) + self.sides[side][at])  # by phrase and word, then by place
+        key, order = in_order(parent * len(self.words) + self.sides[side][at], len(size) * len(self.words))  # by phrase and word, then by place
         group = np.concatenate(([0], np.flatnonzero(key[1:] != key[:-1]) + 1))
         n = np.diff(np.append(group, len(key)))
         of, word = np.divmod(key[group], len(self.words))
@@ -169,13 +178,13 @@ def indexes(docs: DataFrame, words: int = WORDS, depth: int = DEPTH) -> DataFram
     """(shard, lang, n, words, forward, backward): the FM-indexes of shards of `words` words or one document. docs: (lang, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made, held = 0, {}  # lang -> word numbers, arrays of them, words so far
+        made, held = 0, {}  # lang -> word numbers, arrays of them, tokens to be numbered, tokens so far
         base = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 32
 
         def flush(lang: str) -> pa.RecordBatch:
             nonlocal made
-            ids, arrays, _ = held.pop(lang)
-            a = np.concatenate([np.zeros(1, np.int64), *arrays])
+            ids, arrays, rest, _ = held.pop(lang)
+            a = np.concatenate([np.zeros(1, np.int64), *arrays, numbered(rest, ids)])
             names = b" ".join(list(ids)[1:])
             columns = [pa.array([base + made], pa.int64()), pa.array([lang]), pa.array([int((a > 0).sum())], pa.int64()), *(pa.array([x], pa.binary()) for x in (names, packed(transform(a, depth)), packed(transform(np.concatenate((a[:1], a[:0:-1])), depth))))]
             made += 1
@@ -186,15 +195,17 @@ def indexes(docs: DataFrame, words: int = WORDS, depth: int = DEPTH) -> DataFram
                 tokens = tokens_of(said.as_py())
                 if not tokens:
                     continue
-                one = held.setdefault(lang, [{b"\n": 0}, [], 0])
-                if one[2] and one[2] + len(tokens) > words:
+                if lang in held and held[lang][3] + len(tokens) > words:
                     yield flush(lang)
-                    one = held.setdefault(lang, [{b"\n": 0}, [], 0])
-                ids = one[0]
-                one[1].append(np.array([ids.setdefault(w, len(ids)) for w in [*tokens, b"\n"]], np.int32))
-                one[2] += len(tokens) + 1
-                if sum(x[2] for x in held.values()) > words:  # many languages: the largest goes
-                    yield flush(max(held, key=lambda k: held[k][2]))
+                one = held.setdefault(lang, [{END: 0}, [], [], 0])
+                one[2] += tokens
+                one[2].append(END)
+                one[3] += len(tokens) + 1
+                if len(one[2]) > NUMBERED:
+                    one[1].append(numbered(one[2], one[0]))
+                    one[2] = []
+                if sum(x[3] for x in held.values()) > 2 * words:  # many languages: the largest goes
+                    yield flush(max(held, key=lambda k: held[k][3]))
         for lang in list(held):
             yield flush(lang)
 
@@ -205,7 +216,7 @@ def shards_in(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, str, Sha
     for batch in batches:
         for k in range(batch.num_rows):
             shard, lang, words, forward, backward = (batch.column(c)[k].as_py() for c in ("shard", "lang", "words", "forward", "backward"))
-            yield shard, lang, Shard([b"\n", *(words.split(b" ") if words else [])], unpacked(forward), unpacked(backward), salt_of(lang)), batch.slice(k, 1)
+            yield shard, lang, Shard([END, *(words.split(b" ") if words else [])], unpacked(forward), unpacked(backward), salt_of(lang)), batch.slice(k, 1)
 
 
 def level_counts(shards: DataFrame, length: int, filters: list[np.ndarray]) -> DataFrame:
