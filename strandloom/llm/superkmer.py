@@ -29,7 +29,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -213,9 +213,12 @@ def split_firsts(strings: DataFrame, window: int) -> DataFrame:
 
     windows = strings.select("minimiser", "name", "packed", "least", "most").mapInArrow(run, "minimiser long, name long, least long, most long, k int, window binary")
     windows = written(windows, "split-windows")
-    firsts = windows.groupBy("window").agg(F.min("least").alias("first"), F.max("most").alias("last")).filter("first < last").select("window", "first")
-    found = windows.join(firsts, "window").filter("first < most")
-    return found.groupBy("minimiser", "name").agg(F.sort_array(F.collect_list(F.struct("k", (F.col("k") + 1).alias("stop"), "first"))).cast(_RUNS).alias("runs"))
+    # written, so that a window of many strings is no more than one large key of a join that Spark splits
+    firsts = written(windows.groupBy("window").agg(F.min("least").alias("first"), F.max("most").alias("last")).filter("first < last").select("window", "first"), "split-firsts")
+    found = windows.join(firsts, "window").filter("first < most").select("minimiser", "name", "k", "first")
+    string = Window.partitionBy("minimiser", "name", "first").orderBy("k")
+    runs = found.withColumn("run", F.col("k") - F.row_number().over(string)).groupBy("minimiser", "name", "first", "run").agg(F.min("k").alias("k"), (F.max("k") + 1).alias("stop"))
+    return runs.groupBy("minimiser", "name").agg(F.sort_array(F.collect_list(F.struct("k", "stop", "first"))).cast(_RUNS).alias("runs"))
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW, size: int = MINIMISER, split: int = SPLIT) -> DataFrame:
