@@ -14,17 +14,47 @@ def masses(track: DataFrame) -> DataFrame:
     return out.withColumn("genic", F.least(F.greatest(F.col("coding") + F.col("intron"), F.lit(0.0)), F.lit(1.0)))
 
 
-def thresholds(track: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, mean, sd, t1, t2, t3) of the coding mass: what seeds a bin alone, in the mean, and what supports it."""
-    m = masses(track).groupBy(*keys).agg(F.avg("coding").alias("mean"), F.stddev_pop("coding").alias("sd"))
+#: Bases of a block: what thresholds sum up at a time, and what a window of a plan is looked up by.
+BLOCK = 1 << 16
+
+
+def sampled(track: DataFrame, plan: DataFrame, block: int = BLOCK) -> DataFrame:
+    """The positions of `track` (chrom_id, pos, ...) that lie in the windows (chrom_id, start, stop) of a plan.
+
+    Windows don't overlap; they go to the blocks that they touch, so both sides meet by blocks.
+    """
+    parts = plan.select("chrom_id", "start", "stop", F.explode(F.sequence(F.expr(f"start div {block}"), F.expr(f"(stop - 1) div {block}"))).alias("__block"))
+    met = track.withColumn("__block", F.expr(f"pos div {block}")).join(parts, ["chrom_id", "__block"])
+    return met.filter((F.col("pos") >= F.col("start")) & (F.col("pos") < F.col("stop"))).drop("__block", "start", "stop")
+
+
+def moments(values: DataFrame, keys: list[str], value: str, block: int = BLOCK) -> DataFrame:
+    """(keys, n, mean, m2) of `value`: moments of each block of positions, merged. A value that isn't finite is an error."""
+    v = F.col(value)
+    sound = F.when(v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")), F.raise_error(F.lit(f"{value} isn't finite")).cast("double")).otherwise(v)
+    parts = values.groupBy(*keys, F.expr(f"pos div {block}").alias("__block")).agg(F.count("*").alias("n"), F.avg(sound).alias("mean"), F.var_pop(sound).alias("var"))
+    sums = parts.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("mean")).alias("sum"), F.collect_list(F.struct("n", "mean", "var")).alias("parts"))
+    mean = F.col("sum") / F.col("n")
+    m2 = F.aggregate("parts", F.lit(0.0), lambda a, x: a + x["n"] * (x["var"] + (x["mean"] - F.col("mean")) * (x["mean"] - F.col("mean"))))
+    return sums.withColumn("mean", mean).select(*keys, "n", "mean", m2.alias("m2"))
+
+
+def thresholds(track: DataFrame, keys: list[str], plan: DataFrame | None = None, block: int = BLOCK) -> DataFrame:
+    """(keys, n, mean, sd, t1, t2, t3) of the coding mass: what seeds a bin alone, in the mean, and what supports it.
+
+    With a plan (chrom_id, start, stop) only the positions of its windows count; track then has chrom_id.
+    """
+    some = track if plan is None else sampled(track, plan, block)
+    m = moments(masses(some), keys, "coding", block).withColumn("sd", F.sqrt(F.col("m2") / F.col("n")))
     mean, sd = F.col("mean"), F.col("sd")
-    return m.withColumn("t1", F.greatest(F.lit(0.5), mean + 1.5 * sd)).withColumn("t2", F.greatest(F.lit(0.2), mean + 0.5 * sd)).withColumn("t3", F.greatest(F.lit(0.05), mean - 0.5 * sd))
+    t1, t2, t3 = F.greatest(F.lit(0.5), mean + 1.5 * sd), F.greatest(F.lit(0.2), mean + 0.5 * sd), F.greatest(F.lit(0.05), mean - 0.5 * sd)
+    return m.select(*keys, "n", "mean", "sd", t1.alias("t1"), t2.alias("t2"), t3.alias("t3"))
 
 
-def binned(track: DataFrame, keys: list[str], step: int = 50) -> DataFrame:
-    """(keys, bin, mean_coding, max_coding, mean_genic, seed, support). Thresholds are one row for each of `keys`."""
+def binned(track: DataFrame, keys: list[str], step: int = 50, plan: DataFrame | None = None) -> DataFrame:
+    """(keys, bin, mean_coding, max_coding, mean_genic, seed, support). Thresholds are one row for each of `keys`, over the windows of `plan` if there is one."""
     found = masses(track).groupBy(*keys, F.expr(f"pos div {step}").alias("bin")).agg(F.avg("coding").alias("mean_coding"), F.max("coding").alias("max_coding"), F.avg("genic").alias("mean_genic"))
-    marked = found.join(thresholds(track, keys).select(*keys, "t1", "t2", "t3"), keys)
+    marked = found.join(thresholds(track, keys, plan).select(*keys, "t1", "t2", "t3"), keys)
     seed = (F.col("max_coding") >= F.col("t1")) | (F.col("mean_coding") >= F.col("t2"))
     support = seed | (F.col("mean_genic") >= F.col("t3")) | (F.col("max_coding") >= 0.25)
     return marked.withColumn("seed", seed).withColumn("support", support).drop("t1", "t2", "t3")

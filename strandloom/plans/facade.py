@@ -41,10 +41,11 @@ def predict(records: DataFrame, scorer: Scorer, window: int = 40_960, flank: int
 
 
 def candidate_regions(track: DataFrame, step: int = 50) -> DataFrame:
-    """(chrom_id, strand, region, start, stop) where genes may lie."""
+    """(chrom_id, strand, region, start, stop) where genes may lie. Thresholds come from the sampling plan of each record."""
     keys = ["chrom_id", "strand"]
-    bins = written(candidates.binned(track, keys, step), "bins")
-    length = track.groupBy(*keys).agg((F.max("pos") + 1).alias("length"))
+    length = written(track.groupBy(*keys).agg((F.max("pos") + 1).alias("length")), "lengths")
+    plan = tiling.sampling_plan(length.groupBy("chrom_id").agg(F.max("length").alias("length")), step=step)
+    bins = written(candidates.binned(track, keys, step, plan), "bins")
     found = intervals.merge(intervals.extended(intervals.regions(bins, keys, step), bins, keys, step), keys).join(length, keys)
     return found.select(*keys, F.xxhash64("chrom_id", "strand", "s").alias("region"), F.col("s").alias("start"), F.least("e", "length").alias("stop"))
 

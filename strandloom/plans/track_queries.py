@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strandloom.functions import track as tk
 from strandloom.operators import candidates as cd
+from strandloom.operators import splicing, tiling
 from strandloom.plans import views
 from strandloom.plans.catalog import query
 from strandloom.plans.session import table
@@ -97,3 +98,55 @@ def donor_acceptor(spark, sf_dir):
         at = gaps.select("chrom_id", F.explode("ps").alias("i")).select("chrom_id", F.col("i").cast("long").alias("i")).withColumn("w", F.expr("i div 200"))
         out.append(at.groupBy("chrom_id", "w").agg((F.min("i") if m == "GT" else F.max("i") + 2).alias("don" if m == "GT" else "acc")))
     return out[0].join(out[1], ["chrom_id", "w"]).filter("acc >= don + 20")
+
+
+#: Four windows of each hundred positions, each at most a quarter of its stratum.
+_SAMPLED = f"""{_MASS}, size AS (SELECT max(vec_id) + 1 AS length FROM embeddings), tgt AS (SELECT length, least(greatest((length + 99) // 100, 120), 2000, length) AS target FROM size),
+pl AS (SELECT length, target, CASE WHEN target * 5 >= length * 4 THEN 1 ELSE least(greatest((length + 99) // 100, 4), 40) END AS n FROM tgt), ix AS (SELECT *, unnest(range(0, n)) AS i FROM pl),
+st AS (SELECT *, greatest(target // n // 10 * 10, 10) AS width, length * i // n AS lo, length * (i + 1) // n AS hi FROM ix),
+plan AS (SELECT CASE WHEN n = 1 THEN 0 ELSE least(greatest(((lo + hi - width) // 2 + 5) // 10 * 10, (lo + 9) // 10 * 10), greatest((hi - width) // 10 * 10, (lo + 9) // 10 * 10)) END AS a, n, width, length FROM st),
+win AS (SELECT a, CASE WHEN n = 1 THEN length ELSE least(a + width, length) END AS b FROM plan),
+chosen AS (SELECT strand, coding FROM mass JOIN win ON pos >= a AND pos < b), mom AS (SELECT strand, count(*) AS n, avg(coding) AS mean, stddev_pop(coding) AS sd FROM chosen GROUP BY strand)"""
+
+
+@query("agg_sampled_thresholds", f"{_SAMPLED} SELECT strand, n, round(mean, 6) AS mean, round(sd, 6) AS sd, round(greatest(0.5, mean + 1.5 * sd), 6) AS t1, round(greatest(0.2, mean + 0.5 * sd), 6) AS t2, round(greatest(0.05, mean - 0.5 * sd), 6) AS t3 FROM mom")
+def sampled_thresholds(spark, sf_dir):
+    """Thresholds over the windows of a sampling plan; moments of blocks of 64 positions are merged."""
+    positions = track(spark, sf_dir).withColumn("chrom_id", F.lit("e"))
+    length = table(spark, sf_dir, "embeddings").select(F.lit("e").alias("chrom_id"), (F.col("vec_id") + 1).alias("length")).groupBy("chrom_id").agg(F.max("length").alias("length"))
+    plan = tiling.sampling_plan(length, least=120, most=2_000, stratum=100, strata=(4, 40), step=10)
+    found = cd.thresholds(positions, ["strand"], plan, 64)
+    return found.select("strand", "n", *[F.round(c, 6).alias(c) for c in ("mean", "sd", "t1", "t2", "t3")])
+
+
+_ORIENTED = f"""{T}, size AS (SELECT max(vec_id) + 1 AS n FROM embeddings), letter AS (SELECT vec_id AS pos, substr('ACGT', list_position(embedding[31:34], list_max(embedding[31:34]))::INT, 1) AS base FROM embeddings),
+o AS (SELECT strand, CASE WHEN strand = 0 THEN track.pos ELSE n - 1 - track.pos END AS i, CASE WHEN strand = 0 THEN base ELSE translate(base, 'ACGT', 'TGCA') END AS base, list_transform(p, lambda v: ln(greatest(v, 1e-7)) - ln(greatest(p[1], 1e-7))) AS odds
+    FROM track JOIN letter ON letter.pos = track.pos, size),
+s AS (SELECT *, sum(odds[2]) OVER w AS c0, sum(odds[3]) OVER w AS c1, sum(odds[4]) OVER w AS c2, lag(base) OVER w AS b1, lag(base, 2) OVER w AS b2, lead(base) OVER w AS f1, lead(base, 2) OVER w AS f2 FROM o WINDOW w AS (PARTITION BY strand ORDER BY i)),
+ph AS (SELECT s.*, phase, [c0, c1, c2][phase + 1] AS c FROM s, (SELECT unnest([0, 1, 2]) AS phase)),
+don AS (SELECT strand, phase, f1 || f2 AS motif, i, odds[9 + phase] - c AS v, CASE phase WHEN 0 THEN base WHEN 1 THEN b1 || base ELSE '' END AS split FROM ph WHERE f1 || f2 IN ('GT', 'GC', 'AT')),
+acc AS (SELECT strand, phase, b2 || b1 AS motif, i, odds[[13, 14, 12][phase + 1]] + c - odds[phase + 2] AS v, base || coalesce(f1, '') AS ahead FROM ph WHERE b2 || b1 IN ('AG', 'AC')),
+pairs AS (SELECT a.strand, a.phase, a.motif, a.i AS acceptor, d.i AS donor, d.v AS dv, a.v + d.v AS score FROM don d JOIN acc a ON a.strand = d.strand AND a.phase = d.phase AND a.i >= d.i + 21
+    AND a.motif = CASE d.motif WHEN 'AT' THEN 'AC' ELSE 'AG' END AND split || left(ahead, 3 - length(split)) NOT IN ('TAA', 'TAG', 'TGA'))"""
+
+
+@query("jon_best_introns", f"{_ORIENTED} SELECT strand, phase, acceptor, arg_max(donor, dv) AS donor, round(max(score), 5) AS score FROM pairs GROUP BY strand, phase, acceptor")
+def best_introns(spark, sf_dir):
+    """Each acceptor's best intron in each phase, scored by the track, on both strands; the twin lists all pairs."""
+    letters = "element_at(array('A', 'C', 'G', 'T'), cast(array_position(slice(embedding, 31, 4), array_max(slice(embedding, 31, 4))) as int))"
+    found = table(spark, sf_dir, "embeddings")
+    n = found.agg(F.max("vec_id").alias("last")).scalar()
+    base = found.select(F.col("vec_id").alias("pos"), F.expr(letters).alias("base"))
+    plus = F.col("strand") == 0
+    o = track(spark, sf_dir).join(base, "pos").select("strand", F.when(plus, F.col("pos")).otherwise(n - F.col("pos")).alias("i"), F.when(plus, F.col("base")).otherwise(F.translate("base", "ACGT", "TGCA")).alias("base"), F.expr(tk.log_odds("p")).alias("odds"))
+    # neighbours come by equal numbers, not by a window over the record
+    near = o.select("strand", F.col("i").alias("at"), F.explode(F.array(*[F.struct((F.col("i") - k).alias("i"), F.lit(k).alias("k"), "base") for k in (-2, -1, 1, 2)])).alias("x")).groupBy("strand", F.col("x.i").alias("i")).agg(
+        *[F.max(F.when(F.col("x.k") == k, F.col("x.base"))).alias(name) for k, name in ((-2, "b2"), (-1, "b1"), (1, "f1"), (2, "f2"))]
+    )
+    each = o.join(near, ["strand", "i"]).select("*", F.explode(F.array(*[F.lit(k) for k in range(3)])).alias("phase")).withColumn("intron", F.element_at("odds", F.col("phase") + 2))
+    summed = splicing.running(each, ["strand", "phase"], "i", "intron", "c", stripe=256)
+    donors = summed.select("strand", "phase", F.concat("f1", "f2").alias("motif"), F.col("i").alias("pos"), (F.element_at("odds", F.col("phase") + 9) - F.col("c")).alias("score"), F.expr("CASE phase WHEN 0 THEN base WHEN 1 THEN b1 || base ELSE '' END").alias("split")).filter("motif IN ('GT', 'GC', 'AT')")
+    own = F.element_at("odds", F.element_at(F.array(F.lit(13), F.lit(14), F.lit(12)), F.col("phase") + 1)) + F.col("c") - F.col("intron")
+    acceptors = summed.select("strand", "phase", F.concat("b2", "b1").alias("motif"), F.col("i").alias("pos"), own.alias("own"), F.concat("base", F.coalesce("f1", F.lit(""))).alias("ahead")).filter("motif IN ('AG', 'AC')")
+    best = splicing.best_donors(donors, acceptors, ["strand"], 20, 256)
+    return best.select("strand", "phase", F.col("pos").alias("acceptor"), "donor", F.round(F.col("own") + F.col("donor_score"), 5).alias("score"))
