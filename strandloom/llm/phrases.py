@@ -233,8 +233,11 @@ def level_counts(shards: DataFrame, length: int, filters: list[np.ndarray]) -> D
 
 
 def frequent(counts: DataFrame, least: int) -> DataFrame:
-    """(hash, a, shard) of the phrases that all shards together have `least` times; shard is the first one that has it."""
-    return counts.groupBy("hash").agg(F.sum("n").alias("a"), F.min("shard").alias("shard")).filter(F.col("a") >= least)
+    """(hash, a, shard) of the phrases that all shards together have `least` times; shard is the first one that has it.
+
+    A shard has each phrase once, so there is nothing to sum before the exchange.
+    """
+    return counts.repartition("hash").groupBy("hash").agg(F.sum("n").alias("a"), F.min("shard").alias("shard")).filter(F.col("a") >= least)
 
 
 def named(shards: DataFrame, wanted: DataFrame, filters: list[np.ndarray], depth: int = DEPTH) -> DataFrame:
