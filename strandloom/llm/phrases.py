@@ -150,24 +150,24 @@ class Shard:
         both = [here, there] if side == 0 else [there, here]
         return {"grams": whole[keep], "size": n[keep].astype(np.int32), "begin": np.stack(both).astype(np.int32)}
 
-    def level(self, length: int, filters: list[np.ndarray]) -> Iterator[dict[str, np.ndarray]]:
-        """The phrases of `length` words whose shorter parts the filters (of 1, 2, ... words) let through, some at a time."""
-        passes = [lambda h, bits=bits: in_slots(bits, slot_of(h)) for bits in filters]
-        now = self.single(passes[0] if passes else lambda h: np.ones(len(h), bool))
-        if length == 1:
-            yield now
-        for k in range(1, length):
-            found = self.extended(now, (k + 1) % 2, passes[k - 1])
-            if k == length - 1:
-                yield from found
-                return
+    def levels(self, depth: int, filters: list[np.ndarray]) -> Iterator[dict[str, np.ndarray]]:
+        """The phrases of 1 to `depth` words, some at a time, whose shorter parts the filters (of 1, 2, ... words) let through; what a filter of their own length there is lets through, too."""
+        passes = [lambda h, bits=bits: in_slots(bits, slot_of(h)) for bits in filters] + [lambda h: np.ones(len(h), bool)]
+        now = self.single(passes[0])
+        yield now
+        for k in range(1, depth):
             parts = []
-            for x in found:
-                keep = passes[k](self.hash_of(x["grams"]))
-                parts.append({"grams": x["grams"][keep], "size": x["size"][keep], "begin": x["begin"][:, keep]})
-            if not parts:
-                return
-            now = {c: np.concatenate([x[c] for x in parts], axis=-1 if c == "begin" else 0) for c in now}
+            for x in self.extended(now, (k + 1) % 2, passes[k - 1]):
+                if k < len(filters):
+                    keep = passes[k](self.hash_of(x["grams"]))
+                    x = {"grams": x["grams"][keep], "size": x["size"][keep], "begin": x["begin"][:, keep]}
+                if k < depth - 1:
+                    parts.append(x)
+                yield x
+            if k < depth - 1:
+                if not parts:
+                    return
+                now = {c: np.concatenate([x[c] for x in parts], axis=-1 if c == "begin" else 0) for c in now}
 
 
 def salt_of(lang: str) -> int:
@@ -225,7 +225,9 @@ def level_counts(shards: DataFrame, length: int, filters: list[np.ndarray]) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, _, shard, _ in shards_in(batches):
-            for found in shard.level(length, shared.value):
+            for found in shard.levels(length, shared.value):
+                if found["grams"].shape[1] < length:
+                    continue
                 h = shard.hash_of(found["grams"]).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(found["size"].astype(np.int64)), pa.repeat(pa.scalar(number, pa.int64()), len(h))], names=["hash", "n", "shard"])
 
@@ -240,28 +242,29 @@ def frequent(counts: DataFrame, least: int) -> DataFrame:
     return counts.repartition("hash").groupBy("hash").agg(F.sum("n").alias("a"), F.min("shard").alias("shard")).filter(F.col("a") >= least)
 
 
-def named(shards: DataFrame, wanted: DataFrame, filters: list[np.ndarray], depth: int = DEPTH) -> DataFrame:
-    """(hash, lang, phrase, length, cuts) of `wanted` (hash, shard); cuts has the hashes (k, first, rest) of both parts of every cut."""
-    shared = shards.sparkSession.sparkContext.broadcast(filters)
+def named(shards: DataFrame, wanted: np.ndarray, filters: list[np.ndarray], depth: int = DEPTH) -> DataFrame:
+    """(hash, shard, lang, phrase, length, cuts) of the phrases that `wanted`, bits of hash and shard, has in their shard; cuts has the hashes (k, first, rest) of both parts of every cut."""
+    shared = shards.sparkSession.sparkContext.broadcast((wanted, filters))
     cuts_kind = pa.list_(pa.struct([("k", pa.int32()), ("first", pa.int64()), ("rest", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, lang, shard, row in shards_in(batches):
-            ours = row.column("hashes").flatten().to_numpy()
-            for length in range(2, depth + 1):
-                for found in shard.level(length, shared.value[: length - 1]):
-                    hashes = shard.hash_of(found["grams"]).view(np.int64)
-                    keep = np.isin(hashes, ours)
-                    grams, hashes = found["grams"][keep], hashes[keep]
-                    n = len(hashes)
-                    said = [b" ".join(shard.words[w] for w in g).decode() for g in grams.tolist()]
-                    parts = [(shard.hash_of(grams[:, :k]).view(np.int64).tolist(), shard.hash_of(grams[:, k:]).view(np.int64).tolist()) for k in range(1, length)]
-                    cuts = [[{"k": k + 1, "first": a[r], "rest": b[r]} for k, (a, b) in enumerate(parts)] for r in range(n)]
-                    yield pa.RecordBatch.from_arrays([pa.array(hashes), pa.repeat(lang, n), pa.array(said, pa.string()), pa.repeat(pa.scalar(length, pa.int32()), n), pa.array(cuts, cuts_kind)], names=["hash", "lang", "phrase", "length", "cuts"])
-
-    lists = wanted.groupBy("shard").agg(F.collect_list("hash").alias("hashes"))
-    joined = shards.select("shard", "lang", "words", "forward", "backward").join(lists, "shard")
-    return joined.mapInArrow(run, "hash long, lang string, phrase string, length int, cuts array<struct<k:int,first:long,rest:long>>")
+        wanted, filters = shared.value
+        for number, lang, shard, _ in shards_in(batches):
+            for found in shard.levels(depth, filters):
+                length = found["grams"].shape[1]
+                if length < 2:
+                    continue
+                hashes = shard.hash_of(found["grams"])
+                keep = in_slots(wanted, slot_of(hashes, np.full(len(hashes), number, np.uint64)))
+                grams, hashes = found["grams"][keep], hashes[keep].view(np.int64)
+                n = len(hashes)
+                said = [b" ".join(shard.words[w] for w in g).decode() for g in grams.tolist()]
+                parts = [(shard.hash_of(grams[:, :k]).view(np.int64).tolist(), shard.hash_of(grams[:, k:]).view(np.int64).tolist()) for k in range(1, length)]
+                cuts = [[{"k": k + 1, "first": a[r], "rest": b[r]} for k, (a, b) in enumerate(parts)] for r in range(n)]
+                columns = [pa.array(hashes), pa.repeat(pa.scalar(number, pa.int64()), n), pa.repeat(lang, n), pa.array(said, pa.string()), pa.repeat(pa.scalar(length, pa.int32()), n), pa.array(cuts, cuts_kind)]
+                yield pa.RecordBatch.from_arrays(columns, names=["hash", "shard", "lang", "phrase", "length", "cuts"])
+
+    return shards.select("shard", "lang", "words", "forward", "backward").mapInArrow(run, "hash long, shard long, lang string, phrase string, length int, cuts array<struct<k:int,first:long,rest:long>>")
 
 
 def phrases(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = LEAST, depth: int = DEPTH, share: int = SHARE, words: int = WORDS) -> DataFrame:
@@ -286,8 +289,8 @@ def phrases(docs: DataFrame, text: str = "text", lang: str = "lang", least: int
         counts = counts.union(x)
     for x in levels[2:]:
         candidates = candidates.union(x)
-    found = written(named(shards, candidates.select("hash", "shard"), filters, depth), "phrase-names").join(candidates.select("hash", "a"), "hash")
-    found = written(found, "phrases-counted")
+    names = named(shards, slots_of(candidates.select("hash", "shard")), filters, depth)
+    found = written(names.join(candidates.select("hash", "shard", "a"), ["hash", "shard"]).drop("shard"), "phrases-named")
     cuts = found.select("hash", "a", F.explode("cuts").alias("cut")).select("hash", "a", F.col("cut.k").alias("k"), F.col("cut.first").alias("first"), F.col("cut.rest").alias("rest"))
     left, right = counts.select(F.col("hash").alias("first"), F.col("a").alias("l")), counts.select(F.col("hash").alias("rest"), F.col("a").alias("r"))
     score = F.expr(f"(cast(a as decimal(20,0)) * {SCALE}) div (cast(l as decimal(20,0)) + cast(r as decimal(20,0)))")
