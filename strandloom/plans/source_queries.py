@@ -12,8 +12,8 @@ from strandloom.plans import track_queries as tq
 from strandloom.plans import views
 from strandloom.plans.catalog import query
 from strandloom.plans.session import shared_dir, table
-from strandloom.sources import files
-from strandloom.streaming import ingest
+from strandloom.sources import files, sequences
+from strandloom.streaming import ingest, ordered
 
 
 def _fresh(spark, label):
@@ -29,6 +29,14 @@ def fasta(spark, sf_dir):
     return files.fasta(spark, path).select("chrom_id", "chrom_length", F.md5("seq").alias("digest"))
 
 
+@query("src_fasta_blocks", f"{sq.G}, b AS (SELECT chrom_id, length(seq)::BIGINT AS length, seq, unnest(range(0, greatest(length(seq) + 999, 1000) // 1000)) AS block FROM genome) SELECT chrom_id, block, length, md5(substr(seq, (block * 1000 + 1)::BIGINT, 1000)) AS digest FROM b")
+def fasta_blocks(spark, sf_dir):
+    """All records, empty ones too, written as FASTA in lines of 60 and read again in byte ranges, as blocks of 1000 bases."""
+    path = _fresh(spark, "fasta-blocks")
+    views.genome(spark, sf_dir).select(F.concat(F.lit(">"), "chrom_id", F.lit(" a record\n"), F.regexp_replace(F.lower("seq"), "(.{60})", "$1\n"))).write.text(f"{path}/records.fa")
+    return sequences.blocks(spark, f"{path}/records.fa", 1000).select("chrom_id", "block", "length", F.md5("piece").alias("digest"))
+
+
 @query("src_windows_tsv", f"{sq._TILES}, g AS (SELECT *, row_number() OVER (ORDER BY chrom_index, chrom_window_index) - 1 AS i FROM win) SELECT i AS global_window_index, chrom_id, chrom_length, center_start, i // 500 + 1 AS chunk_id, md5(sequence) AS digest FROM g")
 def windows_tsv(spark, sf_dir):
     from strandloom.operators import tiling
@@ -127,6 +135,17 @@ def stream_coverage(spark, sf_dir):
     return spark.read.schema(stream.schema).parquet(sink)
 
 
+@query("stm_ordered_windows", f"{sq._TILES}, b AS (SELECT *, coalesce(lag(center_end) OVER (PARTITION BY chrom_id ORDER BY chrom_window_index), 0) AS seen FROM win) SELECT chrom_id, chrom_window_index, greatest(center_start, seen) AS write_start, least(center_end, chrom_length) AS write_end, NULL::VARCHAR AS problem FROM b")
+def ordered_windows(spark, sf_dir):
+    """Window files in which every record's windows are mixed up, taken in two a trigger; windows wait until they are next."""
+    source, target, marks = _fresh(spark, "ordered-in"), _fresh(spark, "ordered-out"), _fresh(spark, "ordered-marks")
+    found = sq.windows(spark, sf_dir).select("chrom_id", "chrom_length", "chrom_window_index", "center_start", "center_end")
+    found.repartition(4, F.xxhash64("chrom_id", "chrom_window_index")).sortWithinPartitions(F.xxhash64("chrom_window_index", "chrom_id")).write.parquet(source)
+    listed = spark.read.parquet(source).groupBy("chrom_id").agg(F.count("*").alias("num_windows"))
+    ordered.ingest(spark, source, target, marks, listed, 2)
+    return ordered.read(spark, target)
+
+
 @query("dec_gene_paths")
 def gene_paths(spark, sf_dir):
     """Best gene paths over the track, in regions of 250 positions on both strands; bases by the largest of four further values."""

@@ -28,7 +28,7 @@ _NAMES = [c.split()[0] for c in _SEGMENT.split(", ")]
 
 
 def _files(spark: SparkSession, path: str) -> list[tuple[str, bytes]]:
-    """Every FASTA file of `path` (a file, or a folder and what lies below it) and its first two bytes."""
+    """Every FASTA file of `path` and its first two bytes: a file, the files of a folder with a FASTA name, or those with FASTA names below another folder."""
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -36,7 +36,8 @@ def _files(spark: SparkSession, path: str) -> list[tuple[str, bytes]]:
     while listed.hasNext():
         status = listed.next()
         name = status.getPath().getName().lower()
-        if status.getPath().toString().rstrip("/").endswith(path.rstrip("/")) or name.removesuffix(".gz").endswith(FASTA):
+        named = path.rstrip("/").lower().removesuffix(".gz").endswith(FASTA) and not name.startswith((".", "_"))
+        if named or name.removesuffix(".gz").endswith(FASTA):
             stream = fs.open(status.getPath())
             head = bytes(x for x in (stream.read(), stream.read()) if x >= 0)
             stream.close()
