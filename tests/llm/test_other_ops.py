@@ -323,3 +323,25 @@ def test_near_duplicates_of_null_and_repeated_ids(spark, tmp_path):
     assert out.columns == frame.columns
     got = collections.Counter((r.doc_id, (r.text or " ")[0]) for r in out.collect())
     assert got == collections.Counter([(None, "a"), (None, "b"), (5, "c"), (7, "d"), (7, "e"), (2, "f"), (7, "g"), (None, " "), (9, " ")])
+
+
+def test_stages_carry_columns_of_any_name(spark, tmp_path):
+    import corpus_pipeline
+
+    more = ["a.b", "__row", "__text_key", "__key", "__m", "text_key", "document", "row", "spans", "rejected"]
+    rows = [(d, t, "en", "src", len(t or ""), *range(k, k + len(more))) for k, (d, t) in enumerate([(1, "mail me@here.org or call " + " ".join(f"w{j}" for j in range(60))), (2, " ".join(f"v{j}" for j in range(70))), (None, " ".join(f"u{j}" for j in range(70)))])]
+    ddl = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` int" for c in more)
+    frame = spark.createDataFrame(rows, ddl)
+    root = f"file://{tmp_path}"
+    spark.createDataFrame([(1, " ".join(f"v{j}" for j in range(10)))], "item_id long, text string").write.parquet(f"{root}/benchmark.parquet")
+    want = {r[0]: r[5:] for r in rows}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, frame, root)
+        assert out.columns == frame.columns, name
+        got = {r[0]: tuple(r[5:]) for r in out.collect()}
+        assert set(got.items()) <= set(want.items()) and (1 in got or name == "quality_rules")
+        if name == "personal_data":
+            assert any("<email>" in r.text for r in out.collect()) and got == want
+        if name == "decontamination":
+            assert set(got) == {1, None}
+    assert stage is not None and corpus_pipeline.pack_sequences(spark, frame, root).count() >= 3
