@@ -57,6 +57,18 @@ def same_strand_conflicts(spans: DataFrame) -> DataFrame:
     return iv.overlapping(spans.withColumnRenamed("tid", "a"), other, ["seqid", "strand"]).filter((F.col("a") < F.col("b")) & (F.col("gid") != F.col("g2"))).select("a", "b", "gid", "g2")
 
 
+def ownership_violations(spans: DataFrame, keys: list[str], stripe: int = iv.STRIPE) -> DataFrame:
+    """(keys, at, owners): where a base gets more than one owner. spans: (keys, s, e), half open.
+
+    A sweep over the ends of all spans: begins count one up, ends one down, both at once where they meet.
+    """
+    from strandloom.operators.splicing import running
+
+    ends = spans.select(*keys, F.explode(F.array(F.struct(F.col("s").alias("at"), F.lit(1).alias("d")), F.struct(F.col("e").alias("at"), F.lit(-1).alias("d")))).alias("x"))
+    points = ends.groupBy(*keys, F.col("x.at").alias("at")).agg(F.sum("x.d").alias("d"))
+    return running(points, keys, "at", "d", "owners", stripe=stripe).filter("owners > 1 AND d > 0").select(*keys, "at", "owners")
+
+
 def quality(blocks: DataFrame, least_cds: int = 60, hard_intron: int = 4, soft_intron: int = 20) -> DataFrame:
     """(gid, tid, zero_reasons, half_reasons, notes, mask) by the rules on structure; reasons keep the order of the rules.
 

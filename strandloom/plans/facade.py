@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandloom.functions import track as tk
-from strandloom.operators import candidates, decode, intervals, orfs, tiling, training
+from strandloom.operators import candidates, decode, genes, intervals, orfs, tiling, training
 from strandloom.operators import gene_quality as gq
 from strandloom.plans.session import written
 from strandloom.sources import files, reports
@@ -73,6 +73,8 @@ def prepare(records: DataFrame, features: DataFrame, window: int = 40_960, flank
     # genes without a transcript are masked where they stand, others where their transcript does
     masks = labelling.filter("mask < 1").select(F.col("seqid").alias("chrom_id"), "strand", "s", "e", F.col("mask").alias("weight"))
     painted = cds.join(labelling.filter("mask > 0").select("tid", "gid", F.col("seqid").alias("chrom_id"), "strand"), "tid")
+    owned = written(painted.groupBy("chrom_id", "strand", "tid").agg(F.min("s").alias("s"), F.max("e").alias("e")), "owners")
+    files.require(genes.ownership_violations(owned, ["chrom_id", "strand"]), "labels")
     tiles = tiling.training_windows(records, window, flank, overlap, most_ambiguous).join(records.select("chrom_id", F.length("seq").cast("long").alias("chrom_length")), "chrom_id")
     return {"quality": quality, "genes": every, "labelling": labelling, "windows": training.labelled_windows(tiles, painted, masks, flank)}
 

@@ -224,3 +224,11 @@ def exon_lines(spark, sf_dir):
 SELECT gid AS number, 2 + 2 * n AS lines, n AS cds_lines FROM c""")
 def gene_lines(spark, sf_dir):
     return exon_lines(spark, sf_dir).groupBy("number").agg(F.count("*").alias("lines"), F.count_if(F.split("line", "\t")[2] == "CDS").alias("cds_lines"))
+
+
+@query("lbl_ownership", f"""WITH {views.GENES}, t AS (SELECT seqid, strand, tid, min(s) AS s, max(e) AS e FROM block GROUP BY ALL), p AS (SELECT seqid, strand, at_, sum(d) AS d FROM (SELECT seqid, strand, unnest([s, e]) AS at_, unnest([1, -1]) AS d FROM t) GROUP BY ALL),
+o AS (SELECT *, sum(d) OVER (PARTITION BY seqid, strand ORDER BY at_) AS owners FROM p) SELECT seqid, strand, at_ AS at, owners::BIGINT AS owners FROM o WHERE owners > 1 AND d > 0""")
+def ownership(spark, sf_dir):
+    """Where a base comes to belong to more than one transcript of a strand, by a sweep in stripes."""
+    spans = views.blocks(spark, sf_dir).groupBy("seqid", "strand", "tid").agg(F.min("s").alias("s"), F.max("e").alias("e"))
+    return gn.ownership_violations(spans, ["seqid", "strand"], 1 << 16)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from strandloom.operators import batches
 from strandloom.operators import candidates as cd
 from strandloom.plans import track_queries as tq
 from strandloom.plans.catalog import query
@@ -140,3 +141,10 @@ def first_occurrence(spark, sf_dir):
     order = Window.partitionBy("user_id", "event_type").orderBy("event_id")
     return table(spark, sf_dir, "events").withColumn("r", F.row_number().over(order)).filter("r = 1").select("user_id", "event_type", "event_id")
 
+
+
+@query("dst_batches", """WITH n AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS k, count(*) OVER () AS total FROM documents), p AS (SELECT doc_id, unnest(range(k, ((total + 20) // 21) * 21, total)) AS k, total FROM n)
+SELECT doc_id, k // 21 AS step, (k % 21 % 3)::INT AS rank, (k % 21 // 3)::INT AS slot, k >= total AS padding FROM p""")
+def full_batches(spark, sf_dir):
+    """Documents in batches of seven for each of three ranks, the last ones filled up."""
+    return batches.batches(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", 3, 7)
