@@ -142,12 +142,49 @@ def manifest_violations(manifest: DataFrame, track: DataFrame) -> DataFrame:
     return manifest_order_violations(manifest).unionByName(cover)
 
 
-def write_gff3(lines: DataFrame, path: str) -> None:
-    """(number, line_rank, line) as GFF3 text in order, in files whose names follow the order."""
-    ordered = lines.repartitionByRange("number").sortWithinPartitions("number", "line_rank")
-    ordered.select(F.when((F.col("line_rank") == 0) & (F.col("number") == 1), F.concat(F.lit("##gff-version 3\n"), "line")).when(F.col("line_rank") == 0, F.concat(F.lit("###\n"), "line")).otherwise(F.col("line")).alias("value")).write.text(path)
+def folder(spark: SparkSession, path: str):
+    """The file system of `path` and the path in it, as Hadoop knows them."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def write_gff3(lines: DataFrame, path: str, records: DataFrame | None = None) -> None:
+    """(chrom_id, number, line_rank, line) as GFF3 text in order, in files whose names follow the order.
+
+    The version comes first. With records (chrom_id, chrom_index, chrom_length) each record begins with
+    its sequence-region, those without genes too, and its genes follow; numbers go up with chrom_index.
+    Genes of a record are parted by ###.
+    """
+    head = F.lit("##gff-version 3")
+    if records is None:
+        own = lines.select(F.lit(0).cast("long").alias("of"), "number", "line_rank", F.when(F.col("line_rank") == 0, F.when(F.col("number") == 1, F.concat(head, F.lit("\n"), "line")).otherwise(F.concat(F.lit("###\n"), "line"))).otherwise(F.col("line")).alias("value"))
+    else:
+        region = F.concat(F.lit("##sequence-region "), "chrom_id", F.lit(" 1 "), F.col("chrom_length").cast("string"))
+        first = F.when(F.col("chrom_index") == 0, F.concat(head, F.lit("\n"), region)).otherwise(region)
+        regions = records.select(F.col("chrom_index").cast("long").alias("of"), F.lit(0).cast("long").alias("number"), F.lit(-1).alias("line_rank"), first.alias("value"))
+        placed = lines.join(records.select("chrom_id", F.col("chrom_index").cast("long").alias("of")), "chrom_id")
+        parted = F.when((F.col("line_rank") == 0) & (F.col("number") > 1), F.concat(F.lit("###\n"), "line")).otherwise(F.col("line"))
+        own = regions.unionByName(placed.select("of", F.col("number").cast("long").alias("number"), F.col("line_rank").cast("int").alias("line_rank"), parted.alias("value")))
+    own = written(own, "gff3-lines")  # ranges are drawn from what is written
+    own.repartitionByRange("of", "number").sortWithinPartitions("of", "number", "line_rank").select("value").write.text(path)
 
 
 def write_dataset(rows: DataFrame, path: str, shard_rows: int = 50_000, overwrite: bool = False) -> None:
-    """Rows as Parquet in shards; an existing dataset is kept unless `overwrite`."""
-    rows.write.option("maxRecordsPerFile", shard_rows).mode("overwrite" if overwrite else "ignore").parquet(path)
+    """Rows as Parquet in shards, written under a staged name and given theirs once they are whole.
+
+    An existing whole dataset is kept unless `overwrite`. One that isn't whole is an error, and so is a
+    dataset without rows.
+    """
+    spark, staged = rows.sparkSession, f"{path.rstrip('/')}.staged"
+    fs, where = folder(spark, path)
+    if fs.exists(where) and not overwrite:
+        if fs.exists(folder(spark, f"{path}/_SUCCESS")[1]):
+            return
+        raise Violation(f"{path} is there but incomplete")
+    rows.write.option("maxRecordsPerFile", shard_rows).mode("overwrite").parquet(staged)
+    if spark.read.schema(rows.schema).parquet(staged).isEmpty():
+        fs.delete(folder(spark, staged)[1], True)
+        raise Violation(f"{path} would have no rows")
+    fs.delete(where, True)
+    if not fs.rename(folder(spark, staged)[1], where):
+        raise Violation(f"{staged} can't be renamed to {path}")

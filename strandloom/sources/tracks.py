@@ -24,17 +24,10 @@ def manifest(windows: DataFrame) -> DataFrame:
     return found.select("chrom_id", F.expr(bases.group_name("chrom_id")).alias("group_name"), "chrom_length", "chrom_index", "num_windows")
 
 
-def _folder(spark: SparkSession, path: str):
-    """The file system of `path` and the path in it, as Hadoop knows them."""
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
-
-
 def staged(spark: SparkSession, path: str) -> str:
     """The name below which the track of `path` is written. What an earlier run left there, finished or not, is removed."""
     for old in (path, f"{path}.staged"):
-        fs, where = _folder(spark, old)
+        fs, where = files.folder(spark, old)
         fs.delete(where, True)
     return f"{path}.staged"
 
@@ -122,8 +115,8 @@ def finalise(spark: SparkSession, path: str, target: str) -> None:
     """Checks the track at `path`, marks it complete and gives it the name `target`. A track that fails stays incomplete and where it is."""
     validate(spark, path, status="incomplete")
     _status(spark, path, "complete", spark.read.parquet(f"{path}/chunks").count())
-    fs, where = _folder(spark, path)
-    if not fs.rename(where, _folder(spark, target)[1]):
+    fs, where = files.folder(spark, path)
+    if not fs.rename(where, files.folder(spark, target)[1]):
         raise files.Violation(f"{path} can't be renamed to {target}")
 
 
