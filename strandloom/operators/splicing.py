@@ -66,9 +66,10 @@ def best_donors(donors: DataFrame, acceptors: DataFrame, keys: list[str], min_in
     donors: (keys, phase, motif, split, pos, score), pos being the last base before the intron; acceptors:
     (keys, phase, motif, ahead, pos, ...), pos being the first base behind it, one row for each phase that
     they may have. A donor counts from pos + min_intron + 1 on. Motifs are GT, GC or AT, and AG or AC.
+    A donor whose split bases would lie before the record (null) is none.
     """
     ends = F.element_at(F.create_map(*[F.lit(x) for pair in ENDS.items() for x in pair]), F.col("motif"))
-    sent = donors.select(
+    sent = donors.filter("split IS NOT NULL").select(
         *keys, "phase", ends.alias("__end"), split_group(F.col("phase"), F.col("split")).alias("__group"), (F.col("pos") + min_intron + 1).alias("__at"), F.lit(0).alias("__kind"),
         F.struct("score", (-F.col("pos")).alias("back")).alias("__value"),
     ).filter("__end IS NOT NULL")

@@ -119,8 +119,9 @@ def sampled_thresholds(spark, sf_dir):
     return found.select("strand", "n", *[F.round(c, 6).alias(c) for c in ("mean", "sd", "t1", "t2", "t3")])
 
 
+#: Log odds in millionths: sums of whole numbers come out the same in any order, so equal donors are equal.
 _ORIENTED = f"""{T}, size AS (SELECT max(vec_id) + 1 AS n FROM embeddings), letter AS (SELECT vec_id AS pos, substr('ACGT', list_position(embedding[31:34], list_max(embedding[31:34]))::INT, 1) AS base FROM embeddings),
-o AS (SELECT strand, CASE WHEN strand = 0 THEN track.pos ELSE n - 1 - track.pos END AS i, CASE WHEN strand = 0 THEN base ELSE translate(base, 'ACGT', 'TGCA') END AS base, list_transform(p, lambda v: ln(greatest(v, 1e-7)) - ln(greatest(p[1], 1e-7))) AS odds
+o AS (SELECT strand, CASE WHEN strand = 0 THEN track.pos ELSE n - 1 - track.pos END AS i, CASE WHEN strand = 0 THEN base ELSE translate(base, 'ACGT', 'TGCA') END AS base, list_transform(p, lambda v: floor((ln(greatest(v, 1e-7)) - ln(greatest(p[1], 1e-7))) * 1000000.0::DOUBLE + 0.5::DOUBLE)::BIGINT) AS odds
     FROM track JOIN letter ON letter.pos = track.pos, size),
 s AS (SELECT *, sum(odds[2]) OVER w AS c0, sum(odds[3]) OVER w AS c1, sum(odds[4]) OVER w AS c2, lag(base) OVER w AS b1, lag(base, 2) OVER w AS b2, lead(base) OVER w AS f1, lead(base, 2) OVER w AS f2 FROM o WINDOW w AS (PARTITION BY strand ORDER BY i)),
 ph AS (SELECT s.*, phase, [c0, c1, c2][phase + 1] AS c FROM s, (SELECT unnest([0, 1, 2]) AS phase)),
@@ -130,15 +131,15 @@ pairs AS (SELECT a.strand, a.phase, a.motif, a.i AS acceptor, d.i AS donor, d.v
     AND a.motif = CASE d.motif WHEN 'AT' THEN 'AC' ELSE 'AG' END AND split || left(ahead, 3 - length(split)) NOT IN ('TAA', 'TAG', 'TGA'))"""
 
 
-@query("jon_best_introns", f"{_ORIENTED} SELECT strand, phase, acceptor, arg_max(donor, dv) AS donor, round(max(score), 5) AS score FROM pairs GROUP BY strand, phase, acceptor")
+@query("jon_best_introns", f"{_ORIENTED} SELECT strand, phase, acceptor, -max({{'v': dv, 'back': -donor}}).back AS donor, floor((max(score) + 5) / 10.0::DOUBLE) / 100000.0::DOUBLE AS score FROM pairs GROUP BY strand, phase, acceptor")
 def best_introns(spark, sf_dir):
-    """Each acceptor's best intron in each phase, scored by the track, on both strands; the twin lists all pairs."""
+    """Each acceptor's best intron in each phase, scored by the track, on both strands, in millionths; of equal donors the first. The twin lists all pairs."""
     letters = "element_at(array('A', 'C', 'G', 'T'), cast(array_position(slice(embedding, 31, 4), array_max(slice(embedding, 31, 4))) as int))"
     found = table(spark, sf_dir, "embeddings")
     n = found.agg(F.max("vec_id").alias("last")).scalar()
     base = found.select(F.col("vec_id").alias("pos"), F.expr(letters).alias("base"))
     plus = F.col("strand") == 0
-    o = track(spark, sf_dir).join(base, "pos").select("strand", F.when(plus, F.col("pos")).otherwise(n - F.col("pos")).alias("i"), F.when(plus, F.col("base")).otherwise(F.translate("base", "ACGT", "TGCA")).alias("base"), F.expr(tk.log_odds("p")).alias("odds"))
+    o = track(spark, sf_dir).join(base, "pos").select("strand", F.when(plus, F.col("pos")).otherwise(n - F.col("pos")).alias("i"), F.when(plus, F.col("base")).otherwise(F.translate("base", "ACGT", "TGCA")).alias("base"), F.expr(f"transform({tk.log_odds('p')}, v -> floor(v * 1000000.0D + 0.5D))").alias("odds"))
     # neighbours come by equal numbers, not by a window over the record
     near = o.select("strand", F.col("i").alias("at"), F.explode(F.array(*[F.struct((F.col("i") - k).alias("i"), F.lit(k).alias("k"), "base") for k in (-2, -1, 1, 2)])).alias("x")).groupBy("strand", F.col("x.i").alias("i")).agg(
         *[F.max(F.when(F.col("x.k") == k, F.col("x.base"))).alias(name) for k, name in ((-2, "b2"), (-1, "b1"), (1, "f1"), (2, "f2"))]
@@ -149,4 +150,4 @@ def best_introns(spark, sf_dir):
     own = F.element_at("odds", F.element_at(F.array(F.lit(13), F.lit(14), F.lit(12)), F.col("phase") + 1)) + F.col("c") - F.col("intron")
     acceptors = summed.select("strand", "phase", F.concat("b2", "b1").alias("motif"), F.col("i").alias("pos"), own.alias("own"), F.concat("base", F.coalesce("f1", F.lit(""))).alias("ahead")).filter("motif IN ('AG', 'AC')")
     best = splicing.best_donors(donors, acceptors, ["strand"], 20, 256)
-    return best.select("strand", "phase", F.col("pos").alias("acceptor"), "donor", F.round(F.col("own") + F.col("donor_score"), 5).alias("score"))
+    return best.select("strand", "phase", F.col("pos").alias("acceptor"), "donor", (F.floor((F.col("own") + F.col("donor_score") + 5) / F.lit(10.0)) / F.lit(100000.0)).alias("score"))

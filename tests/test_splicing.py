@@ -47,6 +47,28 @@ def test_best_donors(spark, stripe):
     assert got == want and len(got) > 20
 
 
+def test_donors_without_their_split_bases(spark):
+    d = spark.createDataFrame([("r", 1, "GT", None, 0, 9.0), ("r", 1, "GT", "CA", 5, 1.0)], "rec string, phase int, motif string, split string, pos long, score double")
+    a = spark.createDataFrame([("r", 1, "AG", "AC", 40)], "rec string, phase int, motif string, ahead string, pos long")
+    assert [(r.donor, r.donor_score) for r in splicing.best_donors(d, a, ["rec"]).collect()] == [(5, 1.0)]
+
+
+def test_equal_introns_far_into_a_track(spark, tmp_path):
+    """The query over vectors that repeat, where sums of fractions would tell equal donors apart, against its SQL."""
+    import duckdb
+
+    from strandloom.plans import catalog
+
+    catalog.load()
+    spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").createOrReplaceTempView("some_vectors")
+    spark.sql("SELECT row_number() OVER (ORDER BY k, vec_id) - 1L AS vec_id, embedding FROM (SELECT vec_id, embedding FROM some_vectors WHERE vec_id < 150), (SELECT explode(sequence(1, 20)) AS k)").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    found = catalog.QUERIES["jon_best_introns"](spark, f"file://{tmp_path}").select("strand", "phase", "acceptor", "donor", "score").collect()
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = con.execute(f"SELECT strand, phase, acceptor, donor, score FROM ({catalog.ORACLE['jon_best_introns']})").fetchall()
+    assert len(want) > 1000 and sorted(map(tuple, found)) == sorted(want)
+
+
 def test_thresholds_over_a_plan(spark):
     rng = random.Random(5)
     p = lambda: [0.3, 0.1] + [rng.random() / 20 for _ in range(13)]
