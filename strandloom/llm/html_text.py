@@ -8,9 +8,10 @@ A part is marked by a whole name in its class, id or role, which may be made of
 ("has-sidebar", "nav-open") tells of a state and drops nothing. Where all articles of a page stand
 inside marked parts, the marks are of their wrappers and the articles are taken.
 
-The streams of a host are then one text whose suffixes are compared: suffixes of LONG tokens, at both
-ends of every block and at the least hash of any WINDOW neighbours, so that equal runs keep the same
-ones; blocks shorter than LONG are compared whole. Equal prefixes are counted over the host's distinct
+The streams of a host are then one text whose suffixes are compared, LONG tokens of each, at every
+place; blocks shorter than LONG are compared whole. Equal suffixes have equal anchors, the least hash
+of ANCHOR neighbours in them, of which there are few: anchors are counted first, and only suffixes
+whose anchor is on enough pages are counted themselves. Equal prefixes are counted over the host's distinct
 streams (partial counts first, so that a menu of a large host is no hot key). What a share of the
 host's pages has is boilerplate: a small share on pages that mark no article, where all tokens it
 covers go and the unique runs are kept in page order; most of the host's pages inside an article,
@@ -40,8 +41,8 @@ from strandloom.llm.suffix_index import _parts, in_slots, slot_of, slots_of, win
 from strandloom.plans.session import table, written
 
 SQL = None
-#: Tokens of a suffix that are compared, and neighbours of which one suffix at least is kept.
-LONG, WINDOW = 12, 16
+#: Tokens of a suffix that are compared, and neighbours whose least hash is the suffix's anchor.
+LONG, ANCHOR = 12, 3
 #: Distinct pages of a host, and the share of them, that make a run boilerplate: on pages without an article, and inside one.
 FREE, INSIDE = (3, 0.1), (20, 0.6)
 #: Elements by what they do, and words in class, id or role that mark a part as no main text.
@@ -181,58 +182,80 @@ def parsed(pages: DataFrame, page: str, html: str) -> DataFrame:
     return chosen.mapInArrow(run, f"`{page}` {kinds[page]}, url {kinds['url']}, host long, stream long, inside boolean, blocks array<string>")
 
 
-def suffixes_of(streams: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(stream, at, n, key) of the suffixes of LONG tokens that are kept, and of all shorter blocks whole; streams count from 0, places in tokens."""
+def suffixes_of(streams: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(stream, at, n, key, anchor) of every suffix's first LONG tokens, and of all shorter blocks whole; streams count from 0, places in tokens.
+
+    The anchor is the least hash of ANCHOR neighbours inside the suffix, or a short block's key.
+    """
     words = [[w.encode() for b in blocks for w in b.split()] for blocks in streams]
     hashes = word_hashes(list(chain.from_iterable(words)))
-    keys = shingle_hashes(hashes, LONG)
-    keep, ends = np.zeros(len(keys), bool), np.cumsum([len(w) for w in words])
-    if len(keys) >= WINDOW:
-        least = window_minimum(keys, WINDOW)
-        for d in range(WINDOW):
-            keep[d : d + len(least)] |= keys[d : d + len(least)] == least
-    short, begin = [], 0
+    keys, ends = shingle_hashes(hashes, LONG), np.cumsum([len(w) for w in words])
+    parts = shingle_hashes(hashes, ANCHOR)
+    least = window_minimum(parts, LONG - ANCHOR + 1) if len(keys) else keys
+    starts = np.concatenate(([0], ends))
+    short = []
     for number, blocks in enumerate(streams):
-        own = begin
+        own = 0
         for block in blocks:
             n = block.count(" ") + 1
-            if n >= LONG:
-                keep[own] = keep[own + n - LONG] = True
-            else:
-                short.append((number, own - begin, n, xxhash.xxh3_64_intdigest(block, 1)))
+            if n < LONG:
+                short.append((number, own, n, xxhash.xxh3_64_intdigest(block, 1)))
             own += n
-        begin = own
-        keep[max(begin - LONG + 1, 0) : begin] = False  # these would run into the next stream
-    at = np.flatnonzero(keep)
-    number = np.searchsorted(ends, at, side="right")
-    starts = np.concatenate(([0], ends))[number]
-    found = [number, at - starts, np.full(len(at), LONG), keys[at]]
+    place = np.arange(len(keys))
+    number = np.searchsorted(ends, place, side="right")
+    inner = place + LONG <= starts[number + 1]  # others would run into the next stream
+    place, number = place[inner], number[inner]
+    found = [number, place - starts[number], np.full(len(place), LONG), keys[place], least[place]]
     more = [np.array(x, np.uint64) for x in zip(*short, strict=True)] if short else [np.zeros(0, np.uint64)] * 4
-    return tuple(np.concatenate((x.astype(y.dtype) if k < 3 else x, y)) for k, (x, y) in enumerate(zip(found, more, strict=True)))
+    return tuple(np.concatenate((x.astype(y.dtype) if k < 3 else x, y)) for k, (x, y) in enumerate(zip(found, [*more, more[3]], strict=True)))
+
+
+def of_host(key: np.ndarray, number: np.ndarray, hosts: np.ndarray) -> np.ndarray:
+    return mixed(key + hosts.view(np.uint64)[number])
+
+
+def small(anchor: np.ndarray) -> np.ndarray:
+    """Anchors in 32 bits: two in one let more through the filter, and lose nothing."""
+    return (anchor >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
+
+def anchors(streams: DataFrame) -> DataFrame:
+    """(host, anchor) of every suffix of every stream, once for a stream. streams: (host, stream, inside, blocks)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _parts(batches, 200):
+            hosts = part.column(0).to_numpy()
+            number, _, _, _, anchor = suffixes_of(part.column(3).to_pylist())
+            once = np.unique(number.astype(np.uint64) << np.uint64(32) | small(of_host(anchor, number, hosts)).view(np.uint32))
+            yield pa.RecordBatch.from_arrays([pa.array(hosts[(once >> np.uint64(32)).astype(np.int64)]), pa.array(once.astype(np.uint32).view(np.int32))], names=["host", "anchor"])
+
+    return streams.select("host", "stream", "inside", "blocks").mapInArrow(run, "host long, anchor int")
 
 
-def suffix_keys(streams: DataFrame) -> DataFrame:
-    """(host, key) of every kept suffix of every stream, once for a stream. streams: (host, stream, inside, blocks); key is of host and suffix."""
+def suffix_keys(streams: DataFrame, often: DataFrame) -> DataFrame:
+    """(host, key) of every suffix that has an anchor of `often`, once for a stream. streams: (host, stream, inside, blocks); key is of host and suffix."""
+    shared = streams.sparkSession.sparkContext.broadcast(slots_of(often.select(F.col("anchor").cast("long"))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _parts(batches, 200):
             hosts = part.column(0).to_numpy()
-            number, _, _, key = suffixes_of(part.column(3).to_pylist())
-            key = mixed(key + hosts.view(np.uint64)[number])
+            number, _, _, key, anchor = suffixes_of(part.column(3).to_pylist())
+            keep = in_slots(shared.value, slot_of(small(of_host(anchor, number, hosts)).astype(np.int64).view(np.uint64)))
+            number, key = number[keep], of_host(key[keep], number[keep], hosts)
             once = np.unique(np.rec.fromarrays((number, key)))
-            yield pa.RecordBatch.from_arrays([pa.array(hosts[once.f0]), pa.array(once.f1.view(np.int64))], names=["host", "key"])
+            yield pa.RecordBatch.from_arrays([pa.array(hosts[once.f0.astype(np.int64)]), pa.array(once.f1.view(np.int64))], names=["host", "key"])
 
     return streams.select("host", "stream", "inside", "blocks").mapInArrow(run, "host long, key long")
 
 
 def suffix_places(streams: DataFrame, keys: DataFrame) -> DataFrame:
-    """(host, stream, inside, key, at, n) of the suffixes with a key of `keys`; most others are kept from travelling by a filter of fixed size."""
+    """(host, stream, inside, key, at, n) of all suffixes with a key of `keys`; most others are kept from travelling by a filter of fixed size."""
     shared = streams.sparkSession.sparkContext.broadcast(slots_of(keys.select("key")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _parts(batches, 200):
-            number, at, n, key = suffixes_of(part.column(3).to_pylist())
-            key = mixed(key + part.column(0).to_numpy().view(np.uint64)[number])
+            number, at, n, key, _ = suffixes_of(part.column(3).to_pylist())
+            key = of_host(key, number, part.column(0).to_numpy())
             keep = in_slots(shared.value, slot_of(key))
             own = pa.array(number[keep].astype(np.int64))
             made = [pa.array(key[keep].view(np.int64)), pa.array(at[keep].astype(np.int32)), pa.array(n[keep].astype(np.int32))]
@@ -246,10 +269,11 @@ def boilerplate(found: DataFrame, free: tuple[int, float] = FREE, inside: tuple[
     same = found.groupBy("host", "stream").agg(F.min("row").alias("row"), F.count("*").alias("n"))
     copies = found.select("row", "host", "stream").join(same.filter("n > 1").select("host", "stream", F.col("row").alias("first")), ["host", "stream"]).filter("row <> first")
     streams = found.join(written(copies.select("row"), "copied-streams"), "row", "left_anti")
-    hosts = found.select("host", "stream").distinct().groupBy("host").agg(F.count("*").alias("pages"))
-    counts = suffix_keys(streams).groupBy("host", "key").agg(F.count("*").alias("n_pages")).filter(F.col("n_pages") >= free[0])
+    hosts = found.groupBy("host").agg(F.countDistinct("stream").alias("pages"), F.bool_or(~F.col("inside")).alias("open"))
     enough = lambda rule: (F.col("n_pages") >= rule[0]) & (F.col("n_pages") >= rule[1] * F.col("pages"))
-    often = written(counts.join(hosts, "host").filter(enough(free)).select("key", enough(inside).alias("most")), "boilerplate-keys")
+    counted = lambda keys, key: keys.groupBy("host", key).agg(F.count("*").alias("n_pages")).filter(F.col("n_pages") >= free[0]).join(hosts, "host").filter(enough(free) & (F.col("open") | enough(inside)))
+    known = written(counted(anchors(streams), "anchor").select("anchor"), "boilerplate-anchors")
+    often = written(counted(suffix_keys(streams, known), "key").select("key", enough(inside).alias("most")), "boilerplate-keys")
     places = suffix_places(streams, often).filter("most OR NOT inside")
     return places.groupBy("host", "stream").agg(F.collect_set(F.struct("at", "n")).alias("covered"))
 

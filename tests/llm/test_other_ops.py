@@ -99,6 +99,19 @@ def test_host_boilerplate(spark):
     assert got == {0: own[0], 1: own[1], 2: own[2], 3: f"{menu} {own[3]}", 4: menu, 5: own[2]}
 
 
+def test_runs_in_the_middle_of_blocks(spark):
+    """Runs of 12 to 26 tokens that other words surround, each on three pages of a host."""
+    pages, want = [], {}
+    for n in range(12, 27):
+        run = " ".join(f"r{n}x{k}" for k in range(n))
+        for k in range(3):
+            own = [" ".join(f"w{n}p{k}{side}{j}" for j in range(14 + 3 * k)) for side in "ab"]
+            pages.append((100 * n + k, f"http://h{n}.example/{k}", f"<body><p>{own[0]} {run} {own[1]}</p></body>"))
+            want[100 * n + k] = f"{own[0]} {own[1]}"
+    got = {r.page_id: r.text for r in html_text.main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got == want
+
+
 def plain_main_text(pages, free, inside):
     """Text by page, by a plain version: every run of LONG tokens and every shorter block of every stream is counted."""
     import re
