@@ -39,6 +39,20 @@ def test_decoded_genes_have_whole_codons(spark):
     assert rows and all(r.cds % 3 == 0 and r.cds >= 9 for r in rows)
 
 
+@pytest.mark.parametrize("name", ["win_longest_cds", "win_first_transcript", "win_marked_longest", "win_fail_several", "jon_gene_hierarchy", "snk_gene_lines"])
+def test_blocks_are_dealt_once(spark, name):
+    """Line items go to their gene's task once, and nothing that follows there moves them."""
+    plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    times = 2 if name == "snk_gene_lines" else 1
+    assert plan.count("REPARTITION_BY_NUM") == times and plan.count("Exchange hashpartitioning(") <= (6 if times == 2 else 2)
+
+
+def test_partitions_follow_the_rows(spark):
+    from strandloom.plans.session import dealt
+
+    assert dealt(spark.range(10_000), "id", 100).rdd.getNumPartitions() == 100 and dealt(spark.range(10), "id").rdd.getNumPartitions() == 4
+
+
 def test_contract(spark):
     import __spark_entry__ as contract
 
