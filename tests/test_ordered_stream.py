@@ -59,3 +59,16 @@ def test_missing_and_repeated_windows(spark, tmp_path):
     assert (1, 10, 10, "missing") in after and (2, 10, 10, "missing") in after and (3, 27, 40, "gap") in after and (4, 40, 50, None) in after
     last = send(1, 5)
     assert (1, 7, 20, "came before or too late") in last and (5, 50, 60, None) in last
+
+
+def test_state_is_kept_by_groups_of_records(spark, tmp_path):
+    """More records than groups, over two triggers: keys of the state are groups, and results those of one batch."""
+    rows, want = windows({f"r{k}": (50, 10) for k in range(1500)})
+    random.Random(3).shuffle(rows)
+    source, target, marks = (f"file://{tmp_path}/{k}" for k in ("in", "out", "marks"))
+    spark.createDataFrame(rows, DDL).repartition(2).write.parquet(source)
+    listed = spark.createDataFrame([(f"r{k}", 5) for k in range(1500)], "chrom_id string, num_windows long")
+    ordered.ingest(spark, source, target, marks, listed, 1)
+    assert collected(ordered.read(spark, target)) == sorted(want, key=str)
+    state = spark.read.format("statestore").option("stateVarName", "at").load(marks)
+    assert 0 < state.select("key").distinct().count() <= ordered.BUCKETS
