@@ -120,8 +120,8 @@ def label_safe(found: DataFrame, children: DataFrame) -> DataFrame:
     """
     spans = children.filter("type = 'cds'").groupBy("tid").agg(F.min("s").alias("cs"), F.max("e").alias("ce"))
     live = found.filter("mask > 0 AND tid <> ''").select("gid", "tid", "seqid", "strand").join(spans, "tid")
-    clash = gn.same_strand_conflicts(live.select("gid", "tid", "seqid", "strand", F.col("cs").alias("s"), F.col("ce").alias("e")))
-    lost = clash.select(F.explode(F.array("gid", "g2")).alias("gid")).distinct().withColumn("clash", F.lit(True))
+    clash = gn.conflicting_genes(live.select("gid", "seqid", "strand", F.col("cs").alias("s"), F.col("ce").alias("e")))
+    lost = clash.withColumn("clash", F.lit(True))
     out = found.join(lost, "gid", "left")
     reasons = F.when(F.col("clash"), F.array_union("zero_reasons", F.array(F.lit("same_strand_label_overlap")))).otherwise(F.col("zero_reasons"))
     return out.withColumns({"mask": F.when(F.col("clash"), 0.0).otherwise(F.col("mask")), "selected": F.col("selected") & F.col("clash").isNull(), "zero_reasons": reasons}).drop("clash")

@@ -140,3 +140,21 @@ def test_stream_state_tells_gaps():
     assert first.problem.tolist() == [None, None] and state.get == (60, 1)
     later = next(ingest.follow(("c",), iter([frame(("c", 100, 2, 70, 100))]), state))
     assert later.problem.tolist() == ["gap"] and state.get == (60, 1)
+
+
+@pytest.mark.parametrize("stripe", [1, 7, 64, 1 << 20])
+def test_conflicting_genes_without_pairs(spark, stripe):
+    import random
+
+    from strandloom.operators import genes
+
+    rng = random.Random(stripe)
+    rows = []
+    for k in range(160):
+        s = rng.randrange(900)
+        rows.append((k // 2, f"t{k}", rng.choice("xy") if k % 9 == 0 else "x", "+-"[k // 2 % 2], s, s + rng.choice((1, 2, 5, 30))))
+    frame = spark.createDataFrame(rows, "gid long, tid string, seqid string, strand string, s long, e long")
+    want = {g for a in rows for b in rows if a[0] != b[0] and a[2:4] == b[2:4] and a[4] < b[5] and b[4] < a[5] for g in (a[0], b[0])}
+    got = genes.conflicting_genes(frame, stripe)
+    assert sorted(r.gid for r in got.collect()) == sorted(want) and 5 < len(want) < 80
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
