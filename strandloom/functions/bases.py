@@ -45,18 +45,20 @@ def escape_attribute(value: str) -> str:
     return value
 
 
-def decoded(value: str) -> str:
-    """Percent codes undone; a plus stays, and so does a value with a malformed code."""
-    return f"coalesce(try_url_decode(replace({value}, '+', '%2B')), {value})"
+def decoded(value: str, within: str | None = None) -> str:
+    """Percent codes undone; a plus stays, and so does a value with a malformed code. `value` is part of `within`, if given."""
+    return f"CASE WHEN instr({within or value}, '%') = 0 THEN {value} ELSE coalesce(try_url_decode(replace({value}, '+', '%2B')), {value}) END"
 
 
 def attributes(text: str) -> str:
     """The map of a GFF3 or GTF attribute column. Parts are key=value, key "value" or a flag; the last of a repeated key wins; '.' is empty."""
-    pairs = f"""transform(filter(transform(split({text}, ';'), p -> trim(p)), p -> p <> '' AND p <> '.'), p ->
-        CASE WHEN instr(p, '=') > 0 THEN struct({decoded("trim(substring_index(p, '=', 1))")} AS k, {decoded("trim(substr(p, instr(p, '=') + 1))")} AS v)
-             WHEN instr(p, ' ') > 0 THEN struct({decoded("substring_index(p, ' ', 1)")} AS k, {decoded("trim(BOTH chr(34) FROM trim(substr(p, instr(p, ' ') + 1)))")} AS v)
-             ELSE struct({decoded("p")} AS k, '' AS v) END)"""
-    return f"map_from_entries(aggregate({pairs}, cast(array() as array<struct<k:string,v:string>>), (a, e) -> concat(filter(a, x -> x.k <> e.k), array(e))))"
+    key = "CASE WHEN instr(p, '=') > 0 THEN trim(substring_index(p, '=', 1)) WHEN instr(p, ' ') > 0 THEN substring_index(p, ' ', 1) ELSE p END"
+    value = """CASE WHEN instr(p, '=') > 0 THEN trim(substr(p, instr(p, '=') + 1)) WHEN instr(p, ' ') > 0 THEN trim(BOTH chr(34) FROM trim(substr(p, instr(p, ' ') + 1))) ELSE '' END"""
+    key, value = decoded(key, "p"), decoded(value, "p")
+    keys, values = f"transform(ps, p -> {key})", f"transform(ps, p -> {value})"
+    last = f"map_from_entries(aggregate(transform(ps, p -> struct({key} AS k, {value} AS v)), cast(array() as array<struct<k:string,v:string>>), (a, e) -> concat(filter(a, x -> x.k <> e.k), array(e))))"
+    parts = f"filter(transform(split({text}, ';'), p -> trim(p)), p -> p <> '' AND p <> '.')"
+    return f"get(transform(array({parts}), ps -> CASE WHEN size(ps) < 2 OR size(array_distinct({keys})) = size(ps) THEN map_from_arrays({keys}, {values}) ELSE {last} END), 0)"
 
 
 def ceil_div(a: str, b: str) -> str:

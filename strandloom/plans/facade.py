@@ -65,7 +65,7 @@ def prepare(records: DataFrame, features: DataFrame, window: int = 40_960, flank
     quality is what the rules say of the chosen transcripts and genes what becomes of every gene;
     labelling is quality with the genes masked whose labels would collide; windows are made from it.
     """
-    parts = files.hierarchy(files.identified(features))
+    parts = files.hierarchy(written(files.identified(features), "features"))  # attributes are parsed once
     parts = {name: written(df, name) for name, df in parts.items()}
     quality, every = gq.gene_quality(parts["genes"], parts["transcripts"], parts["children"], records, by)
     labelling = written(gq.label_safe(quality, parts["children"]), "labelling")

@@ -53,10 +53,15 @@ def _gff_lines(spark, sf_dir):
     g = views.genes(spark, sf_dir).withColumn("start", F.when(F.col("gid") % 97 == 0, F.lit("x")).otherwise((F.col("gs") + 1).cast("string")))
     gene = g.select(F.concat_ws(t, "seqid", F.lit("s"), F.lit("Gene"), "start", (F.col("gs") + 9000).cast("string"), F.lit("."), "strand", F.lit("."), F.concat(F.lit("ID=g"), "gid", F.lit(";Note=a%20b"))).alias("value"))
     b = views.blocks(spark, sf_dir)
-    tx = b.select("gid", "tid", "seqid", "strand", "gs" if "gs" in b.columns else F.lit(1).alias("gs")).distinct().filter("gid % 89 <> 0")
-    tx = tx.select(F.concat_ws(t, "seqid", F.lit("s"), F.lit("mRNA"), F.lit("1"), F.lit("2"), F.lit("."), "strand", F.lit("."), F.concat(F.lit("ID=t"), "tid", F.lit(";Parent=g"), "gid")).alias("value"))
-    cds = b.filter("e > s").select(F.concat_ws(t, "seqid", F.lit("s"), F.lit("CDS"), (F.col("s") + 1).cast("string"), F.col("e").cast("string"), F.lit("."), "strand", (F.col("rn") % 4).cast("string"), F.concat(F.lit("Parent=t"), "tid")).alias("value"))
-    return gene.unionByName(tx).unionByName(cds)
+    own = lambda kind, first, last, phase, text: F.concat_ws(t, "seqid", F.lit("s"), F.lit(kind), first, last, F.lit("."), "strand", phase, text)
+    tx = F.when((F.col("rn") == 1) & (F.col("gid") % 89 != 0), own("mRNA", F.lit("1"), F.lit("2"), F.lit("."), F.concat(F.lit("ID=t"), "tid", F.lit(";Parent=g"), "gid")))
+    cds = F.when(F.col("e") > F.col("s"), own("CDS", (F.col("s") + 1).cast("string"), F.col("e").cast("string"), (F.col("rn") % 4).cast("string"), F.concat(F.lit("Parent=t"), "tid")))
+    return gene.unionByName(_each(b, tx, cds))
+
+
+def _each(rows, *lines):
+    """(value): those of `lines` that a row has, made in one pass."""
+    return rows.select(F.explode(F.array(*lines)).alias("value")).filter("value IS NOT NULL")
 
 
 _GFF = f"""WITH {views.GENES}, okgene AS (SELECT gid FROM gene WHERE gid % 97 <> 0), cds AS (SELECT * FROM block WHERE e > s),
@@ -77,26 +82,23 @@ SELECT a.tid, a.gid, CASE WHEN gid LIKE 'gene_for_%' THEN cs ELSE least(0, coale
 def gff_hierarchy(spark, sf_dir):
     lines = _gff_lines(spark, sf_dir).withColumn("line_no", F.monotonically_increasing_id())
     parts = files.hierarchy(files.identified(files.features(lines)))
-    n = parts["children"].groupBy("tid").agg(F.count("*").alias("n"))
-    return parts["transcripts"].join(n, "tid", "left").select("tid", "gid", "s", "e", F.coalesce("n", F.lit(0)).alias("n"))
+    return parts["transcripts"].select("tid", "gid", "s", "e", F.col("children").alias("n"))
 
 
 def _gtf_lines(spark, sf_dir):
     """GTF lines: genes and pseudogenes but every fifth, transcripts that name their gene, coding blocks and start codons, and for every 13th gene an exon with the gene as its parent."""
     t, dot = "\t", F.lit(".")
-    line = lambda seqid, kind, s, e, strand, text: F.concat_ws(t, seqid, F.lit("s"), kind, (s + 1).cast("string"), e.cast("string"), dot, strand, dot, text).alias("value")
-    g = views.genes(spark, sf_dir)
-    gid, gs = F.col("gid"), F.col("gs")
+    line = lambda kind, s, e, text: F.concat_ws(t, "seqid", F.lit("s"), kind, (s + 1).cast("string"), e.cast("string"), dot, "strand", dot, text)
+    gid, gs, rn, s, e = map(F.col, ("gid", "gs", "rn", "s", "e"))
     named = F.concat(F.lit('gene_id "g'), gid, F.lit('"'))
-    gene = g.filter("gid % 5 <> 0").select(line(F.col("seqid"), F.when(gid % 7 == 0, "pseudogene").otherwise("gene"), gs, gs + 300, F.col("strand"), named))
-    exon = g.filter("gid % 13 = 0").select(line(F.col("seqid"), F.lit("exon"), gs + 5, gs + 5000, F.col("strand"), F.concat(F.lit("Parent=g"), gid)))
-    b = views.blocks(spark, sf_dir)
-    tx = b.select("gid", "tid").distinct().join(g, "gid")
-    tx = tx.select(line(F.col("seqid"), F.lit("transcript"), gs, gs + 200, F.col("strand"), F.concat(named, F.lit('; transcript_id "t'), "tid", F.lit('"'))))
+    gene = F.when(gid % 5 != 0, line(F.when(gid % 7 == 0, "pseudogene").otherwise("gene"), gs, gs + 300, named))
+    exon = F.when(gid % 13 == 0, line(F.lit("exon"), gs + 5, gs + 5000, F.concat(F.lit("Parent=g"), gid)))
+    begin = s - 500 * rn  # of the gene
+    tx = F.when(rn == 1, line(F.lit("transcript"), begin, begin + 200, F.concat(named, F.lit('; transcript_id "t'), "tid", F.lit('"'))))
     own = F.concat(F.lit('transcript_id "t'), F.col("tid"), F.lit('"'))
-    cds = b.filter("e > s").select(line(F.col("seqid"), F.lit("CDS"), F.col("s"), F.col("e"), F.col("strand"), own))
-    start = b.filter("rn = 1").select(line(F.col("seqid"), F.lit("start_codon"), F.col("s"), F.col("s") + 3, F.col("strand"), own))
-    return gene.unionByName(exon).unionByName(tx).unionByName(cds).unionByName(start)
+    cds = F.when(e > s, line(F.lit("CDS"), s, e, own))
+    start = F.when(rn == 1, line(F.lit("start_codon"), s, s + 3, own))
+    return _each(views.genes(spark, sf_dir), gene, exon).unionByName(_each(views.blocks(spark, sf_dir), tx, cds, start))
 
 
 @query("src_gtf_hierarchy", f"""WITH {views.GENES}, tx AS (SELECT DISTINCT b.gid, tid, gs FROM block b JOIN gene g ON b.gid = g.gid),
@@ -108,8 +110,7 @@ UNION ALL SELECT 'gene', 'gene_for_g' || gid, NULL, gs + 5, gs + 5000, 0 FROM ge
 def gtf_hierarchy(spark, sf_dir):
     lines = _gtf_lines(spark, sf_dir).withColumn("line_no", F.monotonically_increasing_id())
     parts = files.hierarchy(files.identified(files.features(lines)))
-    n = parts["children"].groupBy("tid").agg(F.count("*").alias("n"))
-    tx = parts["transcripts"].join(n, "tid", "left").select(F.lit("transcript").alias("kind"), F.col("tid").alias("id"), "gid", "s", "e", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+    tx = parts["transcripts"].select(F.lit("transcript").alias("kind"), F.col("tid").alias("id"), "gid", "s", "e", F.col("children").alias("n"))
     return tx.unionByName(parts["genes"].select(F.lit("gene").alias("kind"), F.col("gid").alias("id"), F.lit(None).cast("string").alias("gid"), "s", "e", F.lit(0).cast("long").alias("n")))
 
 

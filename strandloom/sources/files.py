@@ -61,8 +61,8 @@ def features(lines: DataFrame) -> DataFrame:
     Blank lines, comments, lines without nine columns or with coordinates that aren't numbers, begin
     below 1 or end before they begin are left out. Starts become 0-based.
     """
-    c = F.split("value", "\t")
-    cut = lines.filter((F.trim("value") != "") & ~F.col("value").startswith("#")).withColumn("c", c).filter(F.size("c") == 9)
+    # exploded, so that filters on columns don't cut the line anew
+    cut = lines.filter((F.trim("value") != "") & ~F.col("value").startswith("#")).select("line_no", F.explode(F.array(F.split("value", "\t"))).alias("c")).filter(F.size("c") == 9)
     cut = cut.withColumn("a", F.expr("try_cast(get(c, 3) as bigint)")).withColumn("b", F.expr("try_cast(get(c, 4) as bigint)")).filter("a IS NOT NULL AND b IS NOT NULL AND a >= 1 AND b >= a")
     return cut.select("line_no", F.expr("get(c, 0)").alias("seqid"), F.lower(F.expr("get(c, 2)")).alias("type"), (F.col("a") - 1).alias("s"), F.col("b").alias("e"), F.expr("get(c, 6)").alias("strand"), F.expr("CASE WHEN get(c, 7) IN ('0', '1', '2') THEN cast(get(c, 7) as int) END").alias("phase"), F.expr(bases.attributes("get(c, 8)")).alias("attributes"))
 
@@ -73,12 +73,12 @@ def identified(found: DataFrame) -> DataFrame:
     listed = lambda kinds: ", ".join(map(repr, kinds))
     made = f"concat(CASE WHEN type IN ({listed(GENES)}) THEN 'gene' WHEN type IN ({listed(TRANSCRIPTS)}) THEN 'transcript' ELSE type END, '@', line_no)"
     return found.withColumn("id", F.expr(f"coalesce({a('ID')}, {a('transcript_id')}, {a('gene_id')}, {a('Name')}, {made})")).withColumn(
-        "parents", F.expr(f"filter(split(coalesce({a('Parent')}, {a('parent')}, CASE WHEN type IN ({listed(CHILDREN)}) THEN {a('transcript_id')} END, ''), ','), p -> p <> '')")
+        "parents", F.expr(f"array_remove(split(coalesce({a('Parent')}, {a('parent')}, CASE WHEN type IN ({listed(CHILDREN)}) THEN {a('transcript_id')} END, ''), ','), '')")
     )
 
 
 def hierarchy(found: DataFrame) -> dict[str, DataFrame]:
-    """genes (gid, seqid, strand, s, e, attributes, parse_index), transcripts (tid, gid, seqid, strand, s, e, attributes, parse_index) and children (tid, type, s, e, phase, attributes) of identified features.
+    """genes (gid, seqid, strand, s, e, attributes, parse_index), transcripts (tid, gid, seqid, strand, s, e, attributes, parse_index, children: how many) and children (tid, type, s, e, phase, attributes) of identified features.
 
     A transcript belongs to its first parent, else to its gene_id, else to a gene named after it. A
     child goes to each of its parents: to a transcript, to the implicit transcript of a gene, which
@@ -86,30 +86,49 @@ def hierarchy(found: DataFrame) -> dict[str, DataFrame]:
     that only transcripts or children name are made with the span of the first of them. Of several
     lines with one id the last counts; children without a parent are dropped. A transcript's span
     reaches over its children.
+
+    What lines say of one name, as its own or as a parent's, meets in one aggregation, which is
+    written. `children` goes through `found` again: write it first if they are wanted.
     """
-    found = written(found, "features")  # attributes are parsed once
-    last = lambda df, key: df.groupBy(key).agg(F.max_by(F.struct("gid", "seqid", "strand", "s", "e", "attributes", "line_no"), "line_no").alias("x"))
-    genes = last(found.filter(F.col("type").isin(*GENES)).withColumn("gid", F.col("id")), "id").select("x.gid", "x.seqid", "x.strand", "x.s", "x.e", "x.attributes", F.col("x.line_no").alias("parse_index"))
-    own = F.expr("coalesce(try_element_at(parents, 1), attributes['gene_id'], concat('gene_for_', id))")
-    tx = last(found.filter(F.col("type").isin(*TRANSCRIPTS)).withColumn("gid", own), "id").select(F.col("id").alias("tid"), "x.*")
-    child = found.filter(F.col("type").isin(*CHILDREN)).select("type", "seqid", "strand", "s", "e", "phase", "attributes", "line_no", F.explode("parents").alias("parent"))
-    child = child.join(tx.select(F.col("tid").alias("parent"), F.lit(True).alias("is_tx")), "parent", "left").join(genes.select(F.col("gid").alias("parent"), F.struct("seqid", "strand", "s", "e").alias("gene")), "parent", "left")
-    of_gene = F.col("is_tx").isNull() & F.col("gene").isNotNull()
-    child = child.withColumn("tid", F.when(of_gene, F.concat("parent", F.lit(".implicit_transcript"))).otherwise(F.col("parent")))
-    # what an implicit transcript begins with: its gene's span, or its first child's
-    first = F.when(of_gene, F.struct("parent", "gene.seqid", "gene.strand", "gene.s", "gene.e", "line_no")).otherwise(F.struct(F.concat(F.lit("gene_for_"), "parent").alias("parent"), "seqid", "strand", "s", "e", "line_no"))
-    made = child.filter("is_tx IS NULL").groupBy("tid").agg(F.min_by(first, "line_no").alias("x"))
+    names = written(_by_name(found), "names")
+    of_gene = F.expr("tx IS NULL AND gene IS NOT NULL")
+    implicit = ".implicit_transcript"
     none = F.expr("cast(map() as map<string,string>)")
-    made = made.select("tid", F.col("x.parent").alias("gid"), "x.seqid", "x.strand", "x.s", "x.e", none.alias("attributes"), "x.line_no")
-    # where a gene's implicit transcript has the name of a line's, the line's counts
-    made = made.join(tx.select("tid"), "tid", "left_anti")
-    begun = tx.unionByName(made)
-    unknown = begun.join(genes.select("gid"), "gid", "left_anti").groupBy("gid").agg(F.min_by(F.struct("seqid", "strand", "s", "e", "line_no"), "line_no").alias("x"))
+    begin = lambda gid, at, line: F.struct(gid.alias("gid"), *[at[c].alias(c) for c in ("seqid", "strand", "s", "e")], none.alias("attributes"), line.alias("line_no"))
+    # what an implicit transcript begins with: its gene's span, or its first child's
+    first = F.col("first")
+    made = F.when(of_gene, begin(F.col("name"), F.col("gene"), first["line_no"])).otherwise(begin(F.concat(F.lit("gene_for_"), "name"), first, first["line_no"]))
+    held = names.filter("tx IS NOT NULL OR n > 0").select(
+        F.when(of_gene, F.concat("name", F.lit(implicit))).otherwise(F.col("name")).alias("tid"), F.coalesce("tx", made).alias("x"), F.col("tx").isNull().alias("new"), "cs", "ce", "n"
+    )
+    # where a gene's implicit transcript has the name of a line's, the line's counts, and children of both are its own
+    both = held.filter(F.col("tid").endswith(implicit)).groupBy("tid").agg(F.min_by("x", F.struct("new", "x.line_no")).alias("x"), F.min("cs").alias("cs"), F.max("ce").alias("ce"), F.sum("n").alias("n"))
+    begun = held.filter(~F.col("tid").endswith(implicit)).select(*both.columns).unionByName(both)
+    spans = begun.select("tid", "x.gid", "x.seqid", "x.strand", F.least("x.s", "cs").alias("s"), F.greatest("x.e", "ce").alias("e"), "x.attributes", F.col("x.line_no").alias("parse_index"), F.col("n").alias("children"))
+    genes = names.filter("gene IS NOT NULL").select(F.col("name").alias("gid"), "gene.seqid", "gene.strand", "gene.s", "gene.e", "gene.attributes", F.col("gene.line_no").alias("parse_index"))
+    unknown = begun.select("x.gid", "x.seqid", "x.strand", "x.s", "x.e", "x.line_no").join(genes.select("gid"), "gid", "left_anti")
+    unknown = unknown.groupBy("gid").agg(F.min_by(F.struct("seqid", "strand", "s", "e", "line_no"), "line_no").alias("x"))
     after = F.lit(1 << 62)  # made genes come behind those of the file
     every = genes.unionByName(unknown.select("gid", "x.seqid", "x.strand", "x.s", "x.e", none.alias("attributes"), (after + F.col("x.line_no")).alias("parse_index")))
-    reach = child.groupBy("tid").agg(F.min("s").alias("cs"), F.max("e").alias("ce"))
-    spans = begun.join(reach, "tid", "left").select("tid", "gid", "seqid", "strand", F.least("s", "cs").alias("s"), F.greatest("e", "ce").alias("e"), "attributes", F.col("line_no").alias("parse_index"))
-    return {"genes": every, "transcripts": spans, "children": child.select("tid", "type", "s", "e", "phase", "attributes")}
+    renamed = names.filter(of_gene & (F.col("n") > 0)).select(F.col("name").alias("parent"), F.concat("name", F.lit(implicit)).alias("renamed"))
+    child = found.filter(F.col("type").isin(*CHILDREN)).select("type", "s", "e", "phase", "attributes", F.explode("parents").alias("parent")).join(renamed, "parent", "left")
+    return {"genes": every, "transcripts": spans, "children": child.select(F.coalesce("renamed", "parent").alias("tid"), "type", "s", "e", "phase", "attributes")}
+
+
+def _by_name(found: DataFrame) -> DataFrame:
+    """(name, gene, tx, first, cs, ce, n) of every id of a gene or transcript and every parent of a child: its last gene and transcript line, and first line, span and number of its children."""
+    of = {k: F.col("type").isin(*kinds) for k, kinds in (("gene", GENES), ("tx", TRANSCRIPTS), ("child", CHILDREN))}
+    own = F.expr("coalesce(try_element_at(parents, 1), attributes['gene_id'], concat('gene_for_', id))")
+    role = F.when(of["gene"], "gene").when(of["tx"], "tx").when(of["child"], "child").alias("role")
+    at = ["seqid", "strand", "s", "e"]
+    lines = found.filter(F.col("type").isin(*GENES, *TRANSCRIPTS, *CHILDREN)).select(
+        role, F.when(of["tx"], own).alias("gid"), *at, F.when(~of["child"], F.col("attributes")).alias("attributes"), "line_no", F.explode(F.when(of["child"], F.col("parents")).otherwise(F.array("id"))).alias("name")
+    )
+    if_ = lambda role, c: F.when(F.col("role") == role, F.col(c))
+    return lines.groupBy("name").agg(
+        F.max_by(F.struct(*at, "attributes", "line_no"), if_("gene", "line_no")).alias("gene"), F.max_by(F.struct("gid", *at, "attributes", "line_no"), if_("tx", "line_no")).alias("tx"),
+        F.min_by(F.struct(*at, "line_no"), if_("child", "line_no")).alias("first"), F.min(if_("child", "s")).alias("cs"), F.max(if_("child", "e")).alias("ce"), F.count(if_("child", "line_no")).alias("n"),
+    )
 
 
 def windows_tsv(spark: SparkSession, path: str) -> DataFrame:

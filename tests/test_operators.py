@@ -106,6 +106,22 @@ def test_hierarchy_of_gtf_and_pseudogenes(spark):
     assert order == ["P1", "G1", "gene_for_transcript@7", "gene_for_U1"]
 
 
+def test_hierarchy_meets_once_by_name(spark):
+    """Children are counted and reached over where their transcripts' lines are, without joins; an implicit transcript and a line or parent of its name are one."""
+    text = [
+        "c\ts\tgene\t1\t99\t.\t+\t.\tID=G1", "c\ts\texon\t20\t30\t.\t+\t.\tParent=G1", "c\ts\texon\t90\t120\t.\t+\t.\tParent=G1.implicit_transcript",
+        "c\ts\tgene\t1\t9\t.\t-\t.\tID=G2", "d\ts\tmRNA\t4\t5\t.\t+\t.\tID=G2.implicit_transcript;Parent=G3", "c\ts\tCDS\t2\t3\t.\t-\t0\tParent=G2,T4", "c\ts\tCDS\t7\t8\t.\t-\t0\tParent=T4",
+        "c\ts\tmRNA\t40\t50\t.\t+\t.\tID=T5;Parent=G1",
+    ]
+    parts = files.hierarchy(files.identified(files.features(spark.createDataFrame(list(enumerate(text, 1)), "line_no long, value string"))))
+    plan = parts["transcripts"]._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange hashpartitioning(") == 1
+    got = {(r.tid, r.gid, r.seqid, r.s, r.e, r.children) for r in parts["transcripts"].collect()}
+    assert got == {("G1.implicit_transcript", "G1", "c", 0, 120, 2), ("G2.implicit_transcript", "G3", "d", 1, 5, 1), ("T4", "gene_for_T4", "c", 1, 8, 2), ("T5", "G1", "c", 39, 50, 0)}
+    assert sorted((r.tid, r.s) for r in parts["children"].collect()) == [("G1.implicit_transcript", 19), ("G1.implicit_transcript", 89), ("G2.implicit_transcript", 1), ("T4", 1), ("T4", 6)]
+    assert {(r.gid, r.s, r.e) for r in parts["genes"].collect()} == {("G1", 0, 99), ("G2", 0, 9), ("G3", 3, 5), ("gene_for_T4", 1, 3)}
+
+
 def test_sums_before(spark):
     rows = [(k * 3 % 101, k % 7) for k in range(101)]
     got = {r.k: r.before for r in ranks.sums_before(spark.createDataFrame(rows, "k long, n long"), "k", "n", "before").collect()}
