@@ -16,8 +16,9 @@ import heapq
 import json
 import os
 import re
+import struct
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from functools import cache
 from typing import Any
 from unicodedata import is_normalized
@@ -35,8 +36,8 @@ CAPACITY = 4096
 END = 2
 #: Pieces of a group, on average.
 GROUP = 1000
-#: Bytes of chunks, and of letters without marks, whose ids a worker remembers.
-KNOWN, CORES = 72 << 20, 36 << 20
+#: Bytes of chunks, letters without marks among them, whose ids a worker remembers.
+KNOWN = 108 << 20
 PIECES = "start long, length long, ids_crc32 long, doc_tokens long"
 
 
@@ -47,22 +48,26 @@ class Chunks:
     LETTERS = re.compile(r"([^\W\d_]+)([.,!?;:#$%&*|]*)")
 
     def __init__(self, model: Any) -> None:
-        self.model, self.marks = model, str.maketrans({chr(b): c for b, c in enumerate(byte_letters())})
-        self.known, self.cores = Remembered(self.made, KNOWN), Remembered(self.core, CORES)
+        self.model, self.bpe, self.marks = model, model.model, str.maketrans({chr(b): c for b, c in enumerate(byte_letters())})
+        self.known = Remembered(self.made, KNOWN)
 
     def core(self, letters: str) -> bytes:
         """By the model alone, for letters that the normalizer and the splitter would leave as they are."""
-        return self.packed(x.id for x in self.model.model.tokenize(letters.encode().decode("latin-1").translate(self.marks)))
+        if not letters.isascii():  # ASCII letters stand for themselves
+            letters = letters.encode().decode("latin-1").translate(self.marks)
+        return self.packed([x.id for x in self.bpe.tokenize(letters)])
 
     def made(self, chunk: str) -> bytes:
+        if chunk.isalpha() and chunk.islower():
+            return self.core(chunk)
         found = self.LETTERS.fullmatch(chunk)
-        if found and found[1].isalpha() and found[1].islower():
-            return self.cores[found[1]] + self.known[found[2]] if found[2] else self.cores[found[1]]
+        if found and found[2] and found[1].isalpha() and found[1].islower():
+            return self.known[found[1]] + self.known[found[2]]
         return self.packed(self.model.encode(chunk, add_special_tokens=False).ids)
 
     @staticmethod
-    def packed(ids: Iterable[int]) -> bytes:
-        return np.fromiter(ids, "<u4").tobytes()
+    def packed(ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}I", *ids)
 
 
 def byte_letters() -> list[str]:

@@ -127,3 +127,22 @@ def test_packing_with_another_vocabulary(spark):
     for k, t in enumerate(texts):
         ids = np.array([*model.encode(t or "", add_special_tokens=False).ids, 2], "<u4")
         assert got[k] == (len(ids), zlib.crc32(ids.tobytes()))
+
+
+def test_letters_are_remembered_once(spark):
+    """A chunk's letters are held where they stand alone too, ASCII ones aren't mapped, and ids are the tokenizer's own."""
+    import numpy as np
+    import public_tokenizers
+
+    from strandloom.llm import packing
+
+    encoder = packing.Encoder(str(public_tokenizers.path("word_bpe_49k.json")))
+    chunks = encoder.chunks.make.__self__
+    made = []
+    core = chunks.core
+    chunks.core = lambda letters: made.append(letters) or core(letters)
+    for chunk in ["over", "over,", "over.", "flußes;", "flußes", "it's", "don't,", "x1", "éa", "１", "a_b", "_", "ǆ", "ﬁx", "ʰ"]:
+        assert chunks.known[chunk] == np.array(encoder.model.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
+    assert made.count("over") == made.count("flußes") == 1 and {"over", "flußes"} <= set(chunks.known)
+    chunks.marks = None
+    assert core("plain") == np.array(encoder.model.encode("plain", add_special_tokens=False).ids, "<u4").tobytes()
