@@ -9,6 +9,9 @@ The rejection bands aren't set by hand: for each language, and for each script w
 not given or too rare, the quartiles of every measure over all documents that pass the base rules
 give Tukey fences, and a document outside one of them is rejected. Quartiles stand a quarter of noise.
 
+Both public vocabularies never look across a space between words, so the distinct words of some
+documents are cut once and their ids dealt to the documents; other vocabularies get whole texts.
+
 Two passes: the measures are made once without a shuffle and written, then quartiles are aggregated
 (partial ones first, so a common language is no hot key) and joined back by language and script.
 """
@@ -16,6 +19,7 @@ Two passes: the measures are made once without a shuffle and written, then quart
 from __future__ import annotations
 
 import base64
+import re
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Callable, Iterator
@@ -24,6 +28,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,8 +38,12 @@ from strandloom.plans.session import table, written
 SQL = None
 SPACE, SYMBOLS = " \t\n\v\f\r", "#*$%&|<>"
 LEAST_WORDS, MOST_REPEATED = 50, 50
-#: Words that a tokenizer gets at a time. A cut between words changes no token.
-CHUNK = 1 << 15
+#: Words of the documents that are measured together, and words that a tokenizer gets at a time.
+WORDS, TOGETHER = 1 << 16, 1 << 10
+#: Fixed value: a splitting pattern whose parts hold a space only as their first character, or among white space.
+WORDWISE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: White space that isn't between words, and what stands for a space in pieces; a text with them is cut whole.
+ODD = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\u2581]")
 #: Documents that a language or script must have for bands of its own.
 LEAST_GROUP = 50
 #: Quartile distances from the quartiles to the fences, below and above, and the least distance as a share of the median.
@@ -75,42 +84,88 @@ def measures_of(names: list[str]) -> list[str]:
     return [f"{name}_{m}" for name in names for m in ("chars", "bytes", "entropy")]
 
 
+class Cutter(NamedTuple):
+    """A vocabulary's encoder, for each id whether it stands for bytes and no whole characters and whether it begins with a space, whether a text's ids are those of its words, each with a space in front, and whether the first has one, too."""
+
+    encode: Callable[[str], list[int]]
+    partial: np.ndarray
+    spaced: np.ndarray
+    wordwise: bool
+    first: bool
+
+    def whole(self, words: list[bytes]) -> np.ndarray:
+        """The ids of the words, one space between them."""
+        return np.array(self.encode(b" ".join(words).decode()), np.int64)
+
+    def each(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words, each with a space in front, and where each word's begin: an id begins with a space there only."""
+        found = [np.zeros(0, np.int64)]
+        for k in range(0, len(words), TOGETHER):
+            part = words[k : k + TOGETHER]
+            found.append(self.whole(part if self.first else [b"", *part]))
+        ids = np.concatenate(found)
+        return ids, np.flatnonzero(self.spaced[ids])
+
+
 @cache
-def loaded(vocabulary: Vocabulary) -> tuple[Callable[[str], list[int]], np.ndarray]:
-    """What cuts a text into ids, and for each id whether it stands for bytes and no whole characters. A worker keeps it for its next task."""
+def loaded(vocabulary: Vocabulary) -> Cutter:
     if vocabulary.path.endswith(".model"):
-        from sentencepiece import SentencePieceProcessor
-
-        model = SentencePieceProcessor(model_file=vocabulary.path)
-        return (lambda text: model.encode(text, num_threads=1)), np.array([model.is_byte(k) for k in range(model.get_piece_size())])
+        from sentencepiece import SentencePieceProcessor, sentencepiece_model_pb2
+
+        model, proto = SentencePieceProcessor(model_file=vocabulary.path), sentencepiece_model_pb2.ModelProto()
+        with open(vocabulary.path, "rb") as said:
+            proto.ParseFromString(said.read())
+        rules, trained, kinds = proto.normalizer_spec, proto.trainer_spec, proto.SentencePiece
+        wordwise = trained.model_type == trained.BPE and not trained.treat_whitespace_as_suffix and rules.add_dummy_prefix and rules.escape_whitespaces and not rules.precompiled_charsmap
+        # a piece with a space behind its first character would lie in two words, but for those of spaces alone
+        wordwise = wordwise and not any(p.type == kinds.USER_DEFINED or "\u2581" in p.piece[1:] and p.piece.strip("\u2581") for p in proto.pieces) and "\u2581" in {p.piece for p in proto.pieces}
+        return Cutter((lambda text: model.encode(text, num_threads=1)), np.array([model.is_byte(k) for k in range(model.get_piece_size())]), np.array([p.piece.startswith("\u2581") for p in proto.pieces]), wordwise, True)
     import tiktoken
 
     with open(vocabulary.path, "rb") as lines:
         ranks = {base64.b64decode(piece): int(rank) for piece, rank in map(bytes.split, lines)}
-    partial = np.zeros(max(ranks.values()) + 1, bool)
+    partial, spaced = np.zeros((2, max(ranks.values()) + 1), bool)
     for piece, rank in ranks.items():
+        spaced[rank] = piece.startswith(b" ")
         try:
             piece.decode()
         except UnicodeDecodeError:
             partial[rank] = True
-    return tiktoken.Encoding(vocabulary.name, pat_str=vocabulary.pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary, partial
+    return Cutter(tiktoken.Encoding(vocabulary.name, pat_str=vocabulary.pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary, partial, spaced, vocabulary.pattern == WORDWISE and b" " in ranks, False)
 
 
 def repeated_words(words: list[bytes]) -> int:
     """Words inside 3-word windows that are found twice or more."""
-    number: dict[bytes, int] = {}
-    ids = np.fromiter((number.setdefault(w, len(number)) for w in words), np.int64, len(words))
-    if len(ids) < 4 or len(number) == len(ids):
+    number = dict(zip(dict.fromkeys(words), range(len(words)), strict=False))
+    return repeated(np.fromiter(map(number.__getitem__, words), np.int64, len(words)), len(number))
+
+
+def repeated(ids: np.ndarray, distinct: int) -> int:
+    """`repeated_words` of words given as numbers below `distinct`."""
+    if len(ids) < 4:
         return 0
-    pairs = np.unique(ids[:-1] * len(number) + ids[1:], return_inverse=True)[1].astype(np.int64)
-    _, at, times = np.unique(pairs[:-1] * len(number) + ids[2:], return_inverse=True, return_counts=True)
-    twice = times[at] > 1
+    if distinct < 1 << 21:
+        windows = (ids[:-2] * distinct + ids[1:-1]) * distinct + ids[2:]
+        inorder = np.sort(windows)
+        again = inorder[1:][inorder[1:] == inorder[:-1]]
+        if not len(again):
+            return 0
+        twice = again[np.minimum(np.searchsorted(again, windows), len(again) - 1)] == windows
+    else:
+        twice = twice_of_many(ids, distinct)
     inside = np.zeros(len(ids), bool)
     for k in range(3):
         inside[k : len(ids) - 2 + k] |= twice
     return int(inside.sum())
 
 
+def twice_of_many(ids: np.ndarray, distinct: int) -> np.ndarray:
+    """Whether the 3-word window at each place is found twice or more, where three numbers don't fit in 63 bits."""
+    pairs = np.unique(ids[:-1] * distinct + ids[1:], return_inverse=True)[1].astype(np.int64)
+    _, at, times = np.unique(pairs[:-1] * distinct + ids[2:], return_inverse=True, return_counts=True)
+    return times[at] > 1
+
+
 def script_of(text: str) -> str | None:
     """The script of most letters; of two with as many the first in the alphabet."""
     if text.isascii():
@@ -122,39 +177,70 @@ def script_of(text: str) -> str | None:
     return min(found, key=lambda s: (-found[s], s)) if found else None
 
 
-def token_measures(words: list[bytes], word_chars: int, encode: Callable[[str], list[int]], partial: np.ndarray) -> tuple[float, float, float]:
+def token_measures(ids: np.ndarray, word_chars: int, partial: np.ndarray) -> tuple[float, float, float]:
     """(characters per token, share of byte tokens, entropy as a share of the most that so many tokens can have)."""
-    ids, counts = [], []
-    for begin in range(0, len(words), CHUNK):
-        said = (b" " if begin else b"") + b" ".join(words[begin : begin + CHUNK])
-        found = np.unique(np.array(encode(said.decode()), np.int64), return_counts=True)
-        ids.append(found[0])
-        counts.append(found[1])
-    if len(ids) > 1:
-        every, at = np.unique(np.concatenate(ids), return_inverse=True)
-        each = np.bincount(at, weights=np.concatenate(counts))
-    else:
-        every, each = ids[0], counts[0]
-    n = max(int(each.sum()), 1)
+    every, each = np.unique(ids, return_counts=True)
+    n = max(len(ids), 1)
     share = each / n
     entropy = float(-(share * np.log2(share)).sum()) / max(float(np.log2(n)), 1.0)
     return word_chars / n, float(share[partial[every]].sum()), entropy
 
 
-def measured(text: str | None, cutters: list[tuple[Callable[[str], list[int]], np.ndarray]]) -> tuple:
-    """The base counts of one text in the order of BASE, then the measures of each vocabulary; a text without words has none."""
-    text = text or ""
-    words = text.encode().split()
-    n = len(words)
-    n_symbols = sum(map(text.count, SYMBOLS))
-    if not n:
-        return 0, 0, n_symbols, 0, 0, True, None, *[None] * (3 * len(cutters))
-    word_chars = len(text) - sum(map(text.count, SPACE))
-    lines = [x for x in text.split("\n") if x.strip(SPACE)]
-    n_repeat = repeated_words(words)
-    failed = n < LEAST_WORDS or 100 * n_repeat > MOST_REPEATED * n
-    measures = [x for encode, partial in cutters for x in token_measures(words, word_chars, encode, partial)]
-    return n, word_chars, n_symbols, len(lines) - len(set(lines)), n_repeat, failed, script_of(text), *measures
+def numbered(words: list[list[bytes]]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The distinct words of some texts, the number of every word among them, and where each text's numbers begin, the end last."""
+    coded = pa.array([w for text in words for w in text], pa.binary()).dictionary_encode()
+    return coded.dictionary.to_pylist(), coded.indices.to_numpy(), np.concatenate(([0], np.cumsum([len(text) for text in words], dtype=np.int64)))
+
+
+def text_ids(words: list[list[bytes]], distinct: list[bytes], numbers: np.ndarray, begins: np.ndarray, cutter: Cutter) -> Iterator[np.ndarray]:
+    """The ids of each text, whose words are `numbered`."""
+    if not cutter.wordwise:
+        yield from map(cutter.whole, words)
+        return
+    ids, start = cutter.each(distinct)
+    size = np.diff(start, append=len(ids))
+    for k, text in enumerate(words):
+        at = numbers[begins[k] + (not cutter.first) : begins[k + 1]]
+        n = size[at]
+        dealt = ids[np.arange(n.sum()) + np.repeat(start[at] - np.cumsum(n) + n, n)]
+        yield dealt if cutter.first else np.concatenate((cutter.whole(text[:1]), dealt))
+
+
+def measured(texts: list[str | None], using: list[Cutter]) -> list[tuple]:
+    """The base counts of each text in the order of BASE, then the measures of each vocabulary; a text without words has none."""
+    texts = [text or "" for text in texts]
+    words = [text.encode().split() for text in texts]
+    plain = [k for k, text in enumerate(texts) if words[k] and (text.isascii() or not ODD.search(text))]
+    of = [words[k] for k in plain]
+    distinct, numbers, begins = numbered(of)
+    ids = {k: each for k, *each in zip(plain, *(text_ids(of, distinct, numbers, begins, c) for c in using), strict=True)}
+    repeats = {k: repeated(numbers[begins[j] : begins[j + 1]].astype(np.int64), len(distinct)) for j, k in enumerate(plain)}
+    out = []
+    for k, (text, said) in enumerate(zip(texts, words, strict=True)):
+        n, n_symbols = len(said), sum(map(text.count, SYMBOLS))
+        if not n:
+            out.append((0, 0, n_symbols, 0, 0, True, None, *[None] * (3 * len(using))))
+            continue
+        word_chars = len(text) - sum(map(text.count, SPACE))
+        lines = [x for x in text.split("\n") if x.strip(SPACE)]
+        n_repeat = repeats[k] if k in repeats else repeated_words(said)
+        failed = n < LEAST_WORDS or 100 * n_repeat > MOST_REPEATED * n
+        cut = ids.pop(k) if k in ids else [c.whole(said) for c in using]
+        out.append((n, word_chars, n_symbols, len(lines) - len(set(lines)), n_repeat, failed, script_of(text), *[m for x, c in zip(cut, using, strict=True) for m in token_measures(x, word_chars, c.partial)]))
+    return out
+
+
+def in_groups(texts: pa.Array) -> Iterator[slice]:
+    """Slices of the texts, in order, of up to WORDS words by their bytes, or of one text."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False) // 6
+    begin, held = 0, 0
+    for k, n in enumerate(sizes.tolist()):
+        if k > begin and held + n > WORDS:
+            yield slice(begin, k)
+            begin, held = k, 0
+        held += n
+    if len(sizes):
+        yield slice(begin, len(sizes))
 
 
 def measures(docs: DataFrame, using: list[Vocabulary], text: str = "text", carried: list[str] | None = None) -> DataFrame:
@@ -164,11 +250,11 @@ def measures(docs: DataFrame, using: list[Vocabulary], text: str = "text", carri
     inner = pa.struct([*BASE.items(), *((m, pa.float64()) for m in names)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cutters = [loaded(v) for v in using]
+        cut = [loaded(v) for v in using]
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                rows = [dict(zip(inner.names, measured(x.as_py(), cutters), strict=True)) for x in part.column(len(carried))]
+            for at in in_groups(batch.column(len(carried))):
+                part = batch.slice(at.start, at.stop - at.start)
+                rows = [dict(zip(inner.names, row, strict=True)) for row in measured(part.column(len(carried)).to_pylist(), cut)]
                 yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(len(carried))), pa.array(rows, inner)], names=[*carried, "__m"])
 
     chosen = in_small_batches(docs).select(*[F.col(f"`{c}`") for c in carried], F.col(f"`{text}`").alias("__text"))
@@ -200,7 +286,7 @@ def judged(docs: DataFrame, using: list[Vocabulary] | None = None, text: str = "
     A null or empty text has no words, fails and is not kept. A null language, one without `least`
     sound documents, or docs without a column `lang`: the script's bands; where that is too rare also,
     LIMITS alone. Repeated rows stay rows and count as rows in the quartiles; columns that docs has
-    besides are carried whatever their names (but __m, __kept, __text and __lang); an empty table gives no rows. A very long text is cut CHUNK words at a time.
+    besides are carried whatever their names (but __m, __kept, __text and __lang); an empty table gives no rows.
     """
     using = using or vocabularies()
     names = measures_of([v.name for v in using])

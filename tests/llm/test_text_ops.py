@@ -116,6 +116,24 @@ def test_repeated_words_of_many_kinds():
     assert fertility.repeated_words([*words, *words[-3:]]) == 6
 
 
+def test_fertility_ids_of_whole_texts():
+    """Ids dealt by distinct words are those of whole texts, of long ones and ones with odd white space too, and a repeated word is cut once."""
+    rng = random.Random(4)
+    letters, plain = list("aA b   \u2581'sé\u0301中\u3000\u00a0\u2028\n\t1.,<s>\x00\x1c\x85\u200b\U0001f600K"), list("aA b  'sé\u0301中\n1.,<s>\x1c\u200b\U0001f600K")
+    texts = ["".join(rng.choice(x) for _ in range(rng.randint(0, 60))) for x in (letters, plain) for _ in range(400)]
+    texts += [None, "", " \n", "one", "ab cd " * 20_000]
+    using = [fertility.loaded(v) for v in fertility.vocabularies()]
+    got = fertility.measured(texts, using)
+    for text, row in zip(texts, got, strict=True):
+        if words := (text or "").encode().split():
+            want = [m for c in using for m in fertility.token_measures(c.whole(words), row[1], c.partial)]
+            assert list(row[7:]) == want, text
+    cut = []
+    counting = [c._replace(encode=lambda text, c=c: cut.append(len(text)) or c.encode(text)) for c in using]
+    assert fertility.measured(["some words again " * 30] * 50, counting) == fertility.measured(["some words again " * 30] * 50, using)
+    assert sum(cut) < 50 * 20
+
+
 def contaminated(texts, items):
     word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     low = lambda t: word.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
