@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 
 #: Rows of an Arrow batch. Texts are long, and a task holds a batch several times over.
 ROWS = 1000
+#: Bytes from which a batch gets no more rows, where rows are large.
+BYTES = 2 << 20
 #: Bytes of an entry besides its key's and value's own.
 OVERHEAD = 180
 
@@ -44,3 +46,13 @@ def in_small_batches(df: DataFrame) -> DataFrame:
     if not 0 < int(conf.get(name, "0")) <= ROWS:
         conf.set(name, str(ROWS))
     return df
+
+
+def in_few_bytes(df: DataFrame) -> DataFrame:
+    """`df`, after its session is told to end a batch for Python at BYTES, too, unless it asks for fewer. A row of more is a batch of its own."""
+    df = in_small_batches(df)
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    found = conf.get(name, None)
+    if found is None or not found.isdigit() or not 0 < int(found) <= BYTES:
+        conf.set(name, str(BYTES))
+    return df

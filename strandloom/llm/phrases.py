@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandloom.llm.jaccard_join import mixed
-from strandloom.llm.memory import in_small_batches
+from strandloom.llm.memory import in_few_bytes
 from strandloom.llm.suffix_index import in_slots, slot_of, slots_of
 from strandloom.plans.session import table, written
 
@@ -71,9 +71,12 @@ def in_order(key: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     if most.bit_length() + bits > 63:
         order = np.argsort(key, kind="stable")
         return key[order], order
-    both = (key << bits) | np.arange(len(key))
+    both = key << bits
+    both |= np.arange(len(key))
     both.sort()
-    return both >> bits, both & ((1 << bits) - 1)
+    order = both & ((1 << bits) - 1)
+    both >>= bits
+    return both, order
 
 
 def transform(a: np.ndarray, depth: int = DEPTH) -> np.ndarray:
@@ -82,7 +85,9 @@ def transform(a: np.ndarray, depth: int = DEPTH) -> np.ndarray:
     key, order = in_order(rank, top)
     while span < depth:
         step = min(span, depth - span)
-        key, order = in_order(rank * (top + 1) + np.roll(rank, -step), top * (top + 2))
+        key = rank * (top + 1)
+        key += np.roll(rank, -step)
+        key, order = in_order(key, top * (top + 2))
         span += step
         rank = np.empty(len(a), np.int64)
         rank[order] = np.concatenate(([0], np.cumsum(key[1:] != key[:-1])))
@@ -212,11 +217,14 @@ def indexes(docs: DataFrame, words: int = WORDS, depth: int = DEPTH) -> DataFram
     return docs.select("lang", "text").mapInArrow(run, "shard long, lang string, n long, words binary, forward binary, backward binary")
 
 
-def shards_in(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, str, Shard, pa.RecordBatch]]:
+def shard_of(row: dict) -> Shard:
+    return Shard([END, *(row["words"].split(b" ") if row["words"] else [])], unpacked(row["forward"]), unpacked(row["backward"]), salt_of(row["lang"]))
+
+
+def rows_in(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     for batch in batches:
         for k in range(batch.num_rows):
-            shard, lang, words, forward, backward = (batch.column(c)[k].as_py() for c in ("shard", "lang", "words", "forward", "backward"))
-            yield shard, lang, Shard([END, *(words.split(b" ") if words else [])], unpacked(forward), unpacked(backward), salt_of(lang)), batch.slice(k, 1)
+            yield {c: batch.column(c)[k].as_py() for c in ("shard", "lang", "words", "forward", "backward")}
 
 
 def level_counts(shards: DataFrame, length: int, filters: list[np.ndarray]) -> DataFrame:
@@ -224,12 +232,14 @@ def level_counts(shards: DataFrame, length: int, filters: list[np.ndarray]) -> D
     shared = shards.sparkSession.sparkContext.broadcast(filters)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, _, shard, _ in shards_in(batches):
+        for row in rows_in(batches):
+            number, shard = row["shard"], shard_of(row)
             for found in shard.levels(length, shared.value):
                 if found["grams"].shape[1] < length:
                     continue
                 h = shard.hash_of(found["grams"]).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(found["size"].astype(np.int64)), pa.repeat(pa.scalar(number, pa.int64()), len(h))], names=["hash", "n", "shard"])
+            del row, shard, found  # a task holds one index
 
     return shards.select("shard", "lang", "words", "forward", "backward").mapInArrow(run, _COUNTS)
 
@@ -249,7 +259,8 @@ def named(shards: DataFrame, wanted: np.ndarray, filters: list[np.ndarray], dept
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted, filters = shared.value
-        for number, lang, shard, _ in shards_in(batches):
+        for row in rows_in(batches):
+            number, lang, shard = row["shard"], row["lang"], shard_of(row)
             for found in shard.levels(depth, filters):
                 length = found["grams"].shape[1]
                 if length < 2:
@@ -263,6 +274,7 @@ def named(shards: DataFrame, wanted: np.ndarray, filters: list[np.ndarray], dept
                 cuts = [[{"k": k + 1, "first": a[r], "rest": b[r]} for k, (a, b) in enumerate(parts)] for r in range(n)]
                 columns = [pa.array(hashes), pa.repeat(pa.scalar(number, pa.int64()), n), pa.repeat(lang, n), pa.array(said, pa.string()), pa.repeat(pa.scalar(length, pa.int32()), n), pa.array(cuts, cuts_kind)]
                 yield pa.RecordBatch.from_arrays(columns, names=["hash", "shard", "lang", "phrase", "length", "cuts"])
+            del row, shard, found
 
     return shards.select("shard", "lang", "words", "forward", "backward").mapInArrow(run, "hash long, shard long, lang string, phrase string, length int, cuts array<struct<k:int,first:long,rest:long>>")
 
@@ -278,7 +290,7 @@ def phrases(docs: DataFrame, text: str = "text", lang: str = "lang", least: int
     gives no rows. A language may hold all rows: shards are parts of it.
     """
     quoted = [F.col("`" + c.replace("`", "``") + "`") for c in (lang, text)]
-    shards = written(indexes(in_small_batches(docs.select(F.coalesce(quoted[0].cast("string"), F.lit("und")).alias("lang"), quoted[1].alias("text"))), words, depth), "phrase-shards")
+    shards = written(indexes(in_few_bytes(docs.select(F.coalesce(quoted[0].cast("string"), F.lit("und")).alias("lang"), quoted[1].alias("text"))), words, depth), "phrase-shards")
     filters, levels = [], []
     for length in range(1, depth + 1):
         levels.append(written(frequent(level_counts(shards, length, filters), least), f"phrases-{length}"))

@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -180,6 +181,14 @@ def test_phrases(spark, texts, empty, words):
         assert phrases.phrases(empty).count() == 0
 
 
+def test_shards_reach_python_one_at_a_time(spark, docs):
+    """Rows as large as indexes are no batch of many, which workers and executors would hold whole."""
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    assert phrases.phrases(docs.limit(3)).count() == 0
+    rows = spark.range(6, numPartitions=1).select(F.expr("repeat('x', 3000000)").alias("x"))
+    assert [r.n for r in rows.mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.num_rows])], names=["n"]) for b in batches), "n long").collect()] == [1] * 6
+
+
 def test_index_intervals(monkeypatch):
     rng = np.random.default_rng(2)
     a = np.concatenate(([0], rng.integers(0, 5, 400), [0]))
