@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+from strandloom.operators import genes
 from strandloom.operators import intervals as iv
 
 STRIPES = [1, 2, 7, 50, 1 << 30]
@@ -81,3 +82,13 @@ def test_least_weight(spark, stripe):
         else:
             want.append([c, x, x + 1, w])
     assert ends and collected(iv.least_weight(spark.createDataFrame(rows, "chrom string, s long, e long, w double"), ["chrom"], stripe=stripe), "chrom", "s", "e", "w") == sorted(map(tuple, want))
+
+
+@pytest.mark.parametrize("bucket", [1, 7, 1 << 10])
+def test_same_strand_pairs_are_made_once(spark, bucket):
+    """All pairs once, by buckets of any length: equal begins, spans in many buckets, empty spans and repeated rows."""
+    rng = random.Random(bucket)
+    rows = [(rng.randrange(12), f"t{k % 55:02d}", "c", rng.choice("+-"), s, s + rng.choice((0, 1, 3, 20, 90))) for k in range(60) for s in [rng.randrange(100)]]
+    got = genes.same_strand_conflicts(spark.createDataFrame(rows, "gid long, tid string, seqid string, strand string, s long, e long"), bucket).collect()
+    want = [(a[1], b[1], a[0], b[0]) for a in rows for b in rows if a[2:4] == b[2:4] and a[1] < b[1] and a[0] != b[0] and a[4] < b[5] and b[4] < a[5]]
+    assert sorted(map(tuple, got)) == sorted(want)
