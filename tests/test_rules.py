@@ -108,3 +108,8 @@ def test_line_items_are_told_apart_by_what_is_needed(spark):
     whole = views.numbered_lines(spark, SF, *views.LINE_ORDER).select("gid", "l_returnflag", "rn", "l_partkey", "l_quantity")
     some = views.numbered_lines(spark, SF, "l_partkey", "l_quantity")
     assert whole.exceptAll(some).isEmpty() and some.exceptAll(whole).isEmpty()
+
+
+def test_overlapping_spans_move_no_flags(spark):
+    plan = catalog.QUERIES["jon_same_strand_overlap"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "l_linestatus" not in plan and "l_extendedprice" not in plan and "l_quantity" in plan
